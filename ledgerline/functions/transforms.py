@@ -54,7 +54,14 @@ def java_pattern(strptime_format: str) -> str:
             if lit:
                 out.append("'" + "".join(lit).replace("'", "''") + "'")
                 lit = []
-            out.append(STRPTIME_TO_JAVA[tok])
+            letters = STRPTIME_TO_JAVA[tok]
+            # a one-letter numeric field touching another directive cannot be
+            # split without a separator: use its fixed 2-digit form
+            touching = strptime_format[i + 2:i + 3] == "%" or (i >= 2 and strptime_format[i - 2] == "%"
+                                                                 and strptime_format[i - 2:i] in STRPTIME_TO_JAVA)
+            if len(letters) == 1 and letters in "MdHhms" and touching:
+                letters *= 2
+            out.append(letters)
             i += 2
             continue
         if tok.startswith("%"):

@@ -1,6 +1,7 @@
 """All registered queries and their SQL oracles, gathered from the plan modules."""
 
-from ledgerline.plans import queries as _q  # noqa: F401  (registers the reconciliation queries)
+from ledgerline.plans import queries as _q  # noqa: F401  (reconciliation of flat invoices)
+from ledgerline.plans import queries_x12 as _x  # noqa: F401  (X12 interchanges)
 from ledgerline.plans.queries import ORACLE, QUERIES
 
 __all__ = ["QUERIES", "ORACLE"]
