@@ -2,6 +2,7 @@
 
 from ledgerline.plans import queries as _q  # noqa: F401  (reconciliation of flat invoices)
 from ledgerline.plans import queries_x12 as _x  # noqa: F401  (X12 interchanges)
+from ledgerline.plans import queries_ingest as _i  # noqa: F401  (inbound mailbox)
 from ledgerline.plans.queries import ORACLE, QUERIES
 
 __all__ = ["QUERIES", "ORACLE"]
