@@ -4,6 +4,7 @@ from ledgerline.plans import queries as _q  # noqa: F401  (reconciliation of fla
 from ledgerline.plans import queries_x12 as _x  # noqa: F401  (X12 interchanges)
 from ledgerline.plans import queries_ingest as _i  # noqa: F401  (inbound mailbox)
 from ledgerline.plans import queries_flat as _f  # noqa: F401  (flat files)
+from ledgerline.plans import queries_xml as _m  # noqa: F401  (XML, cXML)
 from ledgerline.plans.queries import ORACLE, QUERIES
 
 __all__ = ["QUERIES", "ORACLE"]
