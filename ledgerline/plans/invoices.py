@@ -147,3 +147,59 @@ def flat_run(spark: SparkSession, sf_dir: str, version: int = 1, crosswalk: list
     pairs = RC.pair_documents(RC.match_values_flat(src, MATCH_KEY), RC.match_values_flat(tgt, MATCH_KEY))
     diffs = RC.diff_flat(spark, pairs, src, tgt, profile_rules(version), crosswalk)
     return pairs, diffs
+
+
+# ------------------------------------------------------------------ typed JSON documents
+
+DOC_SCHEMA = (
+    "header struct<invoice_number string, invoice_date string, customer bigint, status string, "
+    "priority string, total double>, "
+    "lines array<struct<line_number int, part bigint, supplier bigint, quantity double, extended_price double, "
+    "discount double, tax double, return_flag string, line_status string, ship_date string>>, "
+    "summary struct<line_count bigint, total_quantity double>")
+
+
+def invoice_documents(spark: SparkSession, sf_dir: str, side: str) -> DataFrame:
+    """One typed document per order and side (same differences as the records).
+
+    Lines are gathered per order – bounded by the order, not by a data key.
+    """
+    o = table(spark, sf_dir, "orders")
+    key = F.col("o_orderkey")
+    tgt = side == "target"
+    o = o.filter(key % 11 != 0) if tgt else o.filter(key % 13 != 0)
+    lines = numbered_lines(spark, sf_dir).join(o.select(F.col("o_orderkey").alias("l_orderkey")), "l_orderkey", "left_semi")
+    qty = money(F.col("l_quantity"))
+    disc = money(F.col("l_discount"))
+    if tgt:
+        last = F.max("line_no").over(Window.partitionBy("l_orderkey"))
+        lines = lines.withColumn("_last", last).filter(~((F.col("l_orderkey") % 19 == 0) & (F.col("line_no") == F.col("_last"))))
+        qty = F.when(F.col("l_partkey") % 17 == 0, qty + 1).otherwise(qty).cast("decimal(18,2)")
+        disc = F.when(F.col("l_suppkey") % 7 == 0, disc + F.lit(0.01).cast("decimal(18,2)")).otherwise(disc).cast("decimal(18,2)")
+    line = F.struct(F.col("l_linenumber").alias("line_number"), F.col("l_partkey").alias("part"),
+                    F.col("l_suppkey").alias("supplier"), qty.cast("double").alias("quantity"),
+                    money(F.col("l_extendedprice")).cast("double").alias("extended_price"),
+                    disc.cast("double").alias("discount"), money(F.col("l_tax")).cast("double").alias("tax"),
+                    F.col("l_returnflag").alias("return_flag"), F.col("l_linestatus").alias("line_status"),
+                    F.date_format("l_shipdate", "yyyy-MM-dd").alias("ship_date"))
+    per = (lines.groupBy("l_orderkey")
+                .agg(F.array_sort(F.collect_list(F.struct(F.col("line_no").alias("_n"), line.alias("_l")))).alias("_ls"),
+                     F.count(F.lit(1)).alias("_cnt"), F.sum(qty).alias("_q")))
+    total = money(F.col("o_totalprice"))
+    if tgt:
+        total = (total + F.when(key % 5 == 0, F.lit(0.01)).otherwise(F.lit(0.0)).cast("decimal(18,2)")
+                 + F.when(key % 7 == 0, F.lit(1.0)).otherwise(F.lit(0.0)).cast("decimal(18,2)")).cast("decimal(18,2)")
+    inv_no = F.concat(F.lit("INV-"), text(key)) if tgt else text(key)
+    prio = F.when(key % 3 == 0, F.lower("o_orderpriority")).otherwise(F.col("o_orderpriority")) if tgt else F.col("o_orderpriority")
+    status = F.when(key % 23 != 0, F.col("o_orderstatus")) if tgt else F.col("o_orderstatus")
+    j = o.join(per, o.o_orderkey == per.l_orderkey, "left")
+    doc = F.struct(
+        F.struct(inv_no.alias("invoice_number"), F.date_format("o_orderdate", "yyyy-MM-dd").alias("invoice_date"),
+                 F.col("o_custkey").alias("customer"), status.alias("status"), prio.alias("priority"),
+                 total.cast("double").alias("total")).alias("header"),
+        F.coalesce(F.transform("_ls", lambda x: x["_l"]), F.array().cast(
+            "array<struct<line_number int, part bigint, supplier bigint, quantity double, extended_price double, "
+            "discount double, tax double, return_flag string, line_status string, ship_date string>>")).alias("lines"),
+        F.struct(F.coalesce(F.col("_cnt"), F.lit(0)).cast("bigint").alias("line_count"),
+                 F.coalesce(F.col("_q"), F.lit(0)).cast("decimal(18,2)").cast("double").alias("total_quantity")).alias("summary"))
+    return j.select(F.concat(F.lit(f"{side}/inv_"), text(key), F.lit(".json")).alias("path"), doc.alias("doc"))
