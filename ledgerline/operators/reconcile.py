@@ -227,11 +227,14 @@ def _cq_fields(tiered: R.TieredRules, crosswalk: list[dict] | None) -> list[str]
     return sorted(out)
 
 
-def align_and_diff(src: DataFrame, tgt: DataFrame, spark: SparkSession, tiered: R.TieredRules,
-                   crosswalk: list[dict] | None = None) -> DataFrame:
-    """Diffs of labelled records that already carry ``pair_id``.
+def align(src: DataFrame, tgt: DataFrame, cqs: list[str]) -> tuple[DataFrame, DataFrame]:
+    """Align labelled records of both sides.
 
     ``src``/``tgt``: pair_id, section, seg, qual, occ, label, fields.
+    Returns ``(presence, candidates)``: one hard diff per record present on
+    one side only, and one row per field of records present on both sides
+    whose text differs (equal text is never a diff under any rule).  The
+    values of conditional-qualifier fields ``cqs`` ride along per row.
     """
     key = ["pair_id", "section", "seg", "qual", "occ"]
     s = src.select(*key, F.col("label").alias("s_label"), F.col("fields").alias("s_fields"))
@@ -241,7 +244,6 @@ def align_and_diff(src: DataFrame, tgt: DataFrame, spark: SparkSession, tiered:
     presence_kind = F.col("section").isin("line", "x12")
     only_src = F.col("t_fields").isNull() & presence_kind
     only_tgt = F.col("s_fields").isNull() & presence_kind
-    noun = F.when(F.col("section") == "x12", F.lit("segment")).otherwise(F.lit("line"))
 
     # A record on one side only is one hard diff with field ''
     presence = j.filter(only_src | only_tgt).select(
@@ -260,7 +262,6 @@ def align_and_diff(src: DataFrame, tgt: DataFrame, spark: SparkSession, tiered:
     empty = F.array().cast(FIELD_STRUCT)
     sm = F.map_from_entries(F.coalesce("s_fields", empty))
     tm = F.map_from_entries(F.coalesce("t_fields", empty))
-    cqs = _cq_fields(tiered, crosswalk)
     both = j.filter(~(only_src | only_tgt)).select(
         "pair_id", "section", "seg", label.alias("label"), sm.alias("sm"), tm.alias("tm"))
     cq_cols = []
@@ -273,8 +274,17 @@ def align_and_diff(src: DataFrame, tgt: DataFrame, spark: SparkSession, tiered:
         "pair_id", "section", "label", "field", *[c for i in range(len(cqs)) for c in (f"_scq{i}", f"_tcq{i}")],
         F.when(F.col("section") == "x12", F.col("seg")).otherwise(F.lit("*")).alias("rule_segment"),
         F.col("v.s").alias("s"), F.col("v.t").alias("t"))
-    # equal text is never a diff under any rule: drop before rule work
     cand = cand.filter(F.coalesce("s", F.lit("")) != F.coalesce("t", F.lit("")))
+    return presence, cand
+
+
+def align_and_diff(src: DataFrame, tgt: DataFrame, spark: SparkSession, tiered: R.TieredRules,
+                   crosswalk: list[dict] | None = None) -> DataFrame:
+    """Diffs of labelled records that already carry ``pair_id`` (C9–C15):
+    align, then the ignore list (broadcast anti joins), rule resolution
+    (broadcast joins) and evaluation."""
+    cqs = _cq_fields(tiered, crosswalk)
+    presence, cand = align(src, tgt, cqs)
     cand = R.drop_ignored(cand, R.ignores_frame(spark, tiered))
     merged = R.merge_tiers(R.rules_frame(spark, tiered, crosswalk))
     cand = R.resolve(cand, merged)

@@ -6,6 +6,7 @@ from ledgerline.plans import queries_ingest as _i  # noqa: F401  (inbound mailbo
 from ledgerline.plans import queries_flat as _f  # noqa: F401  (flat files)
 from ledgerline.plans import queries_xml as _m  # noqa: F401  (XML, cXML)
 from ledgerline.plans import queries_json as _j  # noqa: F401  (JSON documents)
+from ledgerline.plans import queries_rules as _r  # noqa: F401  (rules, keys, listings)
 from ledgerline.plans.queries import ORACLE, QUERIES
 
 __all__ = ["QUERIES", "ORACLE"]
