@@ -227,14 +227,28 @@ def _cq_fields(tiered: R.TieredRules, crosswalk: list[dict] | None) -> list[str]
     return sorted(out)
 
 
-def align(src: DataFrame, tgt: DataFrame, cqs: list[str]) -> tuple[DataFrame, DataFrame]:
-    """Align labelled records of both sides.
-
-    ``src``/``tgt``: pair_id, section, seg, qual, occ, label, fields.
-    Returns ``(presence, candidates)``: one hard diff per record present on
-    one side only, and one row per field of records present on both sides
-    whose text differs (equal text is never a diff under any rule).  The
-    values of conditional-qualifier fields ``cqs`` ride along per row.
+def _presence_description(label: Column, only_src: Column) -> Column:
+    return (F.when(F.col("section") == "x12",
+                   F.when(only_src, F.concat(F.lit("Missing segment in Target: "), label))
+                    .otherwise(F.concat(F.lit("Extra segment in Target: "), label)))
+             .otherwise(F.when(only_src, F.concat(F.lit("Missing line in Target at position "), F.col("occ").cast("string")))
+                         .otherwise(F.concat(F.lit("Extra line in Target at position "), F.col("occ").cast("string")))))
+
+
+def align(src: DataFrame, tgt: DataFrame, cqs: list[str]) -> DataFrame:
+    """Align labelled records of both sides in one pass.
+
+    ``src``/``tgt``: pair_id, section, seg, qual, occ, label, fields.  One full
+    outer join at record grain; every output row is either
+
+    * a presence row (``presence`` true): a line or segment present on one side
+      only – one hard diff with field '' and the record as text; or
+    * a candidate field of a record present on both sides whose text differs
+      (equal text is never a diff under any rule, so it is dropped here).
+
+    Presence rows carry a NULL ``rule_segment`` so the ignore and rule joins
+    pass them through untouched.  The values of conditional-qualifier fields
+    ``cqs`` ride along per row (``_scq{i}``/``_tcq{i}``).
     """
     key = ["pair_id", "section", "seg", "qual", "occ"]
     s = src.select(*key, F.col("label").alias("s_label"), F.col("fields").alias("s_fields"))
@@ -244,58 +258,50 @@ def align(src: DataFrame, tgt: DataFrame, cqs: list[str]) -> tuple[DataFrame, Da
     presence_kind = F.col("section").isin("line", "x12")
     only_src = F.col("t_fields").isNull() & presence_kind
     only_tgt = F.col("s_fields").isNull() & presence_kind
-
-    # A record on one side only is one hard diff with field ''
-    presence = j.filter(only_src | only_tgt).select(
-        "pair_id", label.alias("segment"), F.lit("").alias("field"), F.lit("hard").alias("severity"),
-        F.when(only_src, _fields_repr(F.col("s_fields"))).alias("source_value"),
-        F.when(only_tgt, _fields_repr(F.col("t_fields"))).alias("target_value"),
-        F.when(F.col("section") == "x12",
-               F.when(only_src, F.concat(F.lit("Missing segment in Target: "), label))
-                .otherwise(F.concat(F.lit("Extra segment in Target: "), label)))
-         .otherwise(F.when(only_src, F.concat(F.lit("Missing line in Target at position "), F.col("occ").cast("string")))
-                     .otherwise(F.concat(F.lit("Extra line in Target at position "), F.col("occ").cast("string"))))
-         .alias("description"),
-        F.lit(False).alias("wildcard"))
-
-    # fields of records present on both sides (header/summary may be absent = empty)
     empty = F.array().cast(FIELD_STRUCT)
-    sm = F.map_from_entries(F.coalesce("s_fields", empty))
-    tm = F.map_from_entries(F.coalesce("t_fields", empty))
-    both = j.filter(~(only_src | only_tgt)).select(
-        "pair_id", "section", "seg", label.alias("label"), sm.alias("sm"), tm.alias("tm"))
+    j = j.select("pair_id", "section", "seg", "occ", label.alias("label"),
+                 (only_src | only_tgt).alias("presence"), only_src.alias("only_src"),
+                 F.map_from_entries(F.coalesce("s_fields", empty)).alias("sm"),
+                 F.map_from_entries(F.coalesce("t_fields", empty)).alias("tm"),
+                 F.when(only_src, _fields_repr(F.col("s_fields"))).alias("_srepr"),
+                 F.when(only_tgt, _fields_repr(F.col("t_fields"))).alias("_trepr"))
+    presence_row = F.array(F.struct(F.lit("").alias("key"), F.struct(F.col("_srepr").alias("s"),
+                                                                       F.col("_trepr").alias("t")).alias("value")))
+    field_rows = F.map_entries(F.map_zip_with("sm", "tm", lambda k, a, b: F.struct(a.alias("s"), b.alias("t"))))
+    rows = F.when(F.col("presence"), presence_row).otherwise(
+        F.filter(field_rows, lambda e: F.coalesce(e["value"]["s"], F.lit("")) != F.coalesce(e["value"]["t"], F.lit(""))))
     cq_cols = []
     for i, q in enumerate(cqs):
         cq_cols += [F.element_at("sm", F.lit(q)).alias(f"_scq{i}"), F.element_at("tm", F.lit(q)).alias(f"_tcq{i}")]
-    zipped = both.select(
-        "pair_id", "section", "seg", "label", *cq_cols,
-        F.explode(F.map_zip_with("sm", "tm", lambda k, a, b: F.struct(a.alias("s"), b.alias("t")))).alias("field", "v"))
-    cand = zipped.select(
-        "pair_id", "section", "label", "field", *[c for i in range(len(cqs)) for c in (f"_scq{i}", f"_tcq{i}")],
-        F.when(F.col("section") == "x12", F.col("seg")).otherwise(F.lit("*")).alias("rule_segment"),
-        F.col("v.s").alias("s"), F.col("v.t").alias("t"))
-    cand = cand.filter(F.coalesce("s", F.lit("")) != F.coalesce("t", F.lit("")))
-    return presence, cand
+    ex = j.select("pair_id", "section", "seg", "occ", "label", "presence", "only_src", *cq_cols,
+                  F.explode(rows).alias("e"))
+    rule_seg = F.when(F.col("presence"), F.lit(None).cast("string")) \
+                .when(F.col("section") == "x12", F.col("seg")).otherwise(F.lit("*"))
+    return ex.select("pair_id", "section", "occ", "label", "presence", "only_src", F.col("e.key").alias("field"),
+                     *[c for i in range(len(cqs)) for c in (f"_scq{i}", f"_tcq{i}")],
+                     rule_seg.alias("rule_segment"), F.col("e.value.s").alias("s"), F.col("e.value.t").alias("t"))
 
 
 def align_and_diff(src: DataFrame, tgt: DataFrame, spark: SparkSession, tiered: R.TieredRules,
                    crosswalk: list[dict] | None = None) -> DataFrame:
     """Diffs of labelled records that already carry ``pair_id`` (C9–C15):
-    align, then the ignore list (broadcast anti joins), rule resolution
-    (broadcast joins) and evaluation."""
+    align (one join), then the ignore list (broadcast anti joins), rule
+    resolution (broadcast joins) and evaluation – one linear plan."""
     cqs = _cq_fields(tiered, crosswalk)
-    presence, cand = align(src, tgt, cqs)
+    cand = align(src, tgt, cqs)
     cand = R.drop_ignored(cand, R.ignores_frame(spark, tiered))
     merged = R.merge_tiers(R.rules_frame(spark, tiered, crosswalk))
     cand = R.resolve(cand, merged)
-    return presence.unionByName(evaluate(cand, cqs))
+    return evaluate(cand, cqs)
 
 
 def evaluate(cand: DataFrame, cqs: list[str]) -> DataFrame:
-    """Decide and describe each candidate field."""
+    """Decide and describe each aligned row."""
+    cand = cand.withColumns({"_ds": as_double(F.coalesce("s", F.lit(""))),
+                             "_dt": as_double(F.coalesce("t", F.lit("")))})
     sp, tp = F.col("s").isNotNull(), F.col("t").isNotNull()
     s, t = F.coalesce("s", F.lit("")), F.coalesce("t", F.lit(""))
-    ds, dt = as_double(s), as_double(t)
+    ds, dt = F.col("_ds"), F.col("_dt")
     # tolerance only for flat documents, as the original X12 path ignores it
     variance = F.when(F.col("section") != "x12", F.col("amount_variance"))
     num_eq = F.coalesce(
@@ -309,17 +315,21 @@ def evaluate(cand: DataFrame, cqs: list[str]) -> DataFrame:
         t_cq = F.when(F.col("conditional_qualifier") == q, F.col(f"_tcq{i}")).otherwise(t_cq)
     cq_ok = F.col("conditional_qualifier").isNotNull() & (
         (~sp & F.coalesce(s_cq != "", F.lit(False))) | (~tp & F.coalesce(t_cq != "", F.lit(False))))
-    is_diff = ~num_eq & ~text_eq & (F.col("severity") != "ignore") & ~cq_ok
+    is_diff = F.col("presence") | (~num_eq & ~text_eq & (F.col("severity") != "ignore") & ~cq_ok)
     noun = F.when(F.col("section") == "x12", F.lit("field")).otherwise(F.lit("key"))
-    desc = (F.when(~sp, F.concat(F.lit("Missing "), noun, F.lit(" in Source: "), F.col("field"),
+    desc = (F.when(F.col("presence"), _presence_description(F.col("label"), F.col("only_src")))
+             .when(~sp, F.concat(F.lit("Missing "), noun, F.lit(" in Source: "), F.col("field"),
                                  F.lit(" (Target has: '"), t, F.lit("')")))
              .when(~tp, F.concat(F.lit("Missing "), noun, F.lit(" in Target: "), F.col("field"),
                                  F.lit(" (Source has: '"), s, F.lit("')")))
              .otherwise(F.concat(F.lit("Content mismatch: Source='"), s, F.lit("' vs Target='"), t, F.lit("'"))))
+    pres = F.col("presence")
     return cand.filter(is_diff).select(
-        "pair_id", F.col("label").alias("segment"), "field", "severity",
-        F.when(sp, s).alias("source_value"), F.when(tp, t).alias("target_value"),
-        desc.alias("description"), "wildcard")
+        "pair_id", F.col("label").alias("segment"), "field",
+        F.when(pres, F.lit("hard")).otherwise(F.col("severity")).alias("severity"),
+        F.when(pres, F.col("s")).when(sp, s).alias("source_value"),
+        F.when(pres, F.col("t")).when(tp, t).alias("target_value"),
+        desc.alias("description"), F.when(pres, F.lit(False)).otherwise(F.col("wildcard")).alias("wildcard"))
 
 
 def diff_flat(spark: SparkSession, pairs: DataFrame, src_records: DataFrame, tgt_records: DataFrame,

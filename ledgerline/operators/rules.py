@@ -8,7 +8,8 @@ plus an optional per-profile crosswalk that sits above them.
 Resolution (C17) first merges tiers per exact (segment, field) – the highest
 tier wins – and then looks the merged table up with wildcards:
 ``(s, f) > (s, *) > (*, f) > (*, *) > hard default``.  Each lookup is an equi
-join against a broadcast rule table; one OR-join would plan as a nested loop.
+join against a broadcast rule table (the single ``(*, *)`` rule is a literal);
+one OR-join would plan as a nested loop.
 
 Rule tables are configuration: they are built from Python values whose length
 is known when the plan is built, which is the size bound that makes
@@ -133,13 +134,23 @@ def _default_rule() -> Column:
                     F.lit(None).cast("double").alias("amount_variance"))
 
 
+def _literal_rule(row) -> Column:
+    return F.struct(F.lit(row["severity"]).cast("string").alias("severity"),
+                    F.lit(row["ignore_case"]).cast("boolean").alias("ignore_case"),
+                    F.lit(row["numeric"]).cast("boolean").alias("numeric"),
+                    F.lit(row["conditional_qualifier"]).cast("string").alias("conditional_qualifier"),
+                    F.lit(row["amount_variance"]).cast("double").alias("amount_variance"))
+
+
 def resolve(df: DataFrame, merged: DataFrame, seg_col: str = "rule_segment",
             field_col: str = "field", prefix: str = "") -> DataFrame:
     """Add ``{prefix}severity … amount_variance``, ``{prefix}wildcard``
     and ``{prefix}hit`` (some rule of ``merged`` applied, not the default).
 
-    ``merged`` is the output of ``merge_tiers``.  Four broadcast left joins, no
-    shuffle of ``df``.
+    ``merged`` is the output of ``merge_tiers`` – configuration, bounded by
+    ``MAX_RULES``.  Three broadcast equi left joins – (s, f), (s, *), (*, f) –
+    and the single (*, *) rule read once at plan time and inlined as a literal
+    (a join on a constant would plan as a nested loop).  ``df`` is not shuffled.
     """
     def side(t: DataFrame, n: int, keys: list[str]) -> DataFrame:
         cols = [F.col(k).alias(f"_r{n}_{k}") for k in keys]
@@ -150,23 +161,20 @@ def resolve(df: DataFrame, merged: DataFrame, seg_col: str = "rule_segment",
     r1 = side(merged, 1, ["segment", "field"])
     r2 = side(merged.filter(F.col("field") == "*"), 2, ["segment"])
     r3 = side(merged.filter(F.col("segment") == "*"), 3, ["field"])
-    r4 = side(merged.filter((F.col("segment") == "*") & (F.col("field") == "*"))
-                    .withColumn("_any", F.lit("*")), 4, ["_any"])
+    star = merged.filter((F.col("segment") == "*") & (F.col("field") == "*")).limit(1).collect()
     out = (df
            .join(r1, (F.col(seg_col) == F.col("_r1_segment")) & (F.col(field_col) == F.col("_r1_field")), "left")
            .join(r2, F.col(seg_col) == F.col("_r2_segment"), "left")
-           .join(r3, F.col(field_col) == F.col("_r3_field"), "left")
-           .join(r4, F.lit("*") == F.col("_r4__any"), "left"))
+           .join(r3, F.col(field_col) == F.col("_r3_field"), "left"))
     rule = F.coalesce(
         F.when(F.col("_r1_hit"), _rule_struct("_r1_")),
         F.when(F.col("_r2_hit"), _rule_struct("_r2_")),
         F.when(F.col("_r3_hit"), _rule_struct("_r3_")),
-        F.when(F.col("_r4_hit"), _rule_struct("_r4_")),
-        _default_rule())
+        _literal_rule(star[0]) if star else _default_rule())
     wildcard = (F.col("_r1_hit").isNull()
                 & (F.col("_r2_hit").isNull() | (F.col(seg_col) == "*"))
                 & (F.col("_r3_hit").isNull() | (F.col(field_col) == "*")))
-    hit = F.coalesce(F.col("_r1_hit"), F.col("_r2_hit"), F.col("_r3_hit"), F.col("_r4_hit"), F.lit(False))
+    hit = F.coalesce(F.col("_r1_hit"), F.col("_r2_hit"), F.col("_r3_hit"), F.lit(bool(star)))
     out = (out.withColumn("_rule", rule)
               .withColumn(f"{prefix}wildcard", wildcard)
               .withColumn(f"{prefix}hit", hit))

@@ -47,19 +47,23 @@ def _s(c: Column) -> Column:
     return c.cast("string")
 
 
-def _join_lines(head: DataFrame, body: DataFrame, tail: DataFrame | None, key: str, path: Column) -> DataFrame:
-    """Assemble per-order text: rows (k, block, sub, text) gathered per order
-    (bounded by the order's lines) and joined with newlines."""
-    parts = head if tail is None else head.unionByName(tail)
-    rows = parts.unionByName(body)
-    g = rows.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("block", "sub", "text"))).alias("r"))
-    txt = F.array_join(F.transform("r", lambda x: x["text"]), "\n")
-    return g.select(path.alias("path"), F.when(F.size("r") > 0, F.concat(txt, F.lit("\n"))).otherwise(F.lit("")).alias("content"))
+def _per_order(orders: DataFrame, lines: DataFrame, line_text: Column, head: list[Column],
+               tail: list[Column], path: Column) -> DataFrame:
+    """File text per order: header and trailer lines are one projection of
+    the order row (NULL = line absent); only the line texts are gathered per
+    order, in the partitioning of the line-numbering window."""
+    per = (lines.groupBy("l_orderkey")
+                .agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("line_no", line_text.alias("t")))),
+                                              lambda x: x["t"]), "\n").alias("body"),
+                     F.count(F.lit(1)).alias("n")))
+    j = orders.join(per, orders.k == per.l_orderkey, "left")
+    text = F.array_join(F.array(*head, F.col("body"), *tail), "\n")
+    return j.select(path.alias("path"), F.when(text != "", F.concat(text, F.lit("\n"))).otherwise(F.lit("")).alias("content"))
 
 
 def csv_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     o = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("k"))
-    li = numbered_lines(spark, sf_dir)
+    li = numbered_lines(spark, sf_dir).withColumn("k", F.col("l_orderkey"))
     k = F.col("k")
     pipe = k % 2 == 0
 
@@ -70,49 +74,32 @@ def csv_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     hdr_cells = [F.lit(h) for h in CSV_HEADER]
     hdr_swapped = list(hdr_cells)
     hdr_swapped[2], hdr_swapped[3] = hdr_cells[3], hdr_cells[2]
-    head = o.filter(k % 5 != 0).select(
-        "k", F.lit(0).alias("block"), F.lit(0).alias("sub"),
-        F.when(swap, joined(hdr_swapped)).otherwise(joined(hdr_cells)).alias("text"))
-    L = li.select(F.col("l_orderkey").alias("k"), "line_no", "l_linenumber", "l_partkey", "l_suppkey",
-                  "l_quantity", "l_extendedprice", "l_returnflag", "l_linestatus", "l_shipdate")
+    head = F.when(k % 5 != 0, F.when(swap, joined(hdr_swapped)).otherwise(joined(hdr_cells)))
     flags = F.concat(F.lit('"'), F.col("l_returnflag"), F.lit(", "), F.col("l_linestatus"), F.lit('"'))
     cells = [_s(k), _s(F.col("l_linenumber")), _s(F.col("l_partkey")), _s(F.col("l_suppkey")),
              _s(F.col("l_quantity").cast("decimal(18,2)")), _s(F.col("l_extendedprice").cast("decimal(18,2)")),
              flags, F.date_format("l_shipdate", "M/d/yyyy")]
     swapped = list(cells)
     swapped[2], swapped[3] = cells[3], cells[2]
-    body = L.select("k", F.lit(1).alias("block"), F.col("line_no").alias("sub"),
-                    F.when(swap, joined(swapped)).otherwise(joined(cells)).alias("text"))
-    files = _join_lines(head, body, None, "k", F.concat(F.lit("csv/inv_"), _s(k), F.lit(".csv")))
-    # orders without lines and without header still exist as empty files
-    return o.select(F.concat(F.lit("csv/inv_"), _s(k), F.lit(".csv")).alias("path")) \
-            .join(files, "path", "left").select("path", F.coalesce("content", F.lit("")).alias("content"))
+    line = F.when(swap, joined(swapped)).otherwise(joined(cells))
+    return _per_order(o, li, line, [head], [], F.concat(F.lit("csv/inv_"), _s(k), F.lit(".csv")))
 
 
 def multirecord_files(spark: SparkSession, sf_dir: str) -> DataFrame:
-    o = table(spark, sf_dir, "orders")
+    o = table(spark, sf_dir, "orders").withColumn("k", F.col("o_orderkey"))
     li = numbered_lines(spark, sf_dir)
-    k = F.col("o_orderkey")
-    n = li.groupBy("l_orderkey").agg(F.count(F.lit(1)).alias("n"))
-    h = o.join(n, o.o_orderkey == n.l_orderkey, "left").select(
-        k.alias("k"), "o_orderdate", "o_custkey", "o_orderpriority", "o_totalprice", F.coalesce("n", F.lit(0)).alias("n"))
     K = F.col("k")
-    hdr = h.select("k", F.lit(0).alias("block"), F.lit(0).alias("sub"), F.concat_ws(
-        "|", F.lit("HDR"), _s(K), F.date_format("o_orderdate", "yyyyMMdd"), _s(F.col("o_custkey")),
-        F.col("o_orderpriority")).alias("text"))
-    nte = h.filter(K % 10 == 0).select("k", F.lit(1).alias("block"), F.lit(0).alias("sub"),
-                                        F.concat(F.lit("NTE|see attached terms for invoice "), _s(K)).alias("text"))
-    summ = h.select("k", F.lit(3).alias("block"), F.lit(0).alias("sub"), F.concat_ws(
-        "|", F.lit("SUM"), _s(F.col("n")),
-        _s(F.round(F.col("o_totalprice").cast("decimal(18,2)") * 100).cast("bigint"))).alias("text"))
+    hdr = F.concat_ws("|", F.lit("HDR"), _s(K), F.date_format("o_orderdate", "yyyyMMdd"), _s(F.col("o_custkey")),
+                      F.col("o_orderpriority"))
+    nte = F.when(K % 10 == 0, F.concat(F.lit("NTE|see attached terms for invoice "), _s(K)))
+    summ = F.concat_ws("|", F.lit("SUM"), _s(F.coalesce(F.col("n"), F.lit(0))),
+                       _s(F.round(F.col("o_totalprice").cast("decimal(18,2)") * 100).cast("bigint")))
     base = [F.lit("DTL"), _s(F.col("line_no") + 1), _s(F.col("l_partkey")),
             _s(F.col("l_quantity").cast("decimal(18,2)")), _s(F.col("l_extendedprice").cast("decimal(18,2)"))]
     short = F.col("l_partkey") % 4 == 0
     long_ = F.col("l_suppkey") % 5 == 0
     text = F.concat_ws("|", *base, F.when(~short, F.col("l_returnflag")), F.when(long_, F.lit("X")))
-    dtl = li.select(F.col("l_orderkey").alias("k"), F.lit(2).alias("block"), F.col("line_no").alias("sub"),
-                    text.alias("text"))
-    return _join_lines(hdr.unionByName(nte), dtl, summ, "k", F.concat(F.lit("mr/inv_"), _s(F.col("k")), F.lit(".txt")))
+    return _per_order(o, li, text, [hdr, nte], [summ], F.concat(F.lit("mr/inv_"), _s(K), F.lit(".txt")))
 
 
 def _fw(c: Column, width: int, pad: str = " ", left: bool = False) -> Column:
@@ -120,20 +107,16 @@ def _fw(c: Column, width: int, pad: str = " ", left: bool = False) -> Column:
 
 
 def fixed_width_files(spark: SparkSession, sf_dir: str) -> DataFrame:
-    o = table(spark, sf_dir, "orders")
+    o = table(spark, sf_dir, "orders").withColumn("k", F.col("o_orderkey"))
     li = numbered_lines(spark, sf_dir)
     K = F.col("k")
-    h = o.select(F.col("o_orderkey").alias("k"), "o_orderdate", "o_custkey", "o_totalprice")
-    pre = h.filter(K % 4 == 0).select("k", F.lit(0).alias("block"), F.lit(0).alias("sub"),
-                                       F.concat(_fw(F.lit("FILEHDR"), 10), _fw(F.lit("LEDGERLINE"), 10)).alias("text"))
+    pre = F.when(K % 4 == 0, F.concat(_fw(F.lit("FILEHDR"), 10), _fw(F.lit("LEDGERLINE"), 10)))
     cents = lambda c: _s(F.round(c.cast("decimal(18,2)") * 100).cast("bigint"))
-    hdr = h.select("k", F.lit(1).alias("block"), F.lit(0).alias("sub"), F.concat(
-        _fw(F.lit("INV_HDR"), 10), _fw(_s(K), 10, "0", True), F.date_format("o_orderdate", "yyyyMMdd"),
-        _fw(_s(F.col("o_custkey")), 10, "0", True), _fw(cents(F.col("o_totalprice")), 15, "0", True)).alias("text"))
-    junk = h.filter(K % 9 == 0).select("k", F.lit(3).alias("block"), F.lit(0).alias("sub"),
-                                       F.concat(_fw(F.lit("JUNK"), 10), F.lit("unparsed trailer")).alias("text"))
-    dtl = li.select(F.col("l_orderkey").alias("k"), F.lit(2).alias("block"), F.col("line_no").alias("sub"), F.concat(
+    hdr = F.concat(_fw(F.lit("INV_HDR"), 10), _fw(_s(K), 10, "0", True), F.date_format("o_orderdate", "yyyyMMdd"),
+                   _fw(_s(F.col("o_custkey")), 10, "0", True), _fw(cents(F.col("o_totalprice")), 15, "0", True))
+    junk = F.when(K % 9 == 0, F.concat(_fw(F.lit("JUNK"), 10), F.lit("unparsed trailer")))
+    dtl = F.concat(
         _fw(F.lit("INV_DTL"), 10), _fw(_s(F.col("line_no") + 1), 4, "0", True), _fw(_s(F.col("l_partkey")), 10, "0", True),
         _fw(cents(F.col("l_quantity")), 15, "0", True), _fw(cents(F.col("l_extendedprice")), 15, "0", True),
-        F.col("l_returnflag"), F.lit(" " * 5), F.date_format("l_shipdate", "yyyyMMdd")).alias("text"))
-    return _join_lines(pre.unionByName(hdr), dtl, junk, "k", F.concat(F.lit("fw/inv_"), _s(K), F.lit(".dat")))
+        F.col("l_returnflag"), F.lit(" " * 5), F.date_format("l_shipdate", "yyyyMMdd"))
+    return _per_order(o, li, dtl, [pre, hdr], [junk], F.concat(F.lit("fw/inv_"), _s(K), F.lit(".dat")))

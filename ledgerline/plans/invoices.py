@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 
 from ledgerline.operators import reconcile as RC
 from ledgerline.operators import rules as R
-from ledgerline.session import table
+from ledgerline.session import materialize, table
 
 # Field order of the rendered documents.
 HEADER_FIELDS = ["invoice_number", "invoice_date", "customer", "status", "priority", "total"]
@@ -142,8 +142,8 @@ def profile_rules(version: int = 1) -> R.TieredRules:
 
 def flat_run(spark: SparkSession, sf_dir: str, version: int = 1, crosswalk: list[dict] | None = None):
     """Pairs, diffs and statuses of one reconciliation run over the invoices."""
-    src = invoice_records(spark, sf_dir, "source")
-    tgt = invoice_records(spark, sf_dir, "target")
+    src = materialize(invoice_records(spark, sf_dir, "source"))
+    tgt = materialize(invoice_records(spark, sf_dir, "target"))
     pairs = RC.pair_documents(RC.match_values_flat(src, MATCH_KEY), RC.match_values_flat(tgt, MATCH_KEY))
     diffs = RC.diff_flat(spark, pairs, src, tgt, profile_rules(version), crosswalk)
     return pairs, diffs

@@ -115,7 +115,7 @@ def ignore_filter(spark, sf):
     pairs = RC.pair_documents(RC.match_values_flat(src, I.MATCH_KEY), RC.match_values_flat(tgt, I.MATCH_KEY))
     s = RC._attach_pair(RC.flat_labelled(src), pairs, "source")
     t = RC._attach_pair(RC.flat_labelled(tgt), pairs, "target")
-    _, cand = RC.align(s, t, [])
+    cand = RC.align(s, t, []).filter(~F.col("presence"))
     kept = R.drop_ignored(cand, R.ignores_frame(spark, tiered))
     key = ["pair_id", "label", "field"]
     return (cand.join(kept.select(*key), key, "left_anti")

@@ -12,8 +12,7 @@ missing from the source and ``% 11 = 0`` from the target; BIG02 is
 ``l_partkey % 17 = 0``; IT104 printed without trailing zeros; TDS01 ``+100``
 cents when ``% 7 = 0``.  CTT01 and SE01 follow the lines actually written.
 
-Segments are first produced as rows ``(doc_id, block, sub, elements)`` – the
-same rows the SQL oracle builds – and only then joined into file text.
+The SQL oracle builds the same segments as rows straight from the tables.
 """
 
 from __future__ import annotations
@@ -24,7 +23,7 @@ from pyspark.sql import functions as F
 from ledgerline.operators import reconcile as RC
 from ledgerline.operators import rules as R
 from ledgerline.plans.invoices import numbered_lines
-from ledgerline.session import table
+from ledgerline.session import materialize, table
 
 # Separators per side (element, segment terminator, component).
 SEPARATORS = {"source": ("*", "~", ">"), "target": ("^", "~\n", ":")}
@@ -62,13 +61,20 @@ def _s(c: Column) -> Column:
     return c.cast("string")
 
 
-def segment_rows(spark: SparkSession, sf_dir: str, side: str) -> DataFrame:
-    """(doc_id, block, sub, elements) for every segment of every interchange."""
+def interchange_files(spark: SparkSession, sf_dir: str, side: str) -> DataFrame:
+    """One row per file: (doc_id, content).
+
+    Header and trailer segments are one projection per order; only the IT1
+    texts are gathered, per order (bounded by the order's lines), in the
+    partitioning the line-numbering window already produced – so lineitem is
+    shuffled once and orders once.
+    """
+    el, term, comp = SEPARATORS[side]
     tgt = side == "target"
     key = F.col("o_orderkey")
     o = table(spark, sf_dir, "orders")
     o = o.filter(key % 11 != 0) if tgt else o.filter(key % 13 != 0)
-    lines = numbered_lines(spark, sf_dir).join(o.select(F.col("o_orderkey").alias("l_orderkey")), "l_orderkey", "left_semi")
+    lines = numbered_lines(spark, sf_dir)
     if tgt:
         last = F.max("line_no").over(Window.partitionBy("l_orderkey"))
         lines = lines.withColumn("_last", last).filter(
@@ -79,68 +85,45 @@ def segment_rows(spark: SparkSession, sf_dir: str, side: str) -> DataFrame:
     price = _s(F.col("l_extendedprice").cast("decimal(18,2)"))
     if tgt:
         price = F.regexp_replace(F.regexp_replace(price, "0+$", ""), "\\.$", "")
-    doc = lambda k: F.concat(F.lit(f"{side}/810_"), _s(k), F.lit(".edi"))
-    n_lines = lines.groupBy("l_orderkey").agg(F.count(F.lit(1)).alias("n"))
-    h = o.join(n_lines, o.o_orderkey == n_lines.l_orderkey, "left").select(
-        doc(key).alias("doc_id"), key.alias("k"), "o_custkey", "o_orderpriority", "o_totalprice", "o_orderdate",
-        F.coalesce("n", F.lit(0)).alias("n"))
+    it1 = F.concat_ws(el, F.lit("IT1"), _s(F.col("line_no") + 1), _s(qty), F.lit("EA"), price, F.lit(""),
+                      F.lit("VP"), _s(F.col("l_partkey")), F.lit("SU"), _s(F.col("l_suppkey")))
+    per = (lines.groupBy("l_orderkey")
+                .agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("line_no", it1.alias("t")))),
+                                              lambda x: x["t"]), term).alias("body"),
+                     F.count(F.lit(1)).alias("n")))
+    h = o.join(per, key == per.l_orderkey, "left")
+    k = _s(key)
+    n = F.coalesce(F.col("n"), F.lit(0))
     ymd = F.date_format("o_orderdate", "yyyyMMdd")
-    ctrl = F.lpad(_s(F.col("k")), 9, "0")
-    el, term, comp = SEPARATORS[side]
-    del el, term
-    has_dtm = (F.col("k") % 23 != 0) if tgt else F.lit(True)
-    inv = F.concat(F.lit("INV-"), _s(F.col("k"))) if tgt else _s(F.col("k"))
-    st_name = F.when(F.col("k") % 3 == 0, F.lower("o_orderpriority")).otherwise(F.col("o_orderpriority")) if tgt \
+    ctrl = F.lpad(k, 9, "0")
+    has_dtm = (key % 23 != 0) if tgt else F.lit(True)
+    inv = F.concat(F.lit("INV-"), k) if tgt else k
+    st_name = F.when(key % 3 == 0, F.lower("o_orderpriority")).otherwise(F.col("o_orderpriority")) if tgt \
         else F.col("o_orderpriority")
     cents = F.round(F.col("o_totalprice").cast("decimal(18,2)") * 100).cast("bigint")
     if tgt:
-        cents = cents + F.when(F.col("k") % 7 == 0, F.lit(100)).otherwise(F.lit(0))
-    n_tx = F.col("n") + F.lit(6) + has_dtm.cast("int")
-    hdr = [
-        (0, 0, ["ISA", "00", " " * 10, "00", " " * 10, "ZZ", SENDER.ljust(15), "ZZ", RECEIVER.ljust(15),
-                F.date_format("o_orderdate", "yyMMdd"), "0000", "U", "00401", ctrl, "0", "P", comp], None),
-        (1, 0, ["GS", "IN", SENDER, RECEIVER, ymd, "0000", _s(F.col("k")), "X", "004010"], None),
-        (2, 0, ["ST", "810", "0001"], None),
-        (3, 0, ["BIG", ymd, inv, "", F.concat(F.lit("PO"), _s(F.col("k")))], None),
-        (4, 0, ["N1", "BY", F.concat(F.lit("CUSTOMER "), _s(F.col("o_custkey"))), "92", _s(F.col("o_custkey"))], None),
-        (4, 1, ["N1", "ST", st_name, "92", _s(F.col("o_custkey"))], None),
-        (5, 0, ["DTM", "011", ymd], has_dtm),
-        (7, 0, ["TDS", _s(cents)], None),
-        (8, 0, ["CTT", _s(F.col("n"))], None),
-        (9, 0, ["SE", _s(n_tx), "0001"], None),
-        (10, 0, ["GE", "1", _s(F.col("k"))], None),
-        (11, 0, ["IEA", "1", ctrl], None),
-    ]
-    parts = []
-    for block, sub, els, cond in hdr:
-        arr = F.array(*[e if isinstance(e, Column) else F.lit(e) for e in els])
-        df = h.select("doc_id", F.lit(block).alias("block"), F.lit(sub).alias("sub"), arr.alias("elements"))
-        if cond is not None:
-            df = h.filter(cond).select("doc_id", F.lit(block).alias("block"), F.lit(sub).alias("sub"), arr.alias("elements"))
-        parts.append(df)
-    it1 = lines.select(
-        doc(F.col("l_orderkey")).alias("doc_id"), F.lit(6).alias("block"), F.col("line_no").alias("sub"),
-        F.array(F.lit("IT1"), _s(F.col("line_no") + 1), _s(qty), F.lit("EA"), price, F.lit(""), F.lit("VP"),
-                _s(F.col("l_partkey")), F.lit("SU"), _s(F.col("l_suppkey"))).alias("elements"))
-    out = parts[0]
-    for p in parts[1:] + [it1]:
-        out = out.unionByName(p)
-    return out
-
-
-def interchange_files(spark: SparkSession, sf_dir: str, side: str) -> DataFrame:
-    """One row per file: (doc_id, content).
-
-    Segments are gathered per document (bounded by the document, not by any
-    key of the data) and ordered by (block, sub).
-    """
-    el, term, _ = SEPARATORS[side]
-    rows = segment_rows(spark, sf_dir, side)
-    text = F.array_join(F.col("elements"), el)
-    g = (rows.groupBy("doc_id")
-             .agg(F.array_sort(F.collect_list(F.struct("block", "sub", text.alias("t")))).alias("segs")))
-    content = F.concat(F.array_join(F.transform("segs", lambda x: x["t"]), term), F.lit(term))
-    return g.select("doc_id", content.alias("content"))
+        cents = cents + F.when(key % 7 == 0, F.lit(100)).otherwise(F.lit(0))
+
+    def seg(*els):
+        return F.concat_ws(el, *[e if isinstance(e, Column) else F.lit(e) for e in els])
+
+    segments = F.array(
+        seg("ISA", "00", " " * 10, "00", " " * 10, "ZZ", SENDER.ljust(15), "ZZ", RECEIVER.ljust(15),
+            F.date_format("o_orderdate", "yyMMdd"), "0000", "U", "00401", ctrl, "0", "P", comp),
+        seg("GS", "IN", SENDER, RECEIVER, ymd, "0000", k, "X", "004010"),
+        seg("ST", "810", "0001"),
+        seg("BIG", ymd, inv, "", F.concat(F.lit("PO"), k)),
+        seg("N1", "BY", F.concat(F.lit("CUSTOMER "), _s(F.col("o_custkey"))), "92", _s(F.col("o_custkey"))),
+        seg("N1", "ST", st_name, "92", _s(F.col("o_custkey"))),
+        F.when(has_dtm, seg("DTM", "011", ymd)),
+        F.col("body"),
+        seg("TDS", _s(cents)),
+        seg("CTT", _s(n)),
+        seg("SE", _s(n + 6 + has_dtm.cast("int")), "0001"),
+        seg("GE", "1", k),
+        seg("IEA", "1", ctrl))
+    content = F.concat(F.array_join(segments, term), F.lit(term))
+    return h.select(F.concat(F.lit(f"{side}/810_"), k, F.lit(".edi")).alias("doc_id"), content.alias("content"))
 
 
 def parsed_transactions(spark: SparkSession, sf_dir: str, side: str) -> DataFrame:
@@ -151,8 +134,8 @@ def parsed_transactions(spark: SparkSession, sf_dir: str, side: str) -> DataFram
 
 def x12_run(spark: SparkSession, sf_dir: str):
     """Pairs and diffs of the X12 reconciliation (render -> parse -> compare)."""
-    src = parsed_transactions(spark, sf_dir, "source")
-    tgt = parsed_transactions(spark, sf_dir, "target")
+    src = materialize(parsed_transactions(spark, sf_dir, "source"))
+    tgt = materialize(parsed_transactions(spark, sf_dir, "target"))
     pairs = RC.pair_documents(RC.match_values_x12(src, MATCH_KEY), RC.match_values_x12(tgt, MATCH_KEY))
     tiered = x12_rules()
     quals = R.effective_qualifiers(tiered, QUALIFIERS)

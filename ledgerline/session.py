@@ -59,3 +59,14 @@ def checkpoint_dir(spark: SparkSession) -> str:
     if not spark.sparkContext.getCheckpointDir():
         spark.sparkContext.setCheckpointDir(d)
     return d
+
+
+def materialize(df: DataFrame) -> DataFrame:
+    """Write an intermediate that several consumers read to the shared
+    checkpoint folder (reliable ``checkpoint``), cutting its lineage.
+
+    Used for document records that feed both key extraction and alignment, so
+    they are computed once and a lost executor does not recompute the chain.
+    """
+    checkpoint_dir(df.sparkSession)
+    return df.checkpoint(eager=True)
