@@ -66,9 +66,11 @@ def reclassify(spark: SparkSession, diffs: DataFrame, tiered: R.TieredRules,
     severity is ``ignore`` are dropped.  Values and texts are kept, nothing is
     re-compared – this is what makes tuning cheap.
     """
-    merged = R.merge_tiers(R.rules_frame(spark, tiered, crosswalk))
+    merged = R.merge_config(tiered, crosswalk)
+    star = next((m for m in merged if m["segment"] == "*" and m["field"] == "*"), None)
     keyed = diffs.withColumn("rule_segment", F.substring_index("segment", "*", 1))
-    res = R.resolve(keyed.drop("severity", "wildcard"), merged, seg_col="rule_segment", field_col="field")
+    res = R.resolve(keyed.drop("severity", "wildcard"), R.merged_frame(spark, tiered, crosswalk),
+                    seg_col="rule_segment", field_col="field", star_rule=star)
     return (res.filter(F.col("severity") != "ignore")
                .select(*[c for c in RC.DIFF_COLUMNS if c != "wildcard"], "wildcard"))
 

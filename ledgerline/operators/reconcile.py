@@ -290,8 +290,9 @@ def align_and_diff(src: DataFrame, tgt: DataFrame, spark: SparkSession, tiered:
     cqs = _cq_fields(tiered, crosswalk)
     cand = align(src, tgt, cqs)
     cand = R.drop_ignored(cand, R.ignores_frame(spark, tiered))
-    merged = R.merge_tiers(R.rules_frame(spark, tiered, crosswalk))
-    cand = R.resolve(cand, merged)
+    merged = R.merge_config(tiered, crosswalk)
+    star = next((m for m in merged if m["segment"] == "*" and m["field"] == "*"), None)
+    cand = R.resolve(cand, R.merged_frame(spark, tiered, crosswalk), star_rule=star)
     return evaluate(cand, cqs)
 
 

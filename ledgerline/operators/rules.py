@@ -122,6 +122,47 @@ def merge_tiers(rules: DataFrame) -> DataFrame:
         "conditional_qualifier", "amount_variance")
 
 
+def merge_config(tiered: TieredRules, crosswalk: list[dict] | None = None) -> list[dict]:
+    """C16 on the configuration itself: the same result as ``merge_tiers`` on
+    ``rules_frame``, computed in Python because rules are configuration.
+
+    Per exact (segment, field) every attribute comes from the highest tier
+    that sets it; ``tier`` is the highest tier with a rule.
+    """
+    rows: dict[tuple[str, str], list[tuple[int, str, dict]]] = {}
+    for tier, rs in tiered.tiers():
+        for r in rs.classification:
+            rows.setdefault((r.segment, r.field), []).append((TIER_RANK[tier], tier, asdict(r)))
+    for x in crosswalk or []:
+        d = {a: x.get(a) for a in RULE_ATTRS}
+        rows.setdefault((x.get("segment", "*"), x["field"]), []).append((TIER_RANK["crosswalk"], "crosswalk", d))
+    out = []
+    for (seg, fld), entries in sorted(rows.items()):
+        entries.sort(key=lambda e: e[0])
+        m = {"segment": seg, "field": fld, "tier": entries[-1][1]}
+        for a in RULE_ATTRS:
+            vals = [e[2].get(a) for e in entries if e[2].get(a) is not None]
+            m[a] = vals[-1] if vals else None
+        m["severity"] = m["severity"] or "hard"
+        m["ignore_case"] = bool(m["ignore_case"])
+        m["numeric"] = bool(m["numeric"])
+        out.append(m)
+    _checked(len(out), "merged rules")
+    return out
+
+
+MERGED_SCHEMA = ("segment string, field string, tier string, severity string, ignore_case boolean, "
+                 "numeric boolean, conditional_qualifier string, amount_variance double")
+
+
+def merged_frame(spark: SparkSession, tiered: TieredRules, crosswalk: list[dict] | None = None) -> DataFrame:
+    """Merged rules as a local (broadcastable, job-free) DataFrame."""
+    rows = [(m["segment"], m["field"], m["tier"], m["severity"], m["ignore_case"], m["numeric"],
+             m["conditional_qualifier"], None if m["amount_variance"] is None else float(m["amount_variance"]))
+            for m in merge_config(tiered, crosswalk)]
+    return spark.createDataFrame(rows, MERGED_SCHEMA)
+
+
 def _rule_struct(prefix: str) -> Column:
     return F.struct(*[F.col(f"{prefix}{a}").alias(a) for a in RULE_ATTRS])
 
@@ -142,8 +183,11 @@ def _literal_rule(row) -> Column:
                     F.lit(row["amount_variance"]).cast("double").alias("amount_variance"))
 
 
+_UNSET = object()
+
+
 def resolve(df: DataFrame, merged: DataFrame, seg_col: str = "rule_segment",
-            field_col: str = "field", prefix: str = "") -> DataFrame:
+            field_col: str = "field", prefix: str = "", star_rule=_UNSET) -> DataFrame:
     """Add ``{prefix}severity … amount_variance``, ``{prefix}wildcard``
     and ``{prefix}hit`` (some rule of ``merged`` applied, not the default).
 
@@ -151,6 +195,8 @@ def resolve(df: DataFrame, merged: DataFrame, seg_col: str = "rule_segment",
     ``MAX_RULES``.  Three broadcast equi left joins – (s, f), (s, *), (*, f) –
     and the single (*, *) rule read once at plan time and inlined as a literal
     (a join on a constant would plan as a nested loop).  ``df`` is not shuffled.
+    Pass ``star_rule`` (a dict or None) when the rules come from configuration
+    to skip reading it from ``merged``.
     """
     def side(t: DataFrame, n: int, keys: list[str]) -> DataFrame:
         cols = [F.col(k).alias(f"_r{n}_{k}") for k in keys]
@@ -161,7 +207,8 @@ def resolve(df: DataFrame, merged: DataFrame, seg_col: str = "rule_segment",
     r1 = side(merged, 1, ["segment", "field"])
     r2 = side(merged.filter(F.col("field") == "*"), 2, ["segment"])
     r3 = side(merged.filter(F.col("segment") == "*"), 3, ["field"])
-    star = merged.filter((F.col("segment") == "*") & (F.col("field") == "*")).limit(1).collect()
+    star = [r for r in merged.filter((F.col("segment") == "*") & (F.col("field") == "*")).limit(1).collect()] \
+        if star_rule is _UNSET else ([star_rule] if star_rule else [])
     out = (df
            .join(r1, (F.col(seg_col) == F.col("_r1_segment")) & (F.col(field_col) == F.col("_r1_field")), "left")
            .join(r2, F.col(seg_col) == F.col("_r2_segment"), "left")
@@ -218,10 +265,12 @@ IGNORE_SCHEMA = T.StructType([
 
 def ignores_frame(spark: SparkSession, tiered: TieredRules) -> DataFrame:
     """Ignore entries of all tiers, one row per distinct (segment, field)."""
-    rows = [(tier, s, f) for tier, rs in tiered.tiers() for (s, f) in rs.ignore]
-    _checked(len(rows), "ignore list")
-    df = spark.createDataFrame(rows, IGNORE_SCHEMA)
-    return df.groupBy("segment", "field").agg(F.min_by("tier", F.lit(0)).alias("tier"))
+    seen: dict[tuple[str, str], str] = {}
+    for tier, rs in tiered.tiers():
+        for s_, f_ in rs.ignore:
+            seen.setdefault((s_, f_), tier)
+    _checked(len(seen), "ignore list")
+    return spark.createDataFrame([(t, s_, f_) for (s_, f_), t in seen.items()], IGNORE_SCHEMA)
 
 
 def drop_ignored(df: DataFrame, ignores: DataFrame, seg_col: str = "rule_segment",

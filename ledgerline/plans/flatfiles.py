@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ledgerline.plans.invoices import numbered_lines
-from ledgerline.session import table
+from ledgerline.session import spread, table
 
 # Layouts of the three formats.
 CSV_LAYOUT = [("InvoiceNumber", "string"), ("LineNumber", "integer"), ("Part", "string"),
@@ -56,7 +56,7 @@ def _per_order(orders: DataFrame, lines: DataFrame, line_text: Column, head: lis
                 .agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("line_no", line_text.alias("t")))),
                                               lambda x: x["t"]), "\n").alias("body"),
                      F.count(F.lit(1)).alias("n")))
-    j = orders.join(per, orders.k == per.l_orderkey, "left")
+    j = spread(orders, "k").join(per, F.col("k") == per.l_orderkey, "left")
     text = F.array_join(F.array(*head, F.col("body"), *tail), "\n")
     return j.select(path.alias("path"), F.when(text != "", F.concat(text, F.lit("\n"))).otherwise(F.lit("")).alias("content"))
 

@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 
 from ledgerline.operators import reconcile as RC
 from ledgerline.operators import rules as R
-from ledgerline.session import materialize, table
+from ledgerline.session import materialize, spread, table
 
 # Field order of the rendered documents.
 HEADER_FIELDS = ["invoice_number", "invoice_date", "customer", "status", "priority", "total"]
@@ -101,6 +101,7 @@ def invoice_records(spark: SparkSession, sf_dir: str, side: str) -> DataFrame:
     inv_no = F.concat(F.lit("INV-"), text(key)) if tgt else text(key)
     prio = F.when(key % 3 == 0, F.lower("o_orderpriority")).otherwise(F.col("o_orderpriority")) if tgt else F.col("o_orderpriority")
     status = F.when(key % 23 != 0, F.col("o_orderstatus")) if tgt else F.col("o_orderstatus")
+    o = spread(o, "o_orderkey")
     heads = o.join(summ, o.o_orderkey == summ.l_orderkey, "left")
     header = heads.select(
         doc_id.alias("doc_id"), F.lit(0).alias("tx_index"), F.lit("header").alias("section"), F.lit(0).alias("occ"),
@@ -192,6 +193,7 @@ def invoice_documents(spark: SparkSession, sf_dir: str, side: str) -> DataFrame:
     inv_no = F.concat(F.lit("INV-"), text(key)) if tgt else text(key)
     prio = F.when(key % 3 == 0, F.lower("o_orderpriority")).otherwise(F.col("o_orderpriority")) if tgt else F.col("o_orderpriority")
     status = F.when(key % 23 != 0, F.col("o_orderstatus")) if tgt else F.col("o_orderstatus")
+    o = spread(o, "o_orderkey")
     j = o.join(per, o.o_orderkey == per.l_orderkey, "left")
     doc = F.struct(
         F.struct(inv_no.alias("invoice_number"), F.date_format("o_orderdate", "yyyy-MM-dd").alias("invoice_date"),

@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from ledgerline.operators import reconcile as RC
 from ledgerline.operators import rules as R
 from ledgerline.plans.invoices import numbered_lines
-from ledgerline.session import materialize, table
+from ledgerline.session import materialize, spread, table
 
 # Separators per side (element, segment terminator, component).
 SEPARATORS = {"source": ("*", "~", ">"), "target": ("^", "~\n", ":")}
@@ -73,7 +73,7 @@ def interchange_files(spark: SparkSession, sf_dir: str, side: str) -> DataFrame:
     tgt = side == "target"
     key = F.col("o_orderkey")
     o = table(spark, sf_dir, "orders")
-    o = o.filter(key % 11 != 0) if tgt else o.filter(key % 13 != 0)
+    o = spread(o.filter(key % 11 != 0) if tgt else o.filter(key % 13 != 0), "o_orderkey")
     lines = numbered_lines(spark, sf_dir)
     if tgt:
         last = F.max("line_no").over(Window.partitionBy("l_orderkey"))

@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ledgerline.plans.invoices import numbered_lines
-from ledgerline.session import table
+from ledgerline.session import spread, table
 
 # Declared struct of the invoice XML.
 INVOICE_XML_SCHEMA = (
@@ -41,7 +41,7 @@ def _per_order(spark: SparkSession, sf_dir: str, head: Column, line: Column, tai
     lines = (li.select(F.col("l_orderkey").alias("o_orderkey"), "line_no", line.alias("_t"))
                .groupBy("o_orderkey")
                .agg(F.array_sort(F.collect_list(F.struct("line_no", "_t"))).alias("_ls")))
-    j = o.join(lines, "o_orderkey", "left")
+    j = spread(o, "o_orderkey").join(lines, "o_orderkey", "left")
     body = F.coalesce(F.array_join(F.transform("_ls", lambda x: x["_t"]), ""), F.lit(""))
     return j.select(path.alias("path"), F.concat(head, body, tail).alias("content"))
 

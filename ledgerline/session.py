@@ -70,3 +70,16 @@ def materialize(df: DataFrame) -> DataFrame:
     """
     checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def spread(df: DataFrame, *keys: str) -> DataFrame:
+    """Hash-partition ``df`` by ``keys`` into ``spark.sql.shuffle.partitions``.
+
+    Used on the document side before per-document text work (render, parse,
+    hash).  The explicit count keeps AQE from coalescing it back into one task
+    when the input is a single small file; on a large input this is the same
+    shuffle a join on the key would do anyway, and a later join or aggregation
+    on the key reuses it.
+    """
+    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return df.repartition(n, *keys)

@@ -181,3 +181,12 @@ def test_swapping_sides_swaps_unmatched(spark, sf):
         spark, RC.pair_documents(kt, ks), tgt, src, I.profile_rules(1)))).first()
     assert (a["source_only"], a["target_only"]) == (b["target_only"], b["source_only"])
     assert a["total_pairs"] == b["total_pairs"]
+
+
+def test_python_merge_equals_spark_merge(spark):
+    t = I.profile_rules(2)
+    xw = [{"segment": "*", "field": "total", "amount_variance": 2.0}, {"segment": "*", "field": "new", "severity": "soft"}]
+    a = {(r["segment"], r["field"]): tuple(r[c] for c in ["tier"] + R.RULE_ATTRS)
+         for r in R.merge_tiers(R.rules_frame(spark, t, xw)).collect()}
+    b = {(m["segment"], m["field"]): tuple(m[c] for c in ["tier"] + R.RULE_ATTRS) for m in R.merge_config(t, xw)}
+    assert a == b
