@@ -144,20 +144,42 @@ def key_diagnostics(all_docs: DataFrame, keys: DataFrame, side: str) -> DataFram
 
 # ------------------------------------------------------------------ pairing
 
+def occurrence_numbers(df: DataFrame, key: str, order: list[str]) -> DataFrame:
+    """``occ`` = 1, 2, … per ``key`` in ``order`` – exact and skew-safe.
+
+    A plain ``row_number()`` window partitioned by ``key`` sorts every row of a
+    key in one task; a key shared by a third of all documents would stall the
+    job.  Instead the rows are range-partitioned by (key, order…) – the range
+    sampler splits a hot key across many partitions – numbered locally per
+    (partition, key), and shifted by the counts of the same key in earlier
+    partitions (a small per-(partition, key) table).
+    """
+    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    ranged = (df.repartitionByRange(n, key, *order)
+                .withColumn("_pid", F.spark_partition_id()))
+    w = Window.partitionBy("_pid", key).orderBy(*order)
+    local = ranged.withColumn("_loc", F.row_number().over(w))
+    counts = local.groupBy("_pid", key).agg(F.max("_loc").alias("_cnt"))
+    before = Window.partitionBy(key).orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = counts.select("_pid", key, F.coalesce(F.sum("_cnt").over(before), F.lit(0)).alias("_off"))
+    return (local.join(offsets, ["_pid", key])
+                 .withColumn("occ", (F.col("_off") + F.col("_loc")).cast("int"))
+                 .drop("_pid", "_loc", "_off"))
+
+
 def pair_documents(src_keys: DataFrame, tgt_keys: DataFrame, parity: bool = False) -> DataFrame:
     """Pair the i-th source with the i-th target transaction of each value.
 
     Occurrence order is (doc_id, tx_index) – deterministic, unlike directory
-    listing order (T6).  All surplus transactions are kept (T5);
+    listing order (T6) – and numbering is skew-safe (``occurrence_numbers``).  All surplus transactions are kept (T5);
     ``parity=True`` drops target surplus of values the source has, as the
     original tool does.
     Output: pair_id, match_value, occ, source_file, source_tx, target_file, target_tx.
     """
     def number(df: DataFrame, side: str) -> DataFrame:
-        w = Window.partitionBy("match_value").orderBy("doc_id", "tx_index")
-        return df.select("match_value", F.row_number().over(w).alias("occ"),
-                         F.col("doc_id").alias(f"{side}_file"),
-                         F.col("tx_index").alias(f"{side}_tx"))
+        n = occurrence_numbers(df, "match_value", ["doc_id", "tx_index"])
+        return n.select("match_value", "occ", F.col("doc_id").alias(f"{side}_file"),
+                        F.col("tx_index").alias(f"{side}_tx"))
 
     pairs = number(src_keys, "source").join(number(tgt_keys, "target"),
                                             ["match_value", "occ"], "full_outer")

@@ -190,3 +190,15 @@ def test_python_merge_equals_spark_merge(spark):
          for r in R.merge_tiers(R.rules_frame(spark, t, xw)).collect()}
     b = {(m["segment"], m["field"]): tuple(m[c] for c in ["tier"] + R.RULE_ATTRS) for m in R.merge_config(t, xw)}
     assert a == b
+
+
+def test_occurrence_numbers_hot_key(spark):
+    from pyspark.sql import Window
+    rows = [("HOT" if i % 3 else f"K{i % 7}", f"d{i:05d}", i % 2) for i in range(3000)]
+    df = spark.createDataFrame(rows, "match_value string, doc_id string, tx_index int")
+    got = RC.occurrence_numbers(df, "match_value", ["doc_id", "tx_index"])
+    w = Window.partitionBy("match_value").orderBy("doc_id", "tx_index")
+    want = df.withColumn("occ", F.row_number().over(w))
+    key = ["match_value", "doc_id", "tx_index", "occ"]
+    assert got.select(*key).exceptAll(want.select(*key)).count() == 0
+    assert got.count() == 3000
