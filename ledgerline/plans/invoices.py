@@ -141,11 +141,19 @@ def profile_rules(version: int = 1) -> R.TieredRules:
     return R.TieredRules(universal, transaction, partner)
 
 
-def flat_run(spark: SparkSession, sf_dir: str, version: int = 1, crosswalk: list[dict] | None = None):
-    """Pairs, diffs and statuses of one reconciliation run over the invoices."""
+def flat_inputs(spark: SparkSession, sf_dir: str):
+    """Records of both sides (written once to the checkpoint folder) and their pairs."""
     src = materialize(invoice_records(spark, sf_dir, "source"))
     tgt = materialize(invoice_records(spark, sf_dir, "target"))
     pairs = RC.pair_documents(RC.match_values_flat(src, MATCH_KEY), RC.match_values_flat(tgt, MATCH_KEY))
+    return src, tgt, pairs
+
+
+def flat_run(spark: SparkSession, sf_dir: str, version: int = 1, crosswalk: list[dict] | None = None,
+             inputs=None):
+    """Pairs and diffs of one reconciliation run over the invoices; runs that
+    differ only in rules share ``inputs`` (see ``flat_inputs``)."""
+    src, tgt, pairs = inputs or flat_inputs(spark, sf_dir)
     diffs = RC.diff_flat(spark, pairs, src, tgt, profile_rules(version), crosswalk)
     return pairs, diffs
 

@@ -115,7 +115,8 @@ SELECT coalesce(la.segment, lb.segment) AS segment, coalesce(la.field, lb.field)
 FROM la FULL OUTER JOIN lb ON la.segment = lb.segment AND la.field = lb.field""")
 def run_diff(spark, sf):
     """Run with rules v1 against a full re-run with rules v2."""
-    return A.run_diff(I.flat_run(spark, sf, 1)[1], I.flat_run(spark, sf, 2)[1])
+    inputs = I.flat_inputs(spark, sf)
+    return A.run_diff(I.flat_run(spark, sf, 1, inputs=inputs)[1], I.flat_run(spark, sf, 2, inputs=inputs)[1])
 
 
 @register("report_rows", _BASE + """SELECT 'invoices' AS profile, '' AS trading_partner, 1 AS run_id,

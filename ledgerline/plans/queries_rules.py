@@ -166,8 +166,9 @@ SELECT * FROM runs ORDER BY run_id DESC LIMIT 50""")
 def run_listing(spark, sf):
     """Run history newest first, paged (two runs: rules v1 and v2)."""
     runs = None
+    inputs = I.flat_inputs(spark, sf)
     for run_id, version in ((1, 1), (2, 2)):
-        pairs, diffs = I.flat_run(spark, sf, version)
+        pairs, diffs = I.flat_run(spark, sf, version, inputs=inputs)
         s = RC.run_summary(RC.pair_status(pairs, diffs)).select(
             F.lit(run_id).alias("run_id"), F.lit("invoices").alias("profile"),
             "total_pairs", "matched", "mismatched", "unmatched")
