@@ -78,9 +78,6 @@ def _qual_case() -> str:
 def diffs_sql() -> str:
     """WITH prefix ending in ``pairs`` and ``diffs`` for the X12 run."""
     tiered = X.x12_rules()
-    cqs = sorted({r.conditional_qualifier for _, rs in tiered.tiers() for r in rs.classification
-                  if r.conditional_qualifier})
-    del cqs
     num = NUMERIC_PATTERN.replace("'", "''")
 
     def dbl(v: str) -> str:
