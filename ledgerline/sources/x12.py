@@ -71,19 +71,27 @@ def transactions(segments: DataFrame) -> DataFrame:
     """Keep ST…SE loops and number them per file.
 
     A new ST restarts the loop; an ST without SE is dropped, as are segments
-    outside any loop (the envelope).  Three running windows over the file, all
-    on one sort by (doc_id, seg_pos).
+    outside any loop (the envelope).  All windows share the partitioning by
+    ``doc_id``: running counts over ``seg_pos`` ascending (group = STs so far;
+    SEs so far against the SE count at the group's ST = "before its first
+    SE"; closing SEs so far = transaction index) and one descending pass (does
+    the group ever close) – two sorts of the file's segments in total.
     """
-    w = Window.partitionBy("doc_id").orderBy("seg_pos")
-    run = w.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    s = segments.withColumn("_st", F.sum((F.col("segment") == "ST").cast("int")).over(run))
-    g = Window.partitionBy("doc_id", "_st").orderBy("seg_pos")
-    before = g.rowsBetween(Window.unboundedPreceding, -1)
-    s = (s.withColumn("_se_before", F.coalesce(F.sum((F.col("segment") == "SE").cast("int")).over(before), F.lit(0)))
-          .withColumn("_has_se", F.max((F.col("segment") == "SE").cast("int")).over(Window.partitionBy("doc_id", "_st"))))
-    kept = s.filter((F.col("_st") > 0) & (F.col("_se_before") == 0) & (F.col("_has_se") == 1))
-    tx = Window.partitionBy("doc_id").orderBy("_st")
-    return kept.select("doc_id", (F.dense_rank().over(tx) - 1).alias("tx_index"), "seg_pos", "segment", "elements")
+    is_st = (F.col("segment") == "ST").cast("int")
+    is_se = (F.col("segment") == "SE").cast("int")
+    asc = Window.partitionBy("doc_id").orderBy("seg_pos").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    desc = (Window.partitionBy("doc_id").orderBy(F.col("seg_pos").desc())
+                  .rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    s = segments.withColumns({"_is_se": is_se, "_st": F.sum(is_st).over(asc), "_se": F.sum(is_se).over(asc)})
+    # SE count when the current group's ST was read (SE counts only grow)
+    s = s.withColumn("_se0", F.max(F.when(F.col("segment") == "ST", F.col("_se"))).over(asc))
+    s = s.withColumn("_open", (F.col("_st") > 0) & ((F.col("_se") - F.col("_is_se")) == F.col("_se0")))
+    # the group closes when an SE of the same group lies at or after this row
+    s = s.withColumn("_closes", F.min(F.when(F.col("_is_se") == 1, F.col("_st"))).over(desc) == F.col("_st"))
+    kept = s.filter(F.col("_open") & F.coalesce(F.col("_closes"), F.lit(False)))
+    closing = (F.col("_is_se") == 1).cast("int")
+    tx = F.sum(closing).over(asc) - closing
+    return kept.select("doc_id", tx.alias("tx_index"), "seg_pos", "segment", "elements")
 
 
 def transaction_types(tx_segments: DataFrame) -> DataFrame:
