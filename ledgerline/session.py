@@ -32,6 +32,8 @@ def get_session(master: str | None = None, app: str = "ledgerline",
           .config("spark.sql.adaptive.skewJoin.enabled", "true")
           .config("spark.sql.session.timeZone", "UTC")
           .config("spark.sql.execution.arrow.pyspark.enabled", "true")
+          # checkpointed intermediates are removed once no DataFrame refers to them
+          .config("spark.cleaner.referenceTracking.cleanCheckpoints", "true")
           .config("spark.driver.memory", os.environ.get("LEDGERLINE_DRIVER_MEMORY", "16g")))
     spark = b.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
