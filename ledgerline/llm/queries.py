@@ -7,13 +7,25 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerline.llm import sharding, url_filter
+from ledgerline.llm import secrets, sharding, url_filter
 from ledgerline.session import table
 
 #: Bytes of text that one shard holds at most.
 SHARD_LIMIT = 1 << 20
 
 
+def op1_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``source`` owns a document; the document is the repository."""
+    found = secrets.scan_secrets(table(spark, sf_dir, "documents"), "text", "source", "doc_id", {"doc_id": "doc_id"})
+    n = [F.size(F.filter("base", _of_kind(k))).cast("long").alias(f"n_{secrets.KINDS[k]}") for k in range(3)]
+    return found.select("doc_id", *n, F.sha2(secrets.joined(F.col("base")), 256).alias("base_sha256"),
+                        secrets.joined(F.col("spans")).alias("spans"), "n_copied", "n_live")
+
+
+def _of_kind(kind: int):
+    return lambda s: s["kind"] == kind
+
+
 def op8_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     model = url_filter.train(url_filter.labelled_urls(spark))
     return (url_filter.judge_urls(table(spark, sf_dir, "pages"), "page_id", "url", model)
@@ -26,6 +38,49 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
             .withColumnRenamed("key", "doc_id"))
 
 
+def _secret_sql() -> str:
+    def places(kind: int, pattern: str, keep: str) -> str:
+        p = pattern.replace("'", "''").replace('\\"', '"')
+        return f"""
+  SELECT doc_id, source, {kind} AS kind, ms[i] AS m,
+         coalesce(list_sum([length(x) for x in gs[1:i]]), 0)
+         + coalesce(list_sum([length(x) for x in ms[1:i - 1]]), 0) AS start
+  FROM (SELECT doc_id, source, ms, gs, unnest(range(1, len(ms) + 1)) AS i FROM (
+    SELECT doc_id, source, regexp_extract_all(coalesce(text, ''), '{p}') AS ms,
+           string_split_regex(coalesce(text, ''), '{p}') AS gs FROM documents))
+  WHERE {keep}"""
+    assign = secrets.ASSIGN.replace("'", "''")
+    value = f"CASE kind WHEN 0 THEN regexp_extract(m, '{assign}', 2) ELSE m END"
+    live = ("regexp_matches(ms[i], '[A-Z]') AND regexp_matches(ms[i], '[a-z]') "
+            "AND regexp_matches(ms[i], '[0-9][^0-9]*[0-9]') "
+            "AND NOT regexp_matches(ms[i], '(?i)example|placeholder|changeme|xxxx')")
+    parts = [(0, secrets.ASSIGN, f"length(regexp_extract(ms[i], '{assign}', 2)) >= {secrets.ASSIGN_VALUE}"),
+             (1, secrets.ACCESS, "true"), (2, secrets.HEX, "true")]
+    one = "kinds[kind + 1] || ':' || start::BIGINT || ':' || stop::BIGINT"
+    return f"""
+WITH base AS ({" UNION ALL ".join(places(*x) for x in parts)}),
+tokens AS ({places(3, secrets.TOKEN, live)}),
+added AS (SELECT * FROM tokens t WHERE NOT EXISTS (
+  SELECT 1 FROM base b WHERE b.doc_id = t.doc_id AND b.start < t.start + length(t.m)
+  AND t.start < b.start + length(b.m))),
+held AS (SELECT doc_id, source, kind, start, start + length(m) AS stop, sha256({value}) AS hash
+         FROM (FROM base UNION ALL FROM added)),
+freq AS (SELECT hash, count(DISTINCT coalesce(source, '')) AS owners FROM held GROUP BY hash),
+judged AS (SELECT *, {list(secrets.KINDS)} AS kinds FROM held JOIN freq USING (hash)
+           WHERE kind < 3 OR owners <= 1),
+per AS (SELECT doc_id, count(*) FILTER (kind = 0) AS n0, count(*) FILTER (kind = 1) AS n1,
+  count(*) FILTER (kind = 2) AS n2,
+  coalesce(string_agg({one}, ',' ORDER BY start, kind) FILTER (kind < 3), '') AS base,
+  string_agg({one}, ',' ORDER BY start, kind) AS spans,
+  count(*) FILTER (kind < 3 AND owners >= 2) AS copied, count(*) FILTER (kind < 3 AND owners < 2) AS live
+  FROM judged GROUP BY doc_id)
+SELECT d.doc_id, coalesce(n0, 0) AS n_assign, coalesce(n1, 0) AS n_access, coalesce(n2, 0) AS n_hex,
+       sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans,
+       coalesce(copied, 0) AS n_copied, coalesce(live, 0) AS n_live
+FROM documents d LEFT JOIN per USING (doc_id)
+"""
+
+
 SHARDING_SQL = f"""
 WITH RECURSIVE sized AS (
   SELECT doc_id, coalesce(octet_length(encode(text)), 0)::BIGINT AS size,
@@ -44,10 +99,12 @@ FROM sized JOIN depth USING (doc_id) JOIN sums ON prefix = substr(bits, 1, d)
 """
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_secret_scan": op1_secret_scan,
     "op8_url_filter": op8_url_filter,
     "op10_sharding": op10_sharding,
 }
 
 ORACLE: dict[str, str] = {
+    "op1_secret_scan": _secret_sql(),
     "op10_sharding": SHARDING_SQL,
 }
