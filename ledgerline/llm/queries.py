@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerline.llm import secrets, sharding, url_filter
+from ledgerline.llm import decontaminate, secrets, sharding, url_filter
 from ledgerline.session import table
 
 #: Bytes of text that one shard holds at most.
@@ -26,6 +26,14 @@ def _of_kind(kind: int):
     return lambda s: s["kind"] == kind
 
 
+def op7_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = decontaminate.scan(table(spark, sf_dir, "documents"), "text", table(spark, sf_dir, "benchmark"),
+                               "item_id", "text", {"doc_id": "doc_id"})
+    return found.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"),
+                        F.sha2(F.array_join("items", ","), 256).alias("items_sha256"),
+                        decontaminate.contaminated().alias("contaminated"))
+
+
 def op8_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     model = url_filter.train(url_filter.labelled_urls(spark))
     return (url_filter.judge_urls(table(spark, sf_dir, "pages"), "page_id", "url", model)
@@ -81,6 +89,30 @@ FROM documents d LEFT JOIN per USING (doc_id)
 """
 
 
+WINDOW_SQL = """
+WITH dw AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+    'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') AS w FROM documents),
+bw AS (
+  SELECT item_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+    'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') AS w FROM benchmark),
+bs AS (SELECT item_id, w, least(13, len(w)) AS n, unnest(range(1, len(w) - least(13, len(w)) + 2)) AS i
+       FROM bw WHERE len(w) > 0),
+bwin AS (SELECT DISTINCT item_id, n, array_to_string(w[i:i + n - 1], ' ') AS win FROM bs),
+ds AS (SELECT doc_id, w, n, unnest(range(1, len(w) - n + 2)) AS i
+       FROM dw JOIN (SELECT DISTINCT n FROM bwin) ON len(w) >= n),
+hit AS (SELECT doc_id, item_id, i, n
+        FROM (SELECT doc_id, n, i, array_to_string(w[i:i + n - 1], ' ') AS win FROM ds) JOIN bwin USING (n, win)),
+words AS (SELECT doc_id, count(DISTINCT p) AS n_hit
+          FROM (SELECT doc_id, unnest(range(i, i + n)) AS p FROM hit) GROUP BY doc_id),
+items AS (SELECT doc_id, count(*) AS n_items, string_agg(id, ',' ORDER BY id) AS ids
+          FROM (SELECT DISTINCT doc_id, item_id::VARCHAR AS id FROM hit) GROUP BY doc_id)
+SELECT dw.doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items,
+       sha256(coalesce(ids, '')) AS items_sha256,
+       coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(w) AS contaminated
+FROM dw LEFT JOIN words USING (doc_id) LEFT JOIN items USING (doc_id)
+"""
+
 SHARDING_SQL = f"""
 WITH RECURSIVE sized AS (
   SELECT doc_id, coalesce(octet_length(encode(text)), 0)::BIGINT AS size,
@@ -100,11 +132,13 @@ FROM sized JOIN depth USING (doc_id) JOIN sums ON prefix = substr(bits, 1, d)
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_secret_scan": op1_secret_scan,
+    "op7_decontaminate": op7_decontaminate,
     "op8_url_filter": op8_url_filter,
     "op10_sharding": op10_sharding,
 }
 
 ORACLE: dict[str, str] = {
     "op1_secret_scan": _secret_sql(),
+    "op7_decontaminate": WINDOW_SQL,
     "op10_sharding": SHARDING_SQL,
 }

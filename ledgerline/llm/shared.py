@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import os
 import tempfile
 import uuid
+import zipfile
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -36,9 +38,24 @@ def write_through(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def text_batches(spark: SparkSession) -> None:
-    """Let Arrow batches hold few rows, as rows may hold very long texts.  A value that
-    the user has set stays."""
+_shipped: set[str] = set()
+
+
+def ready(spark: SparkSession) -> None:
+    """Before Python runs on executors: ship this package to them, and let Arrow batches
+    hold few rows, as rows may hold very long texts.  A batch size that the user has set
+    stays."""
+    if spark.sparkContext.applicationId not in _shipped:
+        root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+        # on the driver; Spark hands it out to the executors, also to those that join later
+        path = os.path.join(tempfile.mkdtemp(prefix="ledgerline-code-"), "ledgerline_llm.zip")
+        with zipfile.ZipFile(path, "w") as z:
+            for part in ("", "llm"):
+                for name in sorted(os.listdir(os.path.join(root, part))):
+                    if name.endswith(".py"):
+                        z.write(os.path.join(root, part, name), os.path.join("ledgerline", part, name))
+        spark.sparkContext.addPyFile(path)
+        _shipped.add(spark.sparkContext.applicationId)
     key = "spark.sql.execution.arrow.maxRecordsPerBatch"
     if spark.conf.get(key) == "10000":
         spark.conf.set(key, str(TEXT_BATCH_ROWS))
