@@ -7,7 +7,15 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerline.llm import decontaminate, secrets, sharding, url_filter
+from ledgerline.llm import (
+    decontaminate,
+    secrets,
+    sentencepiece_codec,
+    sharding,
+    token_counts,
+    token_files,
+    url_filter,
+)
 from ledgerline.session import table
 
 #: Bytes of text that one shard holds at most.
@@ -26,6 +34,30 @@ def _of_kind(kind: int):
     return lambda s: s["kind"] == kind
 
 
+def tokenizer_file(name: str) -> str:
+    """The place of a vocabulary file; the operators take paths."""
+    import public_tokenizers
+    return public_tokenizers.path(name)
+
+
+def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts.count_tokens(table(spark, sf_dir, "documents"), "text", tokenizer_file("byte_bpe_50k.json"),
+                                     {"doc_id": "doc_id"})
+
+
+def op5_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = token_files.token_files_in_shared_dir(spark)
+    token_files.write_token_files(table(spark, sf_dir, "documents"), "doc_id", "text",
+                                  tokenizer_file("word_bpe_49k.json"), 2, path)
+    return token_files.read_token_files(spark, path, with_ids=False)
+
+
+def op6_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sentencepiece_codec.encode_pieces(table(spark, sf_dir, "documents"), "text",
+                                             tokenizer_file("piece_bpe_32k.model"), {"doc_id": "doc_id"},
+                                             with_ids=False)
+
+
 def op7_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = decontaminate.scan(table(spark, sf_dir, "documents"), "text", table(spark, sf_dir, "benchmark"),
                                "item_id", "text", {"doc_id": "doc_id"})
@@ -132,6 +164,9 @@ FROM sized JOIN depth USING (doc_id) JOIN sums ON prefix = substr(bits, 1, d)
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_secret_scan": op1_secret_scan,
+    "op3_token_counts": op3_token_counts,
+    "op5_token_files": op5_token_files,
+    "op6_sentencepiece": op6_sentencepiece,
     "op7_decontaminate": op7_decontaminate,
     "op8_url_filter": op8_url_filter,
     "op10_sharding": op10_sharding,
