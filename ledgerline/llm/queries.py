@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ledgerline.llm import (
     decontaminate,
+    language_id,
     secrets,
     sentencepiece_codec,
     sharding,
@@ -45,6 +46,12 @@ def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
                                      {"doc_id": "doc_id"})
 
 
+def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").withColumn("held_out", language_id.held_out("doc_id"))
+    model = language_id.train(docs.where(~F.col("held_out")), "doc_id", "text", "lang")
+    return language_id.identify(docs, "text", model, {"doc_id": "doc_id", "held_out": "held_out"})
+
+
 def op5_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = token_files.token_files_in_shared_dir(spark)
     token_files.write_token_files(table(spark, sf_dir, "documents"), "doc_id", "text",
@@ -165,6 +172,7 @@ FROM sized JOIN depth USING (doc_id) JOIN sums ON prefix = substr(bits, 1, d)
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_secret_scan": op1_secret_scan,
     "op3_token_counts": op3_token_counts,
+    "op4_language_id": op4_language_id,
     "op5_token_files": op5_token_files,
     "op6_sentencepiece": op6_sentencepiece,
     "op7_decontaminate": op7_decontaminate,
