@@ -15,6 +15,7 @@ from ledgerline.llm import (
     sharding,
     token_counts,
     token_files,
+    topk,
     url_filter,
 )
 from ledgerline.session import table
@@ -79,6 +80,10 @@ def op8_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
             .withColumnRenamed("id", "page_id"))
 
 
+def op9_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk.top_k(table(spark, sf_dir, "embeddings"), "vec_id", "embedding", F.col("id") % 50 == 0)
+
+
 def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return (sharding.assign_shards(table(spark, sf_dir, "documents"), "doc_id",
                                    F.octet_length("text"), SHARD_LIMIT)
@@ -152,6 +157,15 @@ SELECT dw.doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0) AS n_hit, coales
 FROM dw LEFT JOIN words USING (doc_id) LEFT JOIN items USING (doc_id)
 """
 
+TOP_K_SQL = """
+WITH v AS (SELECT vec_id, [floor(256 * x::DOUBLE) for x in embedding] AS v FROM embeddings
+           WHERE embedding IS NOT NULL AND len([x for x in embedding if x IS NULL OR NOT isfinite(x)]) = 0),
+s AS (SELECT q.vec_id AS query_id, c.vec_id, list_inner_product(q.v, c.v)::BIGINT AS score
+      FROM v q JOIN v c ON q.vec_id <> c.vec_id WHERE q.vec_id % 50 = 0)
+SELECT query_id, rank::INT AS rank, vec_id, score
+FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s) WHERE rank <= 5
+"""
+
 SHARDING_SQL = f"""
 WITH RECURSIVE sized AS (
   SELECT doc_id, coalesce(octet_length(encode(text)), 0)::BIGINT AS size,
@@ -177,11 +191,13 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_sentencepiece": op6_sentencepiece,
     "op7_decontaminate": op7_decontaminate,
     "op8_url_filter": op8_url_filter,
+    "op9_exact_top_k": op9_exact_top_k,
     "op10_sharding": op10_sharding,
 }
 
 ORACLE: dict[str, str] = {
     "op1_secret_scan": _secret_sql(),
     "op7_decontaminate": WINDOW_SQL,
+    "op9_exact_top_k": TOP_K_SQL,
     "op10_sharding": SHARDING_SQL,
 }
