@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ledgerline.llm import (
     decontaminate,
+    jaccard_join,
     language_id,
     secrets,
     sentencepiece_codec,
@@ -47,6 +48,11 @@ def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
                                      {"doc_id": "doc_id"})
 
 
+def op2_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join.near_classes(table(spark, sf_dir, "documents"), "doc_id", "text", 4, 85).withColumnRenamed(
+        "id", "doc_id")
+
+
 def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").withColumn("held_out", language_id.held_out("doc_id"))
     model = language_id.train(docs.where(~F.col("held_out")), "doc_id", "text", "lang")
@@ -157,6 +163,23 @@ SELECT dw.doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0) AS n_hit, coales
 FROM dw LEFT JOIN words USING (doc_id) LEFT JOIN items USING (doc_id)
 """
 
+JACCARD_SQL = r"""
+WITH RECURSIVE w AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+    'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+s AS (SELECT DISTINCT doc_id, hash(array_to_string(w[i:i + 3], ' '), least(len(w), 4)) AS f
+      FROM (SELECT doc_id, w, unnest(range(1, greatest(len(w) - 2, 2))) AS i FROM w WHERE len(w) > 0)),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+links AS (SELECT a, b FROM (SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS i FROM s x JOIN s y USING (f)
+                           WHERE x.doc_id <> y.doc_id GROUP BY 1, 2)
+          JOIN n na ON na.doc_id = a JOIN n nb ON nb.doc_id = b WHERE 100 * i >= 85 * (na.n + nb.n - i)),
+reach AS (SELECT doc_id AS a, doc_id AS b FROM documents UNION SELECT reach.a, links.b FROM reach JOIN links ON reach.b = links.a),
+deg AS (SELECT a, count(*) AS n_links FROM links GROUP BY a)
+SELECT d.doc_id, coalesce(n, 0) AS n_shingles, c AS component_id, coalesce(n_links, 0) AS n_links
+FROM documents d LEFT JOIN n USING (doc_id) JOIN (SELECT a, min(b) AS c FROM reach GROUP BY a) r ON r.a = d.doc_id
+LEFT JOIN deg ON deg.a = d.doc_id
+"""
+
 TOP_K_SQL = """
 WITH v AS (SELECT vec_id, [floor(256 * x::DOUBLE) for x in embedding] AS v FROM embeddings
            WHERE embedding IS NOT NULL AND len([x for x in embedding if x IS NULL OR NOT isfinite(x)]) = 0),
@@ -185,6 +208,7 @@ FROM sized JOIN depth USING (doc_id) JOIN sums ON prefix = substr(bits, 1, d)
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_secret_scan": op1_secret_scan,
+    "op2_jaccard_join": op2_jaccard_join,
     "op3_token_counts": op3_token_counts,
     "op4_language_id": op4_language_id,
     "op5_token_files": op5_token_files,
@@ -197,6 +221,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 
 ORACLE: dict[str, str] = {
     "op1_secret_scan": _secret_sql(),
+    "op2_jaccard_join": JACCARD_SQL,
     "op7_decontaminate": WINDOW_SQL,
     "op9_exact_top_k": TOP_K_SQL,
     "op10_sharding": SHARDING_SQL,
