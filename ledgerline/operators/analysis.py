@@ -58,7 +58,7 @@ def mark_applied(discovered: DataFrame, events: DataFrame) -> DataFrame:
                               F.col("e.applied_by").alias("applied_by")))
 
 
-def reclassify(spark: SparkSession, diffs: DataFrame, tiered: R.TieredRules,
+def reclassify(spark: SparkSession, diffs: DataFrame, book: R.RuleBook,
                crosswalk: list[dict] | None = None) -> DataFrame:
     """Re-resolve the severity of stored diffs under current rules.
 
@@ -66,11 +66,11 @@ def reclassify(spark: SparkSession, diffs: DataFrame, tiered: R.TieredRules,
     severity is ``ignore`` are dropped.  Values and texts are kept, nothing is
     re-compared – this is what makes tuning cheap.
     """
-    merged = R.merge_config(tiered, crosswalk)
+    merged = R.merge_config(book, crosswalk)
     star = next((m for m in merged if m["segment"] == "*" and m["field"] == "*"), None)
     keyed = diffs.withColumn("rule_segment", F.substring_index("segment", "*", 1))
-    res = R.resolve(keyed.drop("severity", "wildcard"), R.merged_frame(spark, tiered, crosswalk),
-                    seg_col="rule_segment", field_col="field", star_rule=star)
+    res = R.resolve(keyed.drop("severity", "wildcard"), R.merged_frame(spark, book, crosswalk),
+                    seg_col="rule_segment", field_col="field", star_rule=star, n_rules=len(merged))
     return (res.filter(F.col("severity") != "ignore")
                .select(*[c for c in RC.DIFF_COLUMNS if c != "wildcard"], "wildcard"))
 

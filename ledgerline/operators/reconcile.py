@@ -26,14 +26,13 @@ Plan
 
 from __future__ import annotations
 
-from dataclasses import dataclass, field as dc_field
-
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ledgerline.functions.transforms import as_double, normalize
 from ledgerline.operators import rules as R
+from ledgerline.session import store
 
 COMPOSITE_SEP = "\x1f"
 
@@ -46,56 +45,66 @@ DIFF_COLUMNS = ["pair_id", "segment", "field", "severity", "source_value", "targ
                 "description", "wildcard"]
 
 
-@dataclass
-class KeyPart:
-    """One part of a match key: an X12 (segment, field) or a flat field path."""
-    segment: str | None = None
-    field: str | None = None
-    json_path: str | None = None
-    normalize: str | None = None
+class _Key:
+    """Places whose values make up a match value, each with an optional clean-up pattern.
+    The two kinds below read different documents, so a key cannot mix them (C3)."""
+
+    def __init__(self, *places: str):
+        """``places`` are read as they are; ``clean`` adds a place with its pattern."""
+        self.places: list[tuple[str, str | None]] = [(p, None) for p in places]
+
+    def clean(self, place: str, pattern: str):
+        self.places.append((place, pattern))
+        return self
+
+    def __iter__(self):
+        if not self.places:
+            raise ValueError(f"{type(self).__name__} names no place")
+        return iter(self.places)
+
+
+class PathKey(_Key):
+    """Paths of flat documents, like ``header.invoice_number``."""
+
 
+class ElementKey(_Key):
+    """X12 elements by their reference, like ``BIG02`` or ``N104``."""
 
-@dataclass
-class MatchKey:
-    parts: list[KeyPart] = dc_field(default_factory=list)
 
-    def mode(self) -> str:
-        """All parts X12 or all parts json path; mixing is rejected."""
-        if not self.parts:
-            raise ValueError("match key has no parts")
-        if all(p.json_path for p in self.parts):
-            return "json"
-        if all(p.segment and p.field for p in self.parts):
-            return "x12"
-        raise ValueError("match key parts must all be X12 segment/field or all json_path — not mixed")
+def fields_map(fields: Column) -> Column:
+    """Field name -> value; of a name that occurs more than once the last value stays."""
+    later = F.filter(fields, lambda x, i: ~F.exists(F.slice(fields, i + 2, F.size(fields)),
+                                                     lambda y: y["field"] == x["field"]))
+    names = F.transform(fields, lambda x: x["field"])
+    return F.map_from_entries(F.when(F.size(F.array_distinct(names)) < F.size(names), later).otherwise(fields))
 
 
 # ------------------------------------------------------------------ match keys
 
-def match_values_flat(records: DataFrame, key: MatchKey) -> DataFrame:
+def match_values_flat(records: DataFrame, key: PathKey) -> DataFrame:
     """Match value from a header path of flat documents.
 
-    ``json_path`` is ``header.<field>`` (or a bare field of a truly flat
+    A path is ``header.<field>`` (or a bare field of a truly flat
     document).  Empty or missing values give no entry; split remainders
     (``_is_split_remainder`` true in the header) are excluded (P11).
     Output: (doc_id, tx_index, match_value).
     """
-    if key.mode() != "json":
-        raise ValueError("flat documents need json_path key parts")
+    if not isinstance(key, PathKey):
+        raise TypeError("flat documents are matched by a PathKey")
+    places = list(key)
     head = records.filter(F.col("section").isin("header", "flat"))
-    fmap = F.map_from_entries("fields")
+    fmap = fields_map(F.col("fields"))
     cols = []
-    for i, p in enumerate(key.parts):
-        path = p.json_path.split(".")
-        name = path[-1]
-        sec = path[0] if len(path) > 1 else "flat"
+    for i, (place, pattern) in enumerate(places):
+        sec, _, name = place.rpartition(".")
+        sec = sec.split(".")[0] or "flat"
         v = F.when(F.col("section") == sec, F.element_at(fmap, F.lit(name)))
         # emptiness is checked on the raw value; normalising may yield ''
-        cols.append(normalize(F.when(v != "", v), p.normalize).alias(f"_k{i}"))
+        cols.append(normalize(F.when(v != "", v), pattern).alias(f"_k{i}"))
     rem = F.coalesce(F.lower(F.element_at(fmap, F.lit("_is_split_remainder"))).isin("true", "1"),
                      F.lit(False))
     k = head.select("doc_id", "tx_index", rem.alias("_rem"), *cols)
-    parts = [f"_k{i}" for i in range(len(key.parts))]
+    parts = [f"_k{i}" for i in range(len(places))]
     k = (k.groupBy("doc_id", "tx_index")
           .agg(F.max("_rem").alias("_rem"), *[F.max(c).alias(c) for c in parts]))
     value = F.concat_ws(COMPOSITE_SEP, *[F.col(c) for c in parts])
@@ -111,23 +120,23 @@ def x12_field_index(field: str) -> int:
     return int(digits[-2:]) if digits else 0
 
 
-def match_values_x12(segments: DataFrame, key: MatchKey) -> DataFrame:
+def match_values_x12(segments: DataFrame, key: ElementKey) -> DataFrame:
     """Per transaction, the first segment of the part's id with a non-empty
     element; composite parts must all resolve (strict AND).
 
     ``segments`` are transaction segments (``sources.x12.transactions``).
     Output: (doc_id, tx_index, match_value).
     """
-    if key.mode() != "x12":
-        raise ValueError("X12 documents need segment/field key parts")
-    aggs = []
-    for i, p in enumerate(key.parts):
-        v = F.get(F.col("elements"), F.lit(x12_field_index(p.field)))
-        hit = (F.col("segment") == p.segment) & v.isNotNull() & (v != "")
-        aggs.append(F.min_by(F.when(hit, normalize(v, p.normalize)),
+    if not isinstance(key, ElementKey):
+        raise TypeError("X12 documents are matched by an ElementKey")
+    places, aggs = list(key), []
+    for i, (place, pattern) in enumerate(places):
+        v = F.get(F.col("elements"), F.lit(x12_field_index(place)))
+        hit = (F.col("segment") == place[:-2]) & v.isNotNull() & (v != "")
+        aggs.append(F.min_by(F.when(hit, normalize(v, pattern)),
                              F.when(hit, F.col("seg_pos"))).alias(f"_k{i}"))
     k = segments.groupBy("doc_id", "tx_index").agg(*aggs)
-    parts = [F.col(f"_k{i}") for i in range(len(key.parts))]
+    parts = [F.col(f"_k{i}") for i in range(len(places))]
     ok = F.lit(True)
     for c in parts:
         ok = ok & c.isNotNull()
@@ -154,11 +163,12 @@ def occurrence_numbers(df: DataFrame, key: str, order: list[str]) -> DataFrame:
     (partition, key), and shifted by the counts of the same key in earlier
     partitions (a small per-(partition, key) table).
     """
-    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    ranged = (df.repartitionByRange(n, key, *order)
+    ranged = (df.repartitionByRange(key, *order)
                 .withColumn("_pid", F.spark_partition_id()))
     w = Window.partitionBy("_pid", key).orderBy(*order)
-    local = ranged.withColumn("_loc", F.row_number().over(w))
+    # range bounds are sampled anew for each plan node, so rows and counts must come from
+    # one computation: the numbered rows are written once
+    local = store(ranged.withColumn("_loc", F.row_number().over(w)))
     counts = local.groupBy("_pid", key).agg(F.max("_loc").alias("_cnt"))
     before = Window.partitionBy(key).orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
     offsets = counts.select("_pid", key, F.coalesce(F.sum("_cnt").over(before), F.lit(0)).alias("_off"))
@@ -242,11 +252,8 @@ def flat_labelled(records: DataFrame) -> DataFrame:
                           F.lit("").alias("qual"), "occ", label.alias("label"), "fields")
 
 
-def _cq_fields(tiered: R.TieredRules, crosswalk: list[dict] | None) -> list[str]:
-    out = {r.conditional_qualifier for _, rs in tiered.tiers() for r in rs.classification
-           if r.conditional_qualifier}
-    out |= {x["conditional_qualifier"] for x in crosswalk or [] if x.get("conditional_qualifier")}
-    return sorted(out)
+def _cq_fields(book: R.RuleBook, crosswalk: list[dict] | None) -> list[str]:
+    return sorted({r["conditional_qualifier"] for r in book.rows(crosswalk) if r["conditional_qualifier"]})
 
 
 def _presence_description(label: Column, only_src: Column) -> Column:
@@ -283,8 +290,8 @@ def align(src: DataFrame, tgt: DataFrame, cqs: list[str]) -> DataFrame:
     empty = F.array().cast(FIELD_STRUCT)
     j = j.select("pair_id", "section", "seg", "occ", label.alias("label"),
                  (only_src | only_tgt).alias("presence"), only_src.alias("only_src"),
-                 F.map_from_entries(F.coalesce("s_fields", empty)).alias("sm"),
-                 F.map_from_entries(F.coalesce("t_fields", empty)).alias("tm"),
+                 fields_map(F.coalesce("s_fields", empty)).alias("sm"),
+                 fields_map(F.coalesce("t_fields", empty)).alias("tm"),
                  F.when(only_src, _fields_repr(F.col("s_fields"))).alias("_srepr"),
                  F.when(only_tgt, _fields_repr(F.col("t_fields"))).alias("_trepr"))
     presence_row = F.array(F.struct(F.lit("").alias("key"), F.struct(F.col("_srepr").alias("s"),
@@ -304,17 +311,18 @@ def align(src: DataFrame, tgt: DataFrame, cqs: list[str]) -> DataFrame:
                      rule_seg.alias("rule_segment"), F.col("e.value.s").alias("s"), F.col("e.value.t").alias("t"))
 
 
-def align_and_diff(src: DataFrame, tgt: DataFrame, spark: SparkSession, tiered: R.TieredRules,
+def align_and_diff(src: DataFrame, tgt: DataFrame, spark: SparkSession, book: R.RuleBook,
                    crosswalk: list[dict] | None = None) -> DataFrame:
     """Diffs of labelled records that already carry ``pair_id`` (C9–C15):
     align (one join), then the ignore list (broadcast anti joins), rule
     resolution (broadcast joins) and evaluation – one linear plan."""
-    cqs = _cq_fields(tiered, crosswalk)
+    cqs = _cq_fields(book, crosswalk)
     cand = align(src, tgt, cqs)
-    cand = R.drop_ignored(cand, R.ignores_frame(spark, tiered))
-    merged = R.merge_config(tiered, crosswalk)
+    cand = R.drop_ignored(cand, R.ignores_frame(spark, book), n_rules=len(book.ignored))
+    merged = R.merge_config(book, crosswalk)
     star = next((m for m in merged if m["segment"] == "*" and m["field"] == "*"), None)
-    cand = R.resolve(cand, R.merged_frame(spark, tiered, crosswalk), star_rule=star)
+    cand = R.resolve(cand, R.merged_frame(spark, book, crosswalk), star_rule=star,
+                     n_rules=len(merged))
     return evaluate(cand, cqs)
 
 
@@ -356,20 +364,20 @@ def evaluate(cand: DataFrame, cqs: list[str]) -> DataFrame:
 
 
 def diff_flat(spark: SparkSession, pairs: DataFrame, src_records: DataFrame, tgt_records: DataFrame,
-              tiered: R.TieredRules, crosswalk: list[dict] | None = None) -> DataFrame:
+              book: R.RuleBook, crosswalk: list[dict] | None = None) -> DataFrame:
     """Diffs of flat documents (header, lines by position, summary)."""
     s = _attach_pair(flat_labelled(src_records), pairs, "source")
     t = _attach_pair(flat_labelled(tgt_records), pairs, "target")
-    return align_and_diff(s, t, spark, tiered, crosswalk)
+    return align_and_diff(s, t, spark, book, crosswalk)
 
 
 def diff_x12(spark: SparkSession, pairs: DataFrame, src_segments: DataFrame, tgt_segments: DataFrame,
-             tiered: R.TieredRules, qualifiers: dict[str, str | None],
+             book: R.RuleBook, qualifiers: dict[str, str | None],
              crosswalk: list[dict] | None = None) -> DataFrame:
     """Diffs of X12 transactions, segments aligned by qualifier."""
     s = _attach_pair(x12_qualified(src_segments, qualifiers), pairs, "source")
     t = _attach_pair(x12_qualified(tgt_segments, qualifiers), pairs, "target")
-    return align_and_diff(s, t, spark, tiered, crosswalk)
+    return align_and_diff(s, t, spark, book, crosswalk)
 
 
 # ------------------------------------------------------------------ statuses and totals

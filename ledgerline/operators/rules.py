@@ -12,20 +12,18 @@ join against a broadcast rule table (the single ``(*, *)`` rule is a literal);
 one OR-join would plan as a nested loop.
 
 Rule tables are configuration: they are built from Python values whose length
-is known when the plan is built, which is the size bound that makes
-broadcasting them safe (``MAX_RULES``).
+is known when the plan is built; up to ``BROADCAST_ROWS`` they carry a broadcast
+hint, beyond it Spark picks the join by size.
 """
 
 from __future__ import annotations
 
-from dataclasses import asdict, dataclass, field as dc_field
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-# Upper bound on rows of any rule/ignore/qualifier table that is broadcast.
-MAX_RULES = 100_000
+# Rows up to which a rule table carries a broadcast hint; larger ones are joined by size.
+BROADCAST_ROWS = 100_000
 
 # Tier names and their precedence (higher wins).
 TIER_RANK = {"universal": 1, "transaction": 2, "partner": 3, "crosswalk": 4}
@@ -45,61 +43,51 @@ RULE_SCHEMA = T.StructType([
 RULE_ATTRS = ["severity", "ignore_case", "numeric", "conditional_qualifier", "amount_variance"]
 
 
-@dataclass(frozen=True)
-class FieldRule:
-    segment: str
-    field: str
-    severity: str = "hard"
-    ignore_case: bool = False
-    numeric: bool = False
-    conditional_qualifier: str | None = None
-    amount_variance: float | None = None
-
+class RuleBook:
+    """The rules of a comparison profile: one list, every entry naming its tier."""
 
-@dataclass
-class RuleSet:
-    classification: list[FieldRule] = dc_field(default_factory=list)
-    ignore: list[tuple[str, str]] = dc_field(default_factory=list)
-    segment_qualifiers: dict[str, str | None] = dc_field(default_factory=dict)
+    def __init__(self) -> None:
+        self.rules: list[dict] = []
+        self.ignored: list[tuple[str, str, str]] = []
+        self.aligned: list[tuple[str, str, str | None]] = []
 
+    def rule(self, tier: str, segment: str, field: str, severity: str = "hard", **how) -> RuleBook:
+        """How ``field`` of ``segment`` is compared; ``how`` sets further rule attributes."""
+        unknown = set(how) - set(RULE_ATTRS)
+        if unknown or tier not in TIER_RANK:
+            raise ValueError(f"no such tier or attribute: {tier}, {sorted(unknown)}")
+        self.rules.append({"tier": tier, "segment": segment, "field": field, "severity": severity,
+                           "ignore_case": False, "numeric": False, **how})
+        return self
 
-@dataclass
-class TieredRules:
-    universal: RuleSet = dc_field(default_factory=RuleSet)
-    transaction: RuleSet = dc_field(default_factory=RuleSet)
-    partner: RuleSet = dc_field(default_factory=RuleSet)
+    def ignore(self, tier: str, segment: str, field: str) -> RuleBook:
+        self.ignored.append((tier, segment, field))
+        return self
 
-    def tiers(self) -> list[tuple[str, RuleSet]]:
-        return [("universal", self.universal), ("transaction", self.transaction),
-                ("partner", self.partner)]
+    def align_by(self, tier: str, segment: str, element: str | None) -> RuleBook:
+        """Occurrences of ``segment`` are matched by an element, or by position (None)."""
+        self.aligned.append((tier, segment, element))
+        return self
 
+    def rows(self, crosswalk: list[dict] | None = None) -> list[dict]:
+        """Rules as rows of ``RULE_SCHEMA``.  ``crosswalk`` rows come on top; an attribute
+        that they leave out inherits from the tiers (T7)."""
+        over = [{"tier": "crosswalk", "segment": "*", **x} for x in crosswalk or []]
+        return [{f.name: r.get(f.name) for f in RULE_SCHEMA} | {
+            "tier_rank": TIER_RANK[r["tier"]],
+            "amount_variance": None if r.get("amount_variance") is None else float(r["amount_variance"])}
+            for r in [*self.rules, *over]]
 
-def _checked(n: int, what: str) -> None:
-    if n > MAX_RULES:
-        raise ValueError(f"{what}: {n} rows exceed the broadcast bound {MAX_RULES}")
 
+def small(df: DataFrame, rows: int) -> DataFrame:
+    """Hint to broadcast a configuration table of ``rows`` rows, within the bound; beyond it
+    Spark chooses the join by size, with the same result."""
+    return F.broadcast(df) if rows <= BROADCAST_ROWS else df
 
-def rules_frame(spark: SparkSession, tiered: TieredRules,
-                crosswalk: list[dict] | None = None) -> DataFrame:
-    """All tier rules as one DataFrame (one row per tier rule).
 
-    ``crosswalk`` rows are ``{segment, field, severity?, ignore_case?, numeric?,
-    amount_variance?}``; a missing attribute inherits from the tiers (T7).
-    """
-    rows = []
-    for tier, rs in tiered.tiers():
-        for r in rs.classification:
-            d = asdict(r)
-            rows.append((tier, TIER_RANK[tier], d["segment"], d["field"], d["severity"],
-                         d["ignore_case"], d["numeric"], d["conditional_qualifier"],
-                         None if d["amount_variance"] is None else float(d["amount_variance"])))
-    for x in crosswalk or []:
-        rows.append(("crosswalk", TIER_RANK["crosswalk"], x.get("segment", "*"), x["field"],
-                     x.get("severity"), x.get("ignore_case"), x.get("numeric"),
-                     x.get("conditional_qualifier"),
-                     None if x.get("amount_variance") is None else float(x["amount_variance"])))
-    _checked(len(rows), "rules")
-    return spark.createDataFrame(rows, RULE_SCHEMA)
+def rules_frame(spark: SparkSession, book: RuleBook, crosswalk: list[dict] | None = None) -> DataFrame:
+    """All tier rules as one DataFrame (one row per tier rule)."""
+    return spark.createDataFrame([tuple(r[f.name] for f in RULE_SCHEMA) for r in book.rows(crosswalk)], RULE_SCHEMA)
 
 
 def merge_tiers(rules: DataFrame) -> DataFrame:
@@ -122,44 +110,27 @@ def merge_tiers(rules: DataFrame) -> DataFrame:
         "conditional_qualifier", "amount_variance")
 
 
-def merge_config(tiered: TieredRules, crosswalk: list[dict] | None = None) -> list[dict]:
+def merge_config(book: RuleBook, crosswalk: list[dict] | None = None) -> list[dict]:
     """C16 on the configuration itself: the same result as ``merge_tiers`` on
-    ``rules_frame``, computed in Python because rules are configuration.
-
-    Per exact (segment, field) every attribute comes from the highest tier
-    that sets it; ``tier`` is the highest tier with a rule.
-    """
-    rows: dict[tuple[str, str], list[tuple[int, str, dict]]] = {}
-    for tier, rs in tiered.tiers():
-        for r in rs.classification:
-            rows.setdefault((r.segment, r.field), []).append((TIER_RANK[tier], tier, asdict(r)))
-    for x in crosswalk or []:
-        d = {a: x.get(a) for a in RULE_ATTRS}
-        rows.setdefault((x.get("segment", "*"), x["field"]), []).append((TIER_RANK["crosswalk"], "crosswalk", d))
-    out = []
-    for (seg, fld), entries in sorted(rows.items()):
-        entries.sort(key=lambda e: e[0])
-        m = {"segment": seg, "field": fld, "tier": entries[-1][1]}
-        for a in RULE_ATTRS:
-            vals = [e[2].get(a) for e in entries if e[2].get(a) is not None]
-            m[a] = vals[-1] if vals else None
-        m["severity"] = m["severity"] or "hard"
-        m["ignore_case"] = bool(m["ignore_case"])
-        m["numeric"] = bool(m["numeric"])
-        out.append(m)
-    _checked(len(out), "merged rules")
-    return out
+    ``rules_frame``, computed in Python because rules are configuration."""
+    merged: dict[tuple[str, str], dict] = {}
+    for row in sorted(book.rows(crosswalk), key=lambda r: r["tier_rank"]):  # later rows win
+        into = merged.setdefault((row["segment"], row["field"]), dict.fromkeys(RULE_ATTRS))
+        into |= {a: row[a] for a in RULE_ATTRS if row[a] is not None} | {"tier": row["tier"]}
+    return [{"segment": seg, "field": fld, **m, "severity": m["severity"] or "hard",
+             "ignore_case": bool(m["ignore_case"]), "numeric": bool(m["numeric"])}
+            for (seg, fld), m in sorted(merged.items())]
 
 
 MERGED_SCHEMA = ("segment string, field string, tier string, severity string, ignore_case boolean, "
                  "numeric boolean, conditional_qualifier string, amount_variance double")
 
 
-def merged_frame(spark: SparkSession, tiered: TieredRules, crosswalk: list[dict] | None = None) -> DataFrame:
+def merged_frame(spark: SparkSession, book: RuleBook, crosswalk: list[dict] | None = None) -> DataFrame:
     """Merged rules as a local (broadcastable, job-free) DataFrame."""
     rows = [(m["segment"], m["field"], m["tier"], m["severity"], m["ignore_case"], m["numeric"],
              m["conditional_qualifier"], None if m["amount_variance"] is None else float(m["amount_variance"]))
-            for m in merge_config(tiered, crosswalk)]
+            for m in merge_config(book, crosswalk)]
     return spark.createDataFrame(rows, MERGED_SCHEMA)
 
 
@@ -187,12 +158,11 @@ _UNSET = object()
 
 
 def resolve(df: DataFrame, merged: DataFrame, seg_col: str = "rule_segment",
-            field_col: str = "field", prefix: str = "", star_rule=_UNSET) -> DataFrame:
+            field_col: str = "field", prefix: str = "", star_rule=_UNSET, n_rules: int = 0) -> DataFrame:
     """Add ``{prefix}severity … amount_variance``, ``{prefix}wildcard``
     and ``{prefix}hit`` (some rule of ``merged`` applied, not the default).
 
-    ``merged`` is the output of ``merge_tiers`` – configuration, bounded by
-    ``MAX_RULES``.  Three broadcast equi left joins – (s, f), (s, *), (*, f) –
+    ``merged`` is the output of ``merge_tiers`` – configuration.  Three equi left joins – (s, f), (s, *), (*, f) –
     and the single (*, *) rule read once at plan time and inlined as a literal
     (a join on a constant would plan as a nested loop).  ``df`` is not shuffled.
     Pass ``star_rule`` (a dict or None) when the rules come from configuration
@@ -202,7 +172,7 @@ def resolve(df: DataFrame, merged: DataFrame, seg_col: str = "rule_segment",
         cols = [F.col(k).alias(f"_r{n}_{k}") for k in keys]
         cols += [F.col(a).alias(f"_r{n}_{a}") for a in RULE_ATTRS]
         cols.append(F.lit(True).alias(f"_r{n}_hit"))
-        return F.broadcast(t.select(*cols))
+        return small(t.select(*cols), n_rules)
 
     r1 = side(merged, 1, ["segment", "field"])
     r2 = side(merged.filter(F.col("field") == "*"), 2, ["segment"])
@@ -263,26 +233,22 @@ IGNORE_SCHEMA = T.StructType([
 ])
 
 
-def ignores_frame(spark: SparkSession, tiered: TieredRules) -> DataFrame:
+def ignores_frame(spark: SparkSession, book: RuleBook) -> DataFrame:
     """Ignore entries of all tiers, one row per distinct (segment, field)."""
-    seen: dict[tuple[str, str], str] = {}
-    for tier, rs in tiered.tiers():
-        for s_, f_ in rs.ignore:
-            seen.setdefault((s_, f_), tier)
-    _checked(len(seen), "ignore list")
-    return spark.createDataFrame([(t, s_, f_) for (s_, f_), t in seen.items()], IGNORE_SCHEMA)
+    lowest = {(s, f): tier for tier, s, f in sorted(book.ignored, key=lambda x: -TIER_RANK[x[0]])}
+    return spark.createDataFrame([(tier, s, f) for (s, f), tier in lowest.items()], IGNORE_SCHEMA)
 
 
 def drop_ignored(df: DataFrame, ignores: DataFrame, seg_col: str = "rule_segment",
-                 field_col: str = "field") -> DataFrame:
+                 field_col: str = "field", n_rules: int = 0) -> DataFrame:
     """C14: remove rows whose (segment, field) is ignored.
 
     An entry (s, f) ignores exactly that field, (s, *) the whole segment and
     (*, f) the field in every segment.  Three broadcast anti joins.
     """
-    exact = F.broadcast(ignores.select(F.col("segment").alias("_i1s"), F.col("field").alias("_i1f")))
-    seg = F.broadcast(ignores.filter(F.col("field") == "*").select(F.col("segment").alias("_i2s")))
-    fld = F.broadcast(ignores.filter(F.col("segment") == "*").select(F.col("field").alias("_i3f")))
+    exact = small(ignores.select(F.col("segment").alias("_i1s"), F.col("field").alias("_i1f")), n_rules)
+    seg = small(ignores.filter(F.col("field") == "*").select(F.col("segment").alias("_i2s")), n_rules)
+    fld = small(ignores.filter(F.col("segment") == "*").select(F.col("field").alias("_i3f")), n_rules)
     return (df.join(exact, (F.col(seg_col) == F.col("_i1s")) & (F.col(field_col) == F.col("_i1f")), "left_anti")
               .join(seg, F.col(seg_col) == F.col("_i2s"), "left_anti")
               .join(fld, F.col(field_col) == F.col("_i3f"), "left_anti"))
@@ -290,17 +256,14 @@ def drop_ignored(df: DataFrame, ignores: DataFrame, seg_col: str = "rule_segment
 
 # ------------------------------------------------------------------ qualifiers
 
-def effective_qualifiers(tiered: TieredRules, profile_qualifiers: dict[str, str | None]) -> dict[str, str | None]:
+def effective_qualifiers(book: RuleBook, profile_qualifiers: dict[str, str | None]) -> dict[str, str | None]:
     """Tier qualifiers overlaid universal < transaction < partner < profile.
 
     An explicit ``None`` means "align by position".  Configuration, merged on
     the driver; it becomes a broadcast table in the X12 comparison.
     """
-    out: dict[str, str | None] = {}
-    for _, rs in tiered.tiers():
-        out.update(rs.segment_qualifiers)
-    out.update(profile_qualifiers)
-    return out
+    by_tier = sorted(book.aligned, key=lambda x: TIER_RANK[x[0]])
+    return {segment: element for _, segment, element in by_tier} | profile_qualifiers
 
 
 # ------------------------------------------------------------------ crosswalk

@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 
 from ledgerline.operators import reconcile as RC
 from ledgerline.operators import rules as R
-from ledgerline.session import materialize, spread, table
+from ledgerline.session import store, spread, table
 
 # Field order of the rendered documents.
 HEADER_FIELDS = ["invoice_number", "invoice_date", "customer", "status", "priority", "total"]
@@ -38,7 +38,7 @@ SUMMARY_FIELDS = ["line_count", "total_quantity"]
 LINE_ORDER = ["l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice", "l_discount",
               "l_tax", "l_returnflag", "l_linestatus", "l_shipdate"]
 
-MATCH_KEY = RC.MatchKey([RC.KeyPart(json_path="header.invoice_number", normalize="^INV-|")])
+MATCH_KEY = RC.PathKey().clean("header.invoice_number", "^INV-|")
 
 
 def money(c: Column) -> Column:
@@ -119,32 +119,26 @@ def invoice_records(spark: SparkSession, sf_dir: str, side: str) -> DataFrame:
 
 
 # The comparison profile used by the registered queries.
-def profile_rules(version: int = 1) -> R.TieredRules:
-    universal = R.RuleSet(classification=[R.FieldRule("*", "*", "hard")])
-    transaction = R.RuleSet(classification=[
-        R.FieldRule("*", "total", "hard", numeric=True, amount_variance=0.01),
-        R.FieldRule("*", "quantity", "hard", numeric=True),
-        R.FieldRule("*", "total_quantity", "hard", numeric=True),
-        R.FieldRule("*", "extended_price", "hard", numeric=True),
-    ])
-    partner = R.RuleSet(
-        classification=[
-            R.FieldRule("*", "priority", "hard", ignore_case=True),
-            R.FieldRule("*", "status", "soft", conditional_qualifier="priority"),
-            R.FieldRule("*", "ship_date", "soft"),
-        ],
-        ignore=[("*", "invoice_number"), ("*", "discount")])
+def profile_rules(version: int = 1) -> R.RuleBook:
+    book = (R.RuleBook().rule("universal", "*", "*")
+            .rule("transaction", "*", "total", numeric=True, amount_variance=0.01)
+            .rule("transaction", "*", "quantity", numeric=True)
+            .rule("transaction", "*", "total_quantity", numeric=True)
+            .rule("transaction", "*", "extended_price", numeric=True)
+            .rule("partner", "*", "priority", ignore_case=True)
+            .rule("partner", "*", "status", "soft", conditional_qualifier="priority")
+            .rule("partner", "*", "ship_date", "soft")
+            .ignore("partner", "*", "invoice_number").ignore("partner", "*", "discount"))
     if version >= 2:
-        partner.classification += [R.FieldRule("*", "quantity", "soft", numeric=True),
-                                   R.FieldRule("*", "line_count", "soft")]
-        partner.ignore += [("*", "total_quantity")]
-    return R.TieredRules(universal, transaction, partner)
+        book.rule("partner", "*", "quantity", "soft", numeric=True).rule("partner", "*", "line_count", "soft")
+        book.ignore("partner", "*", "total_quantity")
+    return book
 
 
 def flat_inputs(spark: SparkSession, sf_dir: str):
     """Records of both sides (written once to the checkpoint folder) and their pairs."""
-    src = materialize(invoice_records(spark, sf_dir, "source"))
-    tgt = materialize(invoice_records(spark, sf_dir, "target"))
+    src = store(invoice_records(spark, sf_dir, "source"))
+    tgt = store(invoice_records(spark, sf_dir, "target"))
     pairs = RC.pair_documents(RC.match_values_flat(src, MATCH_KEY), RC.match_values_flat(tgt, MATCH_KEY))
     return src, tgt, pairs
 

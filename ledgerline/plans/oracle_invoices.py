@@ -22,35 +22,28 @@ def _q(v) -> str:
     return "'" + str(v).replace("'", "''") + "'"
 
 
-def rules_values(tiered: R.TieredRules, crosswalk: list[dict] | None = None) -> str:
-    rows = []
-    for tier, rs in tiered.tiers():
-        for r in rs.classification:
-            rows.append((R.TIER_RANK[tier], tier, r.segment, r.field, r.severity, r.ignore_case, r.numeric,
-                         r.conditional_qualifier, r.amount_variance))
-    for x in crosswalk or []:
-        rows.append((R.TIER_RANK["crosswalk"], "crosswalk", x.get("segment", "*"), x["field"], x.get("severity"),
-                     x.get("ignore_case"), x.get("numeric"), x.get("conditional_qualifier"),
-                     x.get("amount_variance")))
+def rules_values(book: R.RuleBook, crosswalk: list[dict] | None = None) -> str:
+    columns = ["tier_rank", "tier", "segment", "field", *R.RULE_ATTRS]
+    rows = [[r[c] for c in columns] for r in book.rows(crosswalk)]
     body = ",\n    ".join("(" + ", ".join(_q(v) for v in r) + ")" for r in rows)
     return (f"SELECT * FROM (VALUES\n    {body}) AS t(tier_rank, tier, segment, field, severity, ignore_case, "
             f"numeric, conditional_qualifier, amount_variance)")
 
 
-def ignores_values(tiered: R.TieredRules) -> str:
-    rows = [(s, f) for _, rs in tiered.tiers() for (s, f) in rs.ignore]
+def ignores_values(book: R.RuleBook) -> str:
+    rows = [(s, f) for _, s, f in book.ignored]
     if not rows:
         return "SELECT CAST(NULL AS VARCHAR) AS segment, CAST(NULL AS VARCHAR) AS field WHERE FALSE"
     body = ", ".join(f"({_q(s)}, {_q(f)})" for s, f in rows)
     return f"SELECT DISTINCT * FROM (VALUES {body}) AS t(segment, field)"
 
 
-def merged_rules_sql(tiered: R.TieredRules, crosswalk: list[dict] | None = None) -> str:
+def merged_rules_sql(book: R.RuleBook, crosswalk: list[dict] | None = None) -> str:
     """Attribute-wise highest tier with a value."""
     attrs = ", ".join(f"arg_max({a}, CASE WHEN {a} IS NOT NULL THEN tier_rank END) AS {a}"
                       for a in R.RULE_ATTRS)
     return (f"SELECT segment, field, arg_max(tier, tier_rank) AS tier, {attrs} "
-            f"FROM ({rules_values(tiered, crosswalk)}) GROUP BY segment, field")
+            f"FROM ({rules_values(book, crosswalk)}) GROUP BY segment, field")
 
 
 def _fpos(fields: list[str]) -> str:
@@ -143,7 +136,7 @@ pairs AS (
   FROM s_n s FULL OUTER JOIN t_n t ON s.match_value = t.match_value AND s.occ = t.occ)"""
 
 
-def diff_ctes(tiered: R.TieredRules, crosswalk: list[dict] | None = None, suffix: str = "") -> str:
+def diff_ctes(book: R.RuleBook, crosswalk: list[dict] | None = None, suffix: str = "") -> str:
     """CTEs ending in ``diffs{suffix}`` for one rule set (needs INVOICE_CTES)."""
     x = suffix
     num = NUMERIC_PATTERN.replace("'", "''")
@@ -153,8 +146,8 @@ def diff_ctes(tiered: R.TieredRules, crosswalk: list[dict] | None = None, suffix
                 f"TRY_CAST(replace(trim({v}, chr(32)||chr(9)||chr(10)||chr(13)||chr(11)||chr(12)), '_', '') AS DOUBLE) END")
 
     return f""",
-mr{x} AS ({merged_rules_sql(tiered, crosswalk)}),
-ig{x} AS ({ignores_values(tiered)}),
+mr{x} AS ({merged_rules_sql(book, crosswalk)}),
+ig{x} AS ({ignores_values(book)}),
 s_fp{x} AS (SELECT p.pair_id, f.* FROM s_f f JOIN pairs p ON f.doc_id = p.source_file WHERE p.target_file IS NOT NULL),
 t_fp{x} AS (SELECT p.pair_id, f.* FROM t_f f JOIN pairs p ON f.doc_id = p.target_file WHERE p.source_file IS NOT NULL),
 s_lines{x} AS (SELECT pair_id, occ, '{{' || string_agg('''' || field || ''': ''' || value || '''', ', ' ORDER BY fpos) || '}}' AS repr

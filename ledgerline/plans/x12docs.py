@@ -23,15 +23,14 @@ from pyspark.sql import functions as F
 from ledgerline.operators import reconcile as RC
 from ledgerline.operators import rules as R
 from ledgerline.plans.invoices import numbered_lines
-from ledgerline.session import materialize, spread, table
+from ledgerline.session import store, spread, table
 
 # Separators per side (element, segment terminator, component).
 SEPARATORS = {"source": ("*", "~", ">"), "target": ("^", "~\n", ":")}
 SENDER, RECEIVER = "LEDGERSRC", "LEDGERTGT"
 
-MATCH_KEY = RC.MatchKey([RC.KeyPart(segment="BIG", field="BIG02", normalize="^INV-|")])
-COMPOSITE_KEY = RC.MatchKey([RC.KeyPart(segment="BIG", field="BIG04"),
-                             RC.KeyPart(segment="N1", field="N104")])
+MATCH_KEY = RC.ElementKey().clean("BIG02", "^INV-|")
+COMPOSITE_KEY = RC.ElementKey("BIG04", "N104")
 
 # Qualifier field per segment id (None = align by position).
 QUALIFIERS = {"N1": "N101", "REF": "REF01", "DTM": "DTM01", "PER": "PER01", "IT1": "IT101",
@@ -42,19 +41,16 @@ SPEC_810 = [("ST", 1, 1), ("BIG", 1, 1), ("N1", 0, 200), ("DTM", 1, 10), ("IT1",
             ("TDS", 1, 1), ("CTT", 0, 1), ("SE", 1, 1)]
 
 
-def x12_rules() -> R.TieredRules:
+def x12_rules() -> R.RuleBook:
     """The 810 comparison profile."""
-    universal = R.RuleSet(classification=[R.FieldRule("*", "*", "hard")], ignore=[("SE", "SE01")])
-    transaction = R.RuleSet(classification=[
-        R.FieldRule("IT1", "IT102", "hard", numeric=True),
-        R.FieldRule("IT1", "IT104", "hard", numeric=True),
-        R.FieldRule("IT1", "IT107", "hard", conditional_qualifier="IT106"),
-        R.FieldRule("N1", "N102", "hard", ignore_case=True),
-        R.FieldRule("TDS", "TDS01", "hard", numeric=True),
-        R.FieldRule("CTT", "CTT01", "soft"),
-    ])
-    partner = R.RuleSet(classification=[R.FieldRule("BIG", "BIG02", "ignore")])
-    return R.TieredRules(universal, transaction, partner)
+    return (R.RuleBook().rule("universal", "*", "*").ignore("universal", "SE", "SE01")
+            .rule("transaction", "IT1", "IT102", numeric=True)
+            .rule("transaction", "IT1", "IT104", numeric=True)
+            .rule("transaction", "IT1", "IT107", conditional_qualifier="IT106")
+            .rule("transaction", "N1", "N102", ignore_case=True)
+            .rule("transaction", "TDS", "TDS01", numeric=True)
+            .rule("transaction", "CTT", "CTT01", "soft")
+            .rule("partner", "BIG", "BIG02", "ignore"))
 
 
 def _s(c: Column) -> Column:
@@ -134,8 +130,8 @@ def parsed_transactions(spark: SparkSession, sf_dir: str, side: str) -> DataFram
 
 def x12_run(spark: SparkSession, sf_dir: str):
     """Pairs and diffs of the X12 reconciliation (render -> parse -> compare)."""
-    src = materialize(parsed_transactions(spark, sf_dir, "source"))
-    tgt = materialize(parsed_transactions(spark, sf_dir, "target"))
+    src = store(parsed_transactions(spark, sf_dir, "source"))
+    tgt = store(parsed_transactions(spark, sf_dir, "target"))
     pairs = RC.pair_documents(RC.match_values_x12(src, MATCH_KEY), RC.match_values_x12(tgt, MATCH_KEY))
     tiered = x12_rules()
     quals = R.effective_qualifiers(tiered, QUALIFIERS)

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -15,26 +16,20 @@ TABLES = (
 
 def get_session(master: str | None = None, app: str = "ledgerline",
                 shuffle_partitions: int | None = None) -> SparkSession:
-    """Build (or reuse) a session with AQE on and the UI off.
+    """Build (or reuse) a session.
 
-    On a cluster the master and resource settings come from spark-submit; the
-    values here are only defaults for local runs and tests.
+    Settings belong to spark-submit; they are made here only for a run that names its own
+    ``master`` (tests, bench).
     """
     b = SparkSession.builder.appName(app)
     if master:
-        b = b.master(master)
-    parts = shuffle_partitions or int(os.environ.get("LEDGERLINE_SHUFFLE_PARTITIONS", "8"))
-    b = (b.config("spark.ui.enabled", "false")
-          .config("spark.ui.showConsoleProgress", "false")
-          .config("spark.sql.shuffle.partitions", str(parts))
-          .config("spark.sql.adaptive.enabled", "true")
-          .config("spark.sql.adaptive.coalescePartitions.enabled", "true")
-          .config("spark.sql.adaptive.skewJoin.enabled", "true")
-          .config("spark.sql.session.timeZone", "UTC")
-          .config("spark.sql.execution.arrow.pyspark.enabled", "true")
-          # checkpointed intermediates are removed once no DataFrame refers to them
-          .config("spark.cleaner.referenceTracking.cleanCheckpoints", "true")
-          .config("spark.driver.memory", os.environ.get("LEDGERLINE_DRIVER_MEMORY", "16g")))
+        parts = shuffle_partitions or int(os.environ.get("LEDGERLINE_SHUFFLE_PARTITIONS", "8"))
+        b = (b.master(master)
+              .config("spark.ui.enabled", "false")
+              .config("spark.ui.showConsoleProgress", "false")
+              .config("spark.sql.shuffle.partitions", str(parts))
+              .config("spark.sql.session.timeZone", "UTC")
+              .config("spark.driver.memory", os.environ.get("LEDGERLINE_DRIVER_MEMORY", "16g")))
     spark = b.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
     return spark
@@ -46,32 +41,27 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
-    """Shared folder for checkpoints and intermediate tables.
-
-    Reads ``spark.checkpoint.dir`` from the session (the cluster names a shared
-    folder there).  Only when it is unset – local runs and tests – a scratch
-    folder is created and registered.
+    """Shared folder for intermediate tables: ``spark.checkpoint.dir``, which the cluster
+    names.  Where it is unset, a local master gets a scratch folder; on a cluster that is
+    an error, as executors do not see the driver's disk.
     """
-    d = spark.conf.get("spark.checkpoint.dir", None)
-    if not d:
-        d = spark.sparkContext.getCheckpointDir()
+    d = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not d:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         d = tempfile.mkdtemp(prefix="ledgerline-ckpt-")
         spark.conf.set("spark.checkpoint.dir", d)
-    if not spark.sparkContext.getCheckpointDir():
-        spark.sparkContext.setCheckpointDir(d)
     return d
 
 
-def materialize(df: DataFrame) -> DataFrame:
-    """Write an intermediate that several consumers read to the shared
-    checkpoint folder (reliable ``checkpoint``), cutting its lineage.
-
-    Used for document records that feed both key extraction and alignment, so
-    they are computed once and a lost executor does not recompute the chain.
+def store(df: DataFrame) -> DataFrame:
+    """Write an intermediate that several consumers read as Parquet in the shared folder,
+    and read it back: computed once, columns pruned on each read, and a lost executor
+    does not recompute the chain.
     """
-    checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    path = f"{checkpoint_dir(df.sparkSession).rstrip('/')}/ledgerline-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def spread(df: DataFrame, *keys: str) -> DataFrame:

@@ -34,11 +34,9 @@ def test_isa_is_106_chars():
 
 
 def tiered():
-    universal = R.RuleSet([R.FieldRule("*", "*", "hard")], ignore=[("SE", "SE01"), ("ISA", "*")])
-    transaction = R.RuleSet([R.FieldRule("N1", "N102", "hard", ignore_case=True),
-                             R.FieldRule("IT1", "IT104", "hard", numeric=True),
-                             R.FieldRule("IT1", "IT109", "soft", conditional_qualifier="IT108")])
-    return R.TieredRules(universal, transaction, R.RuleSet())
+    return (R.RuleBook().rule("universal", "*", "*").ignore("universal", "SE", "SE01").ignore("universal", "ISA", "*")
+            .rule("transaction", "N1", "N102", ignore_case=True).rule("transaction", "IT1", "IT104", numeric=True)
+            .rule("transaction", "IT1", "IT109", "soft", conditional_qualifier="IT108"))
 
 
 def run_x12(spark, src_text, tgt_text, rules=None, quals=None):
@@ -47,7 +45,7 @@ def run_x12(spark, src_text, tgt_text, rules=None, quals=None):
     s, _ = X.parse(files_s)
     t, _ = X.parse(files_t)
     s, t = X.transactions(s), X.transactions(t)
-    key = RC.MatchKey([RC.KeyPart(segment="BIG", field="BIG02")])
+    key = RC.ElementKey("BIG02")
     pairs = RC.pair_documents(RC.match_values_x12(s, key), RC.match_values_x12(t, key))
     q = quals if quals is not None else {"N1": "N101", "IT1": "IT101"}
     return pairs, RC.diff_x12(spark, pairs, s, t, rules or tiered(), q)
@@ -115,15 +113,19 @@ def test_composite_key_strict_and(spark):
     f = spark.createDataFrame([("d", interchange(segs)), ("e", interchange(segs[:2] + segs[3:]))],
                               "doc_id string, content string")
     tx = X.transactions(X.parse(f)[0])
-    key = RC.MatchKey([RC.KeyPart(segment="BIG", field="BIG04"), RC.KeyPart(segment="N1", field="N104")])
+    key = RC.ElementKey("BIG04", "N104")
     got = {r["doc_id"]: r["match_value"] for r in RC.match_values_x12(tx, key).collect()}
     assert got == {"d": "PO1\x1fLINE1"}
 
 
-def test_mixed_key_rejected():
+def test_keys_fit_one_kind_of_document(spark):
     import pytest
+    with pytest.raises(TypeError):
+        RC.match_values_x12(spark.range(1), RC.PathKey("header.x"))
+    with pytest.raises(TypeError):
+        RC.match_values_flat(spark.range(1), RC.ElementKey("BIG02"))
     with pytest.raises(ValueError):
-        RC.MatchKey([RC.KeyPart(segment="BIG", field="BIG02"), RC.KeyPart(json_path="header.x")]).mode()
+        RC.match_values_flat(spark.range(1), RC.PathKey())
 
 
 def test_flat_key_excludes_remainder(spark):
@@ -137,8 +139,7 @@ def test_flat_key_excludes_remainder(spark):
 
 
 def test_rule_resolution_tier_vs_wildcard(spark):
-    t = R.TieredRules(R.RuleSet([R.FieldRule("N1", "N102", "hard")]), R.RuleSet(),
-                      R.RuleSet([R.FieldRule("*", "*", "soft")]))
+    t = R.RuleBook().rule("universal", "N1", "N102").rule("partner", "*", "*", "soft")
     rules = R.rules_frame(spark, t)
     keys = spark.createDataFrame([("N1", "N102"), ("N1", "N103")], "segment string, field string")
     c17 = {r["field"]: (r["severity"], r["wildcard"]) for r in
@@ -149,7 +150,7 @@ def test_rule_resolution_tier_vs_wildcard(spark):
 
 
 def test_crosswalk_inherits_tier_attributes(spark):
-    t = R.TieredRules(R.RuleSet([R.FieldRule("*", "total", "hard", numeric=True, amount_variance=0.01)]))
+    t = R.RuleBook().rule("universal", "*", "total", numeric=True, amount_variance=0.01)
     rules = R.rules_frame(spark, t, [{"segment": "*", "field": "total", "severity": "soft"}])
     m = R.merge_tiers(rules).first()
     assert (m["severity"], m["numeric"], m["amount_variance"], m["tier"]) == ("soft", True, 0.01, "crosswalk")
@@ -158,7 +159,8 @@ def test_crosswalk_inherits_tier_attributes(spark):
 
 
 def test_ignore_list_forms(spark):
-    t = R.TieredRules(R.RuleSet(ignore=[("SE", "SE01"), ("ISA", "*"), ("*", "REF02")]))
+    t = (R.RuleBook().ignore("universal", "SE", "SE01").ignore("universal", "ISA", "*")
+         .ignore("universal", "*", "REF02"))
     df = spark.createDataFrame([("SE", "SE01"), ("SE", "SE02"), ("ISA", "ISA06"), ("REF", "REF02"), ("N1", "N101")],
                                "rule_segment string, field string")
     kept = {(r[0], r[1]) for r in R.drop_ignored(df, R.ignores_frame(spark, t)).collect()}
@@ -202,3 +204,32 @@ def test_occurrence_numbers_hot_key(spark):
     key = ["match_value", "doc_id", "tx_index", "occ"]
     assert got.select(*key).exceptAll(want.select(*key)).count() == 0
     assert got.count() == 3000
+
+
+def test_duplicate_field_names_keep_the_last(spark):
+    recs = spark.createDataFrame([("a", [("x", "1"), ("y", "2"), ("x", "3")])],
+                                 "doc_id string, fields array<struct<field:string,value:string>>")
+    from pyspark.sql import functions as F
+    assert recs.select(RC.fields_map(F.col("fields")).alias("m")).first()["m"] == {"x": "3", "y": "2"}
+
+
+def test_occurrence_numbers_without_exchange_reuse(spark):
+    from pyspark.sql import functions as F
+    df = spark.range(6000).select(F.when(F.col("id") % 3 == 0, "hot").otherwise(F.concat(F.lit("k"), F.col("id") % 5)).alias("v"),
+                                  F.col("id").alias("doc_id"), F.lit(0).alias("tx_index"))
+    spark.conf.set("spark.sql.exchange.reuse", "false")
+    try:
+        got = RC.occurrence_numbers(df, "v", ["doc_id", "tx_index"]).collect()
+    finally:
+        spark.conf.set("spark.sql.exchange.reuse", "true")
+    seen = {}
+    for r in sorted(got, key=lambda r: r["doc_id"]):
+        seen[r["v"]] = seen.get(r["v"], 0) + 1
+        assert r["occ"] == seen[r["v"]]
+    assert len(got) == 6000
+
+
+def test_large_rule_tables_give_the_same_diffs(spark, monkeypatch):
+    want = sorted(map(tuple, run_x12(spark, interchange(SRC), interchange(TGT))[1].collect()))
+    monkeypatch.setattr(R, "BROADCAST_ROWS", 0)
+    assert sorted(map(tuple, run_x12(spark, interchange(SRC), interchange(TGT))[1].collect())) == want
