@@ -29,34 +29,33 @@ files AS (
          lower(regexp_extract(regexp_extract(path, '([^/]*)$', 1), '\\.([^.]*)$', 1)) AS ext FROM raw),
 files2 AS (
   SELECT *, CASE WHEN ext = '' THEN name ELSE regexp_extract(name, '^(.*)\\.[^.]*$', 1) END AS stem,
-    CASE WHEN ext IN ('xml', 'cxml') AND strpos(substr(content, 1, 500), 'cXML') > 0 THEN 'cxml'
+    CASE WHEN ext IN ('xml', 'cxml') AND regexp_matches(content, '^[^\\w]*(?:<[?!][^>]*>\\s*)*<cXML\\b') THEN 'cxml'
          ELSE coalesce({_case("ext", EXTENSION_FORMATS)},
-                       CASE WHEN strpos(substr(content, 1, 500), 'ST*') > 0 THEN 'x12'
-                            WHEN starts_with(trim(substr(content, 1, 500)), '<?xml') OR strpos(substr(content, 1, 100), '<') > 0
-                            THEN 'xml' END) END AS format,
+                       CASE WHEN regexp_matches(content, '^\\s*(?:ISA|ST)[^A-Za-z0-9\\s]') THEN 'x12'
+                            WHEN regexp_matches(content, '^\\s*<') THEN 'xml' END) END AS format,
     nullif(regexp_extract(name, '(\\d{{3}})', 1), '') AS code,
     sha256(content) AS content_hash FROM files),
 firsts AS (SELECT content_hash, min(path) AS first_path FROM files2 GROUP BY content_hash),
 lay AS (SELECT * FROM (VALUES {", ".join(f"('{k}', '{v}')" for k, v in sorted(B.LAYOUTS.items()))}) t(dir, layout)),
 reg AS (SELECT * FROM (VALUES {", ".join(f"('{k}', '{v}')" for k, v in sorted(B.MAPS.items()))}) t(key, map)),
 routed AS (
-  SELECT f.*, CASE WHEN f.path <> fi.first_path THEN 'batch' END AS dup, l.layout,
+  SELECT f.*, l.layout,
          coalesce(r1.map, r2.map, {"'" + B.MAPS["_default_x12"] + "'" if "_default_x12" in B.MAPS else "NULL"}) AS map0
-  FROM files2 f JOIN firsts fi USING (content_hash) LEFT JOIN lay l USING (dir)
+  FROM files2 f LEFT JOIN lay l USING (dir)
   LEFT JOIN reg r1 ON r1.key = f.code LEFT JOIN reg r2 ON r2.key = f.stem),
+faulted AS (
+  SELECT *, CASE WHEN format IS NULL OR (format = 'csv' AND layout IS NULL) OR (format = 'x12' AND map0 IS NULL) THEN 'DETECTION'
+                 WHEN (format = 'x12' AND NOT (length(content) >= 106 AND starts_with(content, 'ISA')))
+                   OR (format IN ('xml', 'cxml') AND NOT starts_with(trim(content), '<')) THEN 'TRANSFORMATION' END AS fault
+  FROM routed),
+passing AS (SELECT content_hash, min(path) AS first_path FROM faulted WHERE fault IS NULL GROUP BY content_hash),
+judged AS (SELECT f.*, CASE WHEN fault IS NULL AND path <> first_path THEN 'batch' END AS dup
+           FROM faulted f LEFT JOIN passing USING (content_hash)),
 results AS (
   SELECT path, dir, name, ext, content_hash, format, code, layout,
     CASE WHEN format = 'x12' THEN map0 END AS map,
-    CASE WHEN dup IS NOT NULL THEN 'SKIPPED'
-         WHEN format IS NULL OR (format = 'csv' AND layout IS NULL) OR (format = 'x12' AND map0 IS NULL)
-           OR (format = 'x12' AND NOT (length(content) >= 106 AND starts_with(content, 'ISA')))
-           OR (format IN ('xml', 'cxml') AND NOT starts_with(trim(content), '<')) THEN 'FAILED'
-         ELSE 'SUCCESS' END AS status,
-    CASE WHEN dup IS NOT NULL THEN NULL
-         WHEN format IS NULL THEN 'DETECTION' WHEN format = 'csv' AND layout IS NULL THEN 'DETECTION'
-         WHEN format = 'x12' AND map0 IS NULL THEN 'DETECTION'
-         WHEN (format = 'x12' AND NOT (length(content) >= 106 AND starts_with(content, 'ISA')))
-           OR (format IN ('xml', 'cxml') AND NOT starts_with(trim(content), '<')) THEN 'TRANSFORMATION' END AS stage,
+    CASE WHEN dup IS NOT NULL THEN 'SKIPPED' WHEN fault IS NOT NULL THEN 'FAILED' ELSE 'SUCCESS' END AS status,
+    fault AS stage,
     CASE WHEN dup IS NOT NULL THEN 'Duplicate file'
          WHEN format IS NULL THEN 'Unknown file format'
          WHEN format = 'csv' AND layout IS NULL THEN 'No layout registered for directory'
@@ -65,7 +64,7 @@ results AS (
            THEN 'PARSE_FAIL: not an X12 interchange (missing ISA header)'
          WHEN format IN ('xml', 'cxml') AND NOT starts_with(trim(content), '<') THEN 'XML parse error: content is not markup' END AS reason,
     sha256(path || '|' || content_hash) AS correlation_id
-  FROM routed),
+  FROM judged),
 rerun AS (
   SELECT r.path, CASE WHEN m.content_hash IS NOT NULL THEN 'SKIPPED' ELSE r.status END AS status,
          CASE WHEN m.content_hash IS NOT NULL THEN NULL ELSE r.stage END AS stage

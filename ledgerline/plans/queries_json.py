@@ -93,6 +93,21 @@ def json_split(spark, sf):
     return J.split_summary(recs.withColumn("invoice", inv), "invoice")
 
 
+@register("split_documents", """SELECT * FROM (
+  SELECT 'fw/inv_' || o_orderkey || '.dat' AS path, 'unknown' AS split_key, TRUE AS is_split_remainder, 1 AS occ
+  FROM orders WHERE o_orderkey % 4 = 0
+  UNION ALL
+  SELECT 'fw/inv_' || o_orderkey || '.dat', lpad(CAST(o_orderkey AS VARCHAR), 10, '0'), FALSE,
+         unnest(range(1, CAST(2 + coalesce(n, 0) AS INTEGER)))::INT
+  FROM orders LEFT JOIN (SELECT l_orderkey, count(*) AS n FROM lineitem GROUP BY l_orderkey) ON o_orderkey = l_orderkey)""")
+def split_documents(spark, sf):
+    """Every record with its document and its place in it."""
+    recs, _ = FW.read_fixed_width(FF.fixed_width_files(spark, sf), FF.FW_LAYOUTS)
+    inv = D.fill_forward_key(recs, F.col("record_id") == "INV_HDR", F.col("INV_HDR.invoice"))
+    split = J.split_documents(recs.withColumn("invoice", inv), "invoice", order_col="line_no")
+    return split.select("path", "split_key", "is_split_remainder", "occ")
+
+
 @register("deep_diff", f"WITH {_LI}," + _side("s") + "," + _side("t") + """,
 common_docs AS (SELECT doc FROM s_jh INTERSECT SELECT doc FROM t_jh),
 lens AS (SELECT e.doc, e.path, e.n AS en, a.n AS an FROM s_len e JOIN t_len a USING (doc, path) WHERE e.n <> a.n),
@@ -109,15 +124,13 @@ k AS (SELECT *, CASE WHEN a_type IS NULL THEN 'missing' WHEN e_type IS NULL THEN
       FROM j WHERE NOT EXISTS (SELECT 1 FROM lens l WHERE l.doc = j.doc AND regexp_extract(j.path, '^([^\\[]*)\\[', 1) = l.path))
 SELECT doc, path, kind, etext AS expected, atext AS actual, enum AS expected_num, anum AS actual_num FROM k WHERE kind IS NOT NULL
 UNION ALL
-SELECT doc, path, 'length', CAST(en AS VARCHAR), CAST(an AS VARCHAR), NULL, NULL FROM lens""")
+SELECT doc, path, 'length', CAST(en AS VARCHAR), CAST(an AS VARCHAR), NULL, NULL FROM lens
+UNION ALL SELECT doc, '', 'missing_document', NULL, NULL, NULL, NULL FROM s_jh WHERE doc NOT IN (SELECT doc FROM common_docs)
+UNION ALL SELECT doc, '', 'unexpected_document', NULL, NULL, NULL, NULL FROM t_jh WHERE doc NOT IN (SELECT doc FROM common_docs)""")
 def deep_diff(spark, sf):
     """Golden-style deep comparison of the source documents (expected) with the target ones (actual)."""
     def side(name):
         d = I.invoice_documents(spark, sf, name)
         return d.select(F.regexp_extract("path", r"([^/]*)$", 1).alias("doc_name"), "doc")
-    e, a = side("source"), side("target")
-    common = e.select("doc_name").join(a.select("doc_name"), "doc_name")
-    e = e.join(common, "doc_name", "left_semi")
-    a = a.join(common, "doc_name", "left_semi")
-    d = J.deep_diff(e, a, key="doc_name", doc_col="doc", skip={"invoice_number"})
+    d = J.deep_diff(side("source"), side("target"), key="doc_name", doc_col="doc", skip={"invoice_number"})
     return d.withColumnRenamed("doc_name", "doc")

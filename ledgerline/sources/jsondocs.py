@@ -9,11 +9,13 @@ inferred per file.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ledgerline.operators.reconcile import FIELD_STRUCT
+from ledgerline.operators.reconcile import FIELD_STRUCT, occurrence_numbers
 
 
 def clean_nan(content: Column) -> Column:
@@ -42,27 +44,26 @@ def write_json_docs(docs: DataFrame, out_dir: str, doc_col: str = "doc", by: str
     docs.select(by, F.col(doc_col).alias("document")).write.mode("append").partitionBy(by).json(out_dir)
 
 
-def split_documents(lines: DataFrame, key_col: str, file_col: str = "path", order_col: str = "row_no",
-                    max_lines: int = 100_000) -> DataFrame:
-    """Lines grouped by split key into documents.
+def split_documents(lines: DataFrame, key_col: str, file_col: str = "path", order_col: str = "row_no") -> DataFrame:
+    """Lines with the document that they belong to, one row per line.
 
-    A missing key forms the ``unknown`` remainder, flagged
-    ``_is_split_remainder`` (and excluded from pairing later).  Documents are
-    per (file, key) and cut into parts of at most ``max_lines`` lines (by the
-    line's position in the file), so no group – not even a key holding a third
-    of the data – is gathered into one row without bound.
+    Documents are per (file, key); lines without a key form the ``unknown`` remainder,
+    flagged ``is_split_remainder`` (and excluded from pairing later).  ``occ`` numbers a
+    document's lines from 1 in file order; the numbering splits hot keys, and no document
+    is gathered into one row.  ``order_col`` is unique within a file.
     """
     key = F.col(key_col).cast("string")
     blank = key.isNull() | (F.btrim(key) == "")
-    l = lines.withColumns({"_key": F.when(blank, F.lit("unknown")).otherwise(key),
-                           "_rem": blank,
-                           "_part": F.floor(F.col(order_col) / F.lit(max_lines))})
-    row = F.struct(*[F.col(c) for c in lines.columns])
-    return (l.groupBy(file_col, "_key", "_rem", "_part")
-             .agg(F.array_sort(F.collect_list(F.struct(F.col(order_col).alias("_o"), row.alias("line")))).alias("_ls"))
-             .select(F.col(file_col), F.col("_key").alias("split_key"), F.col("_part").alias("part"),
-                     F.struct(F.col("_key").alias(key_col), F.col("_rem").alias("_is_split_remainder")).alias("header"),
-                     F.transform("_ls", lambda x: x["line"]).alias("lines")))
+    doc = F.to_json(F.struct(F.col(file_col).alias("f"), F.when(blank, F.lit("unknown")).otherwise(key).alias("k"),
+                             blank.alias("r")))
+    rows = lines.withColumns({"split_key": F.when(blank, F.lit("unknown")).otherwise(key),
+                              "is_split_remainder": blank, "_doc": doc})
+    return occurrence_numbers(rows, "_doc", [order_col]).drop("_doc", "_cnt")
+
+
+def write_split_documents(split: DataFrame, out_dir: str, file_col: str = "path") -> None:
+    """S20 sink: JSON lines under one folder for each file and key."""
+    split.write.mode("append").partitionBy(file_col, "split_key", "is_split_remainder").json(out_dir)
 
 
 def split_summary(lines: DataFrame, key_col: str, file_col: str = "path") -> DataFrame:
@@ -121,56 +122,51 @@ def _kind(dt: T.DataType) -> str:
     return "str"
 
 
-def flatten_document(doc: Column, dt: T.StructType, skip: set[str], path: str = "") -> tuple[list[Column], list[tuple]]:
-    """Scalar leaves as structs (path, type, text, num) and the lists of the document.
-
-    Returns ``(leaves, lists)``; ``lists`` are ``(path, array column, element type)``
-    for the caller to compare by length and explode.  The walk happens at plan
-    time over the declared schema.
-    """
-    leaves, lists = [], []
-    for f in dt.fields:
-        if f.name in skip:
-            continue
-        p = f"{path}.{f.name}" if path else f.name
-        c = doc[f.name]
-        if isinstance(f.dataType, T.StructType):
-            lv, ls = flatten_document(c, f.dataType, skip, p)
-            leaves += lv
-            lists += ls
-        elif isinstance(f.dataType, T.ArrayType):
-            lists.append((p, c, f.dataType.elementType))
+def _leaf(path: Column, value: Column, dt: T.DataType) -> Column:
+    kind = _kind(dt)
+    numeric = kind in ("int", "float")
+    return F.struct(path.alias("path"), F.when(value.isNull(), F.lit("null")).otherwise(F.lit(kind)).alias("type"),
+                    (F.lit(None).cast("string") if numeric else value.cast("string")).alias("text"),
+                    (value.cast("double") if numeric else F.lit(None).cast("double")).alias("num"))
+
+
+def _walk(df: DataFrame, key: str, value: Column, dt: T.DataType, path: Column, skip: set[str],
+          leaves: list[DataFrame], lengths: list[DataFrame]) -> None:
+    """Scalars below ``value`` as rows (key, v, within) and its lists as rows (key, path, n).
+    ``df`` carries ``_in``, the lists around ``value``.  The walk follows the declared
+    schema when the plan is built: structs inside structs, lists inside lists."""
+    scalars, lists = [], []
+
+    def collect(c: Column, t: T.DataType, at: Column) -> None:
+        if isinstance(t, T.StructType):
+            for f in t.fields:
+                if f.name not in skip:
+                    collect(c[f.name], f.dataType, F.concat(at, F.when(at == "", "").otherwise("."), F.lit(f.name)))
+        elif isinstance(t, T.ArrayType):
+            lists.append((at, c, t.elementType))
         else:
-            k = _kind(f.dataType)
-            numeric = k in ("int", "float")
-            leaves.append(F.struct(F.lit(p).alias("path"), F.when(c.isNull(), F.lit("null")).otherwise(F.lit(k)).alias("type"),
-                                   (F.lit(None).cast("string") if numeric else c.cast("string")).alias("text"),
-                                   (c.cast("double") if numeric else F.lit(None).cast("double")).alias("num")))
-    return leaves, lists
+            scalars.append(_leaf(at, c, t))
+
+    collect(value, dt, path)
+    if scalars:
+        leaves.append(df.select(key, F.explode(F.array(*scalars)).alias("v"), F.col("_in").alias("within")))
+    for at, c, element in lists:
+        lengths.append(df.select(key, at.alias("path"), F.size(c).alias("n")))
+        inside = df.select(key, F.concat("_in", F.array(at)).alias("_in"), at.alias("_at"), F.posexplode(c).alias("_i", "_e"))
+        inside = inside.select(key, "_in", "_e", F.concat("_at", F.lit("["), F.col("_i").cast("string"), F.lit("]")).alias("_p"))
+        _walk(inside, key, F.col("_e"), element, F.col("_p"), skip, leaves, lengths)
 
 
 def _leaf_rows(df: DataFrame, doc_col: str, key: str, skip: set[str]) -> tuple[DataFrame, DataFrame]:
-    dt = df.schema[doc_col].dataType
-    leaves, lists = flatten_document(F.col(doc_col), dt, skip)
-    scal = df.select(key, F.explode(F.array(*leaves)).alias("v")) if leaves else None
-    rows = [] if scal is None else [scal]
-    lens = []
-    for p, arr, et in lists:
-        lens.append(df.select(key, F.lit(p).alias("path"), F.size(arr).alias("n")))
-        ex = df.select(key, F.posexplode(arr).alias("_i", "_e"))
-        if isinstance(et, T.StructType):
-            lv, _ = flatten_document(F.col("_e"), et, skip)
-            elem = ex.select(key, "_i", F.explode(F.array(*lv)).alias("_v"))
-            rows.append(elem.select(key, F.struct(
-                F.concat(F.lit(p), F.lit("["), F.col("_i").cast("string"), F.lit("]."), F.col("_v.path")).alias("path"),
-                "_v.type", "_v.text", "_v.num").alias("v")))
-    out = rows[0]
-    for r in rows[1:]:
-        out = out.unionByName(r)
-    ln = lens[0]
-    for x in lens[1:]:
-        ln = ln.unionByName(x)
-    return out.select(key, "v.*"), ln
+    leaves: list[DataFrame] = []
+    lengths: list[DataFrame] = []
+    rows = df.withColumn("_in", F.array().cast("array<string>"))
+    _walk(rows, key, F.col(doc_col), df.schema[doc_col].dataType, F.lit(""), skip, leaves, lengths)
+    none = df.where("false")
+    leaves = leaves or [none.select(key, _leaf(F.lit(""), F.lit(""), T.StringType()).alias("v"),
+                                    F.array().cast("array<string>").alias("within"))]
+    lengths = lengths or [none.select(key, F.lit("").alias("path"), F.lit(0).alias("n"))]
+    return (reduce(DataFrame.unionByName, leaves).select(key, "v.*", "within"), reduce(DataFrame.unionByName, lengths))
 
 
 def deep_diff(expected: DataFrame, actual: DataFrame, key: str = "doc", doc_col: str = "doc",
@@ -179,9 +175,17 @@ def deep_diff(expected: DataFrame, actual: DataFrame, key: str = "doc", doc_col:
 
     Missing / unexpected keys, one row per list whose length differs (its
     elements are then not compared), numbers of the same type compared with
-    ``tolerance``, NaN equal to NaN, everything else by text.
+    ``tolerance``, NaN equal to NaN, everything else by text.  A document on one
+    side only is one row of kind ``missing_document`` or ``unexpected_document``.
     """
     skip = skip or set()
+    alone = []
+    for here, there, kind in ((expected, actual, "missing_document"), (actual, expected, "unexpected_document")):
+        alone.append(here.select(key).join(there.select(key), key, "left_anti").select(
+            key, F.lit("").alias("path"), F.lit(kind).alias("kind"), *[F.lit(None).cast(t).alias(c) for c, t in (
+                ("expected", "string"), ("actual", "string"), ("expected_num", "double"), ("actual_num", "double"))]))
+    expected, actual = (expected.join(actual.select(key), key, "left_semi"),
+                        actual.join(expected.select(key), key, "left_semi"))
     e_rows, e_len = _leaf_rows(expected, doc_col, key, skip)
     a_rows, a_len = _leaf_rows(actual, doc_col, key, skip)
     lj = e_len.alias("e").join(a_len.alias("a"), [key, "path"])
@@ -189,11 +193,10 @@ def deep_diff(expected: DataFrame, actual: DataFrame, key: str = "doc", doc_col:
         key, "path", F.lit("length").alias("kind"), F.col("e.n").cast("string").alias("expected"),
         F.col("a.n").cast("string").alias("actual"), F.lit(None).cast("double").alias("expected_num"),
         F.lit(None).cast("double").alias("actual_num"))
-    bad_lists = lj.filter(F.col("e.n") != F.col("a.n")).select(key, F.col("path").alias("_lp"))
-    list_path = F.regexp_extract(F.col("path"), r"^([^\[]*)\[", 1)
+    bad_lists = lj.filter(F.col("e.n") != F.col("a.n")).select(F.col(key).alias("_bk"), F.col("path").alias("_lp"))
     j = (e_rows.alias("e").join(a_rows.alias("a"), [key, "path"], "full_outer")
-               .withColumn("_lp", list_path)
-               .join(bad_lists, [key, "_lp"], "left_anti"))
+               .join(bad_lists, (F.col(key) == F.col("_bk"))
+                     & F.array_contains(F.coalesce("e.within", "a.within"), F.col("_lp")), "left_anti"))
     same_num = (F.col("e.type") == F.col("a.type")) & F.col("e.type").isin("int", "float")
     both_nan = (F.col("e.type") == "float") & (F.col("a.type") == "float") & F.isnan("e.num") & F.isnan("a.num")
     both_num = F.col("e.type").isin("int", "float") & F.col("a.type").isin("int", "float")
@@ -205,4 +208,4 @@ def deep_diff(expected: DataFrame, actual: DataFrame, key: str = "doc", doc_col:
              .when(value_bad, F.lit("value")))
     vals = j.select(key, "path", kind.alias("kind"), F.col("e.text").alias("expected"), F.col("a.text").alias("actual"),
                     F.col("e.num").alias("expected_num"), F.col("a.num").alias("actual_num")).filter(F.col("kind").isNotNull())
-    return vals.unionByName(length)
+    return vals.unionByName(length).unionByName(alone[0]).unionByName(alone[1])

@@ -105,11 +105,49 @@ def test_deep_diff_semantics(spark):
     assert not math.isnan(1.0)
 
 
-def test_split_documents_bounded_parts(spark):
+def test_split_documents(spark, tmp_path):
     lines = spark.createDataFrame([("f", i, None if i < 2 else f"K{i % 2}") for i in range(8)],
                                   "path string, row_no int, key string")
-    docs = J.split_documents(lines, "key", max_lines=3).collect()
-    assert all(len(d["lines"]) <= 3 for d in docs)
-    rem = [d for d in docs if d["header"]["_is_split_remainder"]]
-    assert rem and all(d["split_key"] == "unknown" for d in rem)
-    assert sum(len(d["lines"]) for d in docs) == 8
+    split = J.split_documents(lines, "key")
+    got = sorted((r["split_key"], r["occ"], r["row_no"], r["is_split_remainder"]) for r in split.collect())
+    assert got == [("K0", 1, 2, False), ("K0", 2, 4, False), ("K0", 3, 6, False), ("K1", 1, 3, False), ("K1", 2, 5, False),
+                   ("K1", 3, 7, False), ("unknown", 1, 0, True), ("unknown", 2, 1, True)]
+    J.write_split_documents(split, str(tmp_path / "out"))
+    assert spark.read.json(str(tmp_path / "out")).count() == 8
+
+
+def test_wide_header_and_quoted_newline(spark):
+    wide = ",".join(f"x{i}" for i in range(7)) + ",amt\n" + ",".join("0" * 7) + ",99\n"
+    f = files(spark, ("w.csv", wide), ("n.csv", 'amt,x0\n5,"one\ntwo ""q"""\n6,\n'))
+    rows = sorted((r["path"], r["row_no"], r["amt"], r["x0"]) for r in
+                  D.read_delimited(f, [("amt", "float"), ("x0", "string")]).collect())
+    assert rows == [("n.csv", 0, 5.0, 'one\ntwo "q"'), ("n.csv", 1, 6.0, None), ("w.csv", 0, 99.0, "0")]
+
+
+def test_format_by_how_content_starts(spark):
+    from ledgerline.sources.files import detect_format
+    df = spark.createDataFrame([("ISA~00~x",), ("  ST*810*1",), (" \n<a/>",), ("words < and ST* more",), ("ISAAC said",)], "c string")
+    assert [r[0] for r in df.select(detect_format(F.lit("dunno"), F.col("c"))).collect()] == ["x12", "x12", "xml", None, None]
+
+
+def test_deep_diff_lists_in_lists_and_one_sided_documents(spark):
+    schema = "k string, doc struct<tags array<string>, l array<struct<m array<int>>>>"
+    e = spark.createDataFrame([("d", (["a", "b"], [([1],)])), ("only", (["a"], []))], schema)
+    a = spark.createDataFrame([("d", (["a", "Z"], [([9],)])), ("new", (["a"], []))], schema)
+    got = {(r["k"], r["path"], r["kind"]) for r in J.deep_diff(e, a, key="k").collect()}
+    assert got == {("d", "tags[1]", "value"), ("d", "l[0].m[0]", "value"), ("only", "", "missing_document"),
+                   ("new", "", "unexpected_document")}
+    flat = spark.createDataFrame([("d", (1,))], "k string, doc struct<a int>")
+    assert J.deep_diff(flat, flat, key="k").count() == 0
+
+
+def test_malformed_xml_stops_nothing(spark):
+    good = ("<cXML><Request><OrderRequest><OrderRequestHeader orderID='1'/><OrderRequestDetail><OrderRequestLine lineNumber='1'/>"
+            "<OrderRequestLine lineNumber='2' quantity='7'/></OrderRequestDetail></OrderRequest></Request></cXML>")
+    f = files(spark, ("good", good), ("bad", "<cXML><Request>"), ("none", None), ("punch", "<cXML><Message><PunchOutOrderMessage>"
+              "<PunchOutOrderMessageHeader orderID='p'/><ItemIn quantity='3'/></PunchOutOrderMessage></Message></cXML>"))
+    rows = sorted((r["path"], r["header.@orderID"], r["line.@lineNumber"] or "", r["line.@quantity"] or "")
+                  for r in XS.cxml_attributes(f, ["orderID"], ["lineNumber", "quantity"]).collect())
+    assert rows == [("good", "1", "1", ""), ("good", "1", "2", "7"), ("punch", "p", "", "3")]
+    assert sorted(r["path"] for r in XS.xml_failures(f).collect()) == ["bad", "none"]
+    assert XS.discover_lines(f).count() == XS.parse_variant(f).count() == 4
