@@ -106,80 +106,63 @@ class _Encoder:
     """The tokenizers library with a table of whitespace-separated chunks: its pre-tokenizer
     drops white space, so a text's ids are those of its chunks.
 
-    Most chunks are one word and some punctuation.  Where the tokenizer's own first steps
-    are known to keep these apart (``worded``), words and punctuation have a table of their
-    own, and plain lower-case words go through the same model without the steps that would
-    leave them as they are."""
+    Where the tokenizer's own first steps are known (:func:`splits_words`), texts are
+    lower-cased and closing marks set apart before the cut, as those steps would do, so
+    there are fewer distinct chunks; and plain lower-case words go through the same model
+    without the steps that would leave them as they are."""
 
     def __init__(self, spec: str):
         from tokenizers import Tokenizer, pre_tokenizers
         self.tokenizer = Tokenizer.from_str(spec)
         self.width = 2 if self.tokenizer.get_vocab_size() <= 1 << 16 else 4
-        if splits_words(spec):
-            self.plain = Tokenizer(self.tokenizer.model)
-            self.plain.pre_tokenizer = pre_tokenizers.Sequence([
-                pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
-            self.parts, self.memo = Memo(self._parts), Memo(self._worded, 300_000)
-        else:
-            self.memo = Memo(self._encode)
+        self.worded = splits_words(spec)
+        self.plain = Tokenizer(self.tokenizer.model)
+        self.plain.pre_tokenizer = pre_tokenizers.Sequence([
+            pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
+        self.memo = Memo(self._answers if self.worded else self._encode)
 
     def _encode(self, chunks: list[bytes]) -> Iterator[bytes]:
         found = self.tokenizer.encode_batch_fast([c.decode() for c in chunks], add_special_tokens=False)
         return (np.array(e.ids, f"<u{self.width}").tobytes() for e in found)
 
-    def _worded(self, chunks: list[bytes]) -> Iterator[bytes]:
-        cut = [word_and_marks(c) for c in chunks]
-        self.parts.learn(cut)
-        return (b"".join(map(self.parts.__getitem__, c)) for c in cut)
-
-    def _parts(self, parts: list[bytes]) -> Iterator[bytes]:
-        texts = {p: p.decode() for p in parts}
-        words = [p for p in parts if texts[p].isalpha() and is_plain(texts[p])]
-        found = dict(zip(words, self._plain([texts[w] for w in words])))
-        rest = [p for p in parts if p not in found]
+    def _answers(self, chunks: list[bytes]) -> Iterator[bytes]:
+        words = [c for c in chunks if is_plain(c)]
+        found = dict(zip(words, self._plain(words)))
+        rest = [c for c in chunks if c not in found]
         found.update(zip(rest, self._encode(rest)))
-        return map(found.__getitem__, parts)
+        return map(found.__getitem__, chunks)
 
-    def _plain(self, words: list[str], step: int = 500) -> Iterator[bytes]:
+    def _plain(self, words: list[bytes], step: int = 500) -> Iterator[bytes]:
         for at in range(0, len(words), step):
             some = words[at:at + step]
-            encoding = self.plain.encode(" ".join(some), add_special_tokens=False)
+            encoding = self.plain.encode(b" ".join(some).decode(), add_special_tokens=False)
             ids = np.array(encoding.ids, f"<u{self.width}").tobytes()
             ends = np.searchsorted(np.array(encoding.word_ids), np.arange(len(some)), "right") * self.width
             yield from map(ids.__getitem__, map(slice, [0, *ends[:-1].tolist()], ends.tolist()))
 
+    def cut(self, text: bytes) -> list[bytes]:
+        # composed characters and special tokens: there lower-casing first could matter
+        if self.worded and b"<|" not in text and b"\xcc" not in text and b"\xcd" not in text:
+            text = _CLOSING.sub(rb" \1", text.lower())
+        return text.split()
+
     def ids(self, texts: list[bytes], chunked: bool) -> list[bytes]:
-        split = [t.split() if chunked else [t] for t in texts]
+        split = [self.cut(t) if chunked else [t] for t in texts]
         self.memo.learn(split)
         return [b"".join(map(self.memo.__getitem__, chunks)) for chunks in split]
 
 
-#: A chunk of letters (any, or ASCII) and then punctuation marks.
-_WORD = re.compile(rb"([A-Za-z\x80-\xff]+)([!-/:-@\[-`{-~]*)")
-
-
-def word_and_marks(chunk: bytes) -> list[bytes]:
-    """A word, lower-cased, and its closing marks; or the chunk itself, where lower-casing
-    first could matter (composed characters, other signs)."""
-    m = _WORD.fullmatch(chunk)
-    if not m:
-        return [chunk]
-    word, marks = m.groups()
-    if not word.isascii():
-        text = word.decode()
-        low = "".join(map(str.lower, text))  # one by one, as the library does
-        if not (text.isalpha() and low.isalpha() and unicodedata.is_normalized("NFC", text)):
-            return [chunk]
-        word = low.encode()
-    else:
-        word = word.lower()
-    return [word, marks] if marks else [word]
-
-
-def is_plain(word: str) -> bool:
-    """Whether normalising leaves the word as it is."""
-    return word.isascii() and word.islower() or (
-        unicodedata.is_normalized("NFC", word) and "".join(map(str.lower, word)) == word)
+#: One closing mark after a letter or digit (ASCII, or lower-case Latin-1) and before white space.
+_CLOSING = re.compile(rb"(?:(?<=[a-z0-9])|(?<=\xc3[\x9f-\xb6\xb8-\xbf]))([.,;:!?])(?=[ \t\n\x0b\x0c\r]|\Z)")
+
+
+def is_plain(chunk: bytes) -> bool:
+    """Whether a chunk is one word of letters that normalising leaves as it is."""
+    if chunk.isascii():
+        return chunk.isalpha() and chunk.islower()
+    word = chunk.decode()
+    return word.isalpha() and word.lower() == word and unicodedata.is_normalized("NFC", word) and \
+        "".join(map(str.lower, word)) == word
 
 
 def splits_words(spec: str) -> bool:
