@@ -168,12 +168,12 @@ fj{x} AS (
   FROM s_fp{x} s FULL OUTER JOIN t_fp{x} t
     ON s.pair_id = t.pair_id AND s.section = t.section AND s.occ = t.occ AND s.field = t.field),
 cand{x} AS (
-  SELECT * FROM fj{x} f
-  WHERE coalesce(s, '') <> coalesce(t, '')
-    AND (section <> 'line' OR EXISTS (SELECT 1 FROM s_lines{x} a JOIN t_lines{x} b USING (pair_id, occ)
-                                       WHERE a.pair_id = f.pair_id AND a.occ = f.occ))
-    AND NOT EXISTS (SELECT 1 FROM ig{x} i WHERE (i.segment = '*' AND (i.field = f.field OR i.field = '*'))
-                                         OR (i.segment = '*' AND i.field = f.field))),
+  SELECT f.* FROM fj{x} f
+  LEFT JOIN (SELECT DISTINCT a.pair_id, a.occ FROM s_lines{x} a JOIN t_lines{x} b USING (pair_id, occ)) two
+    ON two.pair_id = f.pair_id AND two.occ = f.occ
+  LEFT JOIN (SELECT DISTINCT field FROM ig{x} WHERE segment = '*') i ON i.field = f.field
+  WHERE coalesce(s, '') <> coalesce(t, '') AND (section <> 'line' OR two.pair_id IS NOT NULL) AND i.field IS NULL
+    AND (SELECT count(*) FROM ig{x} WHERE segment = '*' AND field = '*') = 0),
 res{x} AS (
   SELECT c.*,
     CASE WHEN r1.segment IS NOT NULL THEN r1.severity WHEN r2.segment IS NOT NULL THEN r2.severity
@@ -194,9 +194,10 @@ res{x} AS (
   LEFT JOIN mr{x} r4 ON r4.segment = '*' AND r4.field = '*'),
 ev{x} AS (
   SELECT r.*, {dbl("coalesce(r.s, '')")} AS ds, {dbl("coalesce(r.t, '')")} AS dt,
-    (SELECT value FROM s_fp{x} q WHERE q.pair_id = r.pair_id AND q.section = r.section AND q.occ = r.occ AND q.field = r.cq) AS s_cq,
-    (SELECT value FROM t_fp{x} q WHERE q.pair_id = r.pair_id AND q.section = r.section AND q.occ = r.occ AND q.field = r.cq) AS t_cq
-  FROM res{x} r),
+    qs.value AS s_cq, qt.value AS t_cq
+  FROM res{x} r
+  LEFT JOIN s_fp{x} qs ON qs.pair_id = r.pair_id AND qs.section = r.section AND qs.occ = r.occ AND qs.field = r.cq
+  LEFT JOIN t_fp{x} qt ON qt.pair_id = r.pair_id AND qt.section = r.section AND qt.occ = r.occ AND qt.field = r.cq),
 diffs{x} AS (
   SELECT pair_id, segment, field, severity, source_value, target_value, description, wildcard FROM presence{x}
   UNION ALL

@@ -135,8 +135,8 @@ fj AS (
 cand AS (
   SELECT f.* FROM fj f JOIN both_seg b ON f.pair_id = b.pair_id AND f.seg = b.segment AND f.qk = b.qk AND f.occ = b.occ
   WHERE coalesce(s, '') <> coalesce(t, '')
-    AND NOT EXISTS (SELECT 1 FROM ig i WHERE (i.segment = f.seg AND (i.field = f.field OR i.field = '*'))
-                                         OR (i.segment = '*' AND i.field = f.field))),
+    AND (f.seg, f.field) NOT IN (SELECT (segment, field) FROM ig) AND f.seg NOT IN (SELECT segment FROM ig WHERE field = '*')
+    AND f.field NOT IN (SELECT field FROM ig WHERE segment = '*')),
 res AS (
   SELECT c.*,
     CASE WHEN r1.segment IS NOT NULL THEN r1.severity WHEN r2.segment IS NOT NULL THEN r2.severity
@@ -155,9 +155,10 @@ res AS (
   LEFT JOIN mr r4 ON r4.segment = '*' AND r4.field = '*'),
 ev AS (
   SELECT r.*, {dbl("coalesce(r.s, '')")} AS ds, {dbl("coalesce(r.t, '')")} AS dt,
-    (SELECT value FROM s_f q WHERE q.pair_id = r.pair_id AND q.segment = r.seg AND q.qk = r.qk AND q.occ = r.occ AND q.field = r.cq) AS s_cq,
-    (SELECT value FROM t_f q WHERE q.pair_id = r.pair_id AND q.segment = r.seg AND q.qk = r.qk AND q.occ = r.occ AND q.field = r.cq) AS t_cq
-  FROM res r),
+    qs.value AS s_cq, qt.value AS t_cq
+  FROM res r
+  LEFT JOIN s_f qs ON qs.pair_id = r.pair_id AND qs.segment = r.seg AND qs.qk = r.qk AND qs.occ = r.occ AND qs.field = r.cq
+  LEFT JOIN t_f qt ON qt.pair_id = r.pair_id AND qt.segment = r.seg AND qt.qk = r.qk AND qt.occ = r.occ AND qt.field = r.cq),
 diffs AS (
   SELECT pair_id, segment, field, severity, source_value, target_value, description, wildcard FROM presence
   UNION ALL

@@ -46,7 +46,7 @@ routed AS (
 faulted AS (
   SELECT *, CASE WHEN format IS NULL OR (format = 'csv' AND layout IS NULL) OR (format = 'x12' AND map0 IS NULL) THEN 'DETECTION'
                  WHEN (format = 'x12' AND NOT (length(content) >= 106 AND starts_with(content, 'ISA')))
-                   OR (format IN ('xml', 'cxml') AND NOT starts_with(trim(content), '<')) THEN 'TRANSFORMATION' END AS fault
+                   OR (format IN ('xml', 'cxml') AND (NOT starts_with(trim(content), '<') OR content ILIKE '<!doctype html%')) THEN 'TRANSFORMATION' END AS fault
   FROM routed),
 passing AS (SELECT content_hash, min(path) AS first_path FROM faulted WHERE fault IS NULL GROUP BY content_hash),
 judged AS (SELECT f.*, CASE WHEN fault IS NULL AND path <> first_path THEN 'batch' END AS dup
@@ -62,7 +62,7 @@ results AS (
          WHEN format = 'x12' AND map0 IS NULL THEN 'No map for transaction'
          WHEN format = 'x12' AND NOT (length(content) >= 106 AND starts_with(content, 'ISA'))
            THEN 'PARSE_FAIL: not an X12 interchange (missing ISA header)'
-         WHEN format IN ('xml', 'cxml') AND NOT starts_with(trim(content), '<') THEN 'XML parse error: content is not markup' END AS reason,
+         WHEN fault IS NOT NULL THEN 'XML parse error: not well-formed' END AS reason,
     sha256(path || '|' || content_hash) AS correlation_id
   FROM judged),
 rerun AS (
