@@ -4,7 +4,7 @@ Every order becomes an invoice (header, one line per lineitem, summary).  The
 *source* side is the order book as issued; the *target* side is the same book
 as a trading partner sent it back, with deterministic differences:
 
-* orders with ``o_orderkey % 13 = 0`` are missing from the source and those
+* orders with ``o_orderkey % 13 = 0`` are missing from the source and the others
   with ``% 11 = 0`` from the target (unmatched pairs on both sides);
 * the target numbers invoices ``INV-<key>`` (the match key strips the prefix);
 * priority is lower-cased when ``% 3 = 0`` (case rule);
@@ -62,12 +62,19 @@ def _fields(pairs: list[tuple[str, Column]]) -> Column:
     return F.filter(arr, lambda x: x["value"].isNotNull()).cast(RC.FIELD_STRUCT)
 
 
+def on_side(orders: DataFrame, side: str) -> DataFrame:
+    """The orders of a side.  No order is missing from both; the ``book`` has all of them,
+    with the source's values, for queries that look at one side only."""
+    key = F.col("o_orderkey")
+    return orders.filter({"source": key % 13 != 0, "target": (key % 11 != 0) | (key % 13 == 0), "book": F.lit(True)}[side])
+
+
 def invoice_records(spark: SparkSession, sf_dir: str, side: str) -> DataFrame:
     """Records (header / line / summary) of one side; see the module doc."""
     o = table(spark, sf_dir, "orders")
     key = F.col("o_orderkey")
     tgt = side == "target"
-    o = o.filter(key % 11 != 0) if tgt else o.filter(key % 13 != 0)
+    o = on_side(o, side)
     doc_id = F.concat(F.lit(f"{side}/inv_"), text(key), F.lit(".json"))
     lines = numbered_lines(spark, sf_dir).join(o.select(F.col("o_orderkey").alias("l_orderkey")), "l_orderkey", "left_semi")
     qty = money(F.col("l_quantity"))
@@ -170,7 +177,7 @@ def invoice_documents(spark: SparkSession, sf_dir: str, side: str) -> DataFrame:
     o = table(spark, sf_dir, "orders")
     key = F.col("o_orderkey")
     tgt = side == "target"
-    o = o.filter(key % 11 != 0) if tgt else o.filter(key % 13 != 0)
+    o = on_side(o, side)
     lines = numbered_lines(spark, sf_dir).join(o.select(F.col("o_orderkey").alias("l_orderkey")), "l_orderkey", "left_semi")
     qty = money(F.col("l_quantity"))
     disc = money(F.col("l_discount"))

@@ -56,7 +56,7 @@ li AS (
          count(*) OVER (PARTITION BY l_orderkey) AS n_lines
   FROM lineitem),
 s_o AS (SELECT * FROM orders WHERE o_orderkey % 13 <> 0),
-t_o AS (SELECT * FROM orders WHERE o_orderkey % 11 <> 0),
+t_o AS (SELECT * FROM orders WHERE o_orderkey % 11 <> 0 OR o_orderkey % 13 = 0),
 s_l AS (
   SELECT li.*, CAST(l_quantity AS DECIMAL(18,2)) AS qty, CAST(l_discount AS DECIMAL(18,2)) AS disc
   FROM li WHERE l_orderkey IN (SELECT o_orderkey FROM s_o)),

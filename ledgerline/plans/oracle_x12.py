@@ -30,7 +30,7 @@ def _side_rows(side: str) -> str:
     if tgt:
         cents += " + CASE WHEN o_orderkey % 7 = 0 THEN 100 ELSE 0 END"
     comp = X.SEPARATORS[side][2]
-    drop = "o_orderkey % 11 <> 0" if tgt else "o_orderkey % 13 <> 0"
+    drop = {"source": "o_orderkey % 13 <> 0", "target": "o_orderkey % 11 <> 0 OR o_orderkey % 13 = 0", "book": "TRUE"}[side]
     last = "AND NOT (l_orderkey % 19 = 0 AND line_no = n_lines - 1)" if tgt else ""
     doc = f"'{side}/810_' || o_orderkey || '.edi'"
     return f"""
@@ -62,11 +62,11 @@ def _side_rows(side: str) -> str:
 
 
 def segments_sql() -> str:
-    """WITH prefix ending in ``sx_seg`` and ``tx_seg`` (all segments per side)."""
+    """WITH prefix ending in ``sx_seg``, ``tx_seg`` and ``bx_seg`` (all segments per side)."""
     return f"""WITH li AS (
   SELECT *, row_number() OVER (PARTITION BY l_orderkey ORDER BY {", ".join(I.LINE_ORDER)}) - 1 AS line_no,
          count(*) OVER (PARTITION BY l_orderkey) AS n_lines FROM lineitem),""" + \
-        _side_rows("source") + "," + _side_rows("target") + "\n"
+        ",".join(map(_side_rows, ("source", "target", "book"))) + "\n"
 
 
 def _qual_case() -> str:

@@ -18,7 +18,7 @@ def _case(col: str, mapping: dict[str, str], default: str = "NULL") -> str:
 _FILES = OX.segments_sql() + f""",
 edi AS (SELECT 'inbound/edi/' || regexp_extract(doc_id, '([^/]*)$', 1) AS path,
                string_agg(array_to_string(elements, '*'), '~' ORDER BY block, sub) || '~' AS content
-        FROM sx_rows GROUP BY doc_id),
+        FROM bx_rows GROUP BY doc_id),
 raw AS (
   SELECT 'inbound/' || source || '/doc_' || doc_id || '.' || coalesce({_case("lang", B.LANG_EXT)}, 'bin') AS path,
          text AS content FROM documents

@@ -19,7 +19,7 @@ _LI = f"""li AS (
 
 def _side(p: str) -> str:
     tgt = p == "t"
-    drop = "o_orderkey % 11 <> 0" if tgt else "o_orderkey % 13 <> 0"
+    drop = {"s": "o_orderkey % 13 <> 0", "t": "o_orderkey % 11 <> 0 OR o_orderkey % 13 = 0", "b": "TRUE"}[p]
     last = "AND NOT (l_orderkey % 19 = 0 AND line_no = n_lines - 1)" if tgt else ""
     qty = ("CAST(CASE WHEN l_partkey % 17 = 0 THEN CAST(l_quantity AS DECIMAL(18,2)) + 1 "
            "ELSE CAST(l_quantity AS DECIMAL(18,2)) END AS DECIMAL(18,2))") if tgt else "CAST(l_quantity AS DECIMAL(18,2))"
@@ -64,14 +64,14 @@ def _side(p: str) -> str:
 {p}_len AS (SELECT doc, 'lines' AS path, line_count AS n FROM {p}_jh)"""
 
 
-@register("json_docs", f"WITH {_LI}," + _side("s") + """
-SELECT 'source/' || h.doc AS path, CAST(regexp_extract(h.doc, 'inv_(\\d+)', 1) AS VARCHAR) AS invoice_number,
+@register("json_docs", f"WITH {_LI}," + _side("b") + """
+SELECT 'book/' || h.doc AS path, CAST(regexp_extract(h.doc, 'inv_(\\d+)', 1) AS VARCHAR) AS invoice_number,
   f.l_partkey AS first_part, CAST(h.line_count AS INTEGER) AS n_lines, h.total AS total,
   h.line_count AS line_count, h.status AS status
-FROM s_jh h LEFT JOIN (SELECT doc, l_partkey FROM s_jl WHERE line_no = 0) f USING (doc)""")
+FROM b_jh h LEFT JOIN (SELECT doc, l_partkey FROM b_jl WHERE line_no = 0) f USING (doc)""")
 def json_docs(spark, sf):
     """Documents written as JSON text, read back with a declared schema, paths read."""
-    text = J.to_json_docs(I.invoice_documents(spark, sf, "source"))
+    text = J.to_json_docs(I.invoice_documents(spark, sf, "book"))
     docs, _ = J.read_json_docs(text, I.DOC_SCHEMA)
     return docs.select("path", get_path("doc.header.invoice_number").alias("invoice_number"),
                        get_path("doc.lines.0.part").alias("first_part"), F.size("doc.lines").alias("n_lines"),

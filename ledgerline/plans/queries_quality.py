@@ -87,13 +87,13 @@ _MAPPED = ", ".join(f"('{s}')" for s in sorted(set(_map_sources(MAP_810))))
 @register("coverage", OX.segments_sql() + f""",
 seen AS (
   SELECT segment || '.' || lpad(CAST(i AS VARCHAR), 2, '0') AS source_field, count(DISTINCT doc_id) AS n_docs
-  FROM sx_seg, LATERAL (SELECT unnest(range(1, len(elements))) AS i)
+  FROM bx_seg, LATERAL (SELECT unnest(range(1, len(elements))) AS i)
   WHERE segment NOT IN ('ISA', 'GS', 'GE', 'IEA') AND coalesce(elements[i + 1], '') <> ''
   GROUP BY 1)
 SELECT source_field, n_docs, source_field IN (SELECT * FROM (VALUES {_MAPPED}) t(s)) AS mapped FROM seen""")
 def coverage(spark, sf):
     """Source fields present in the X12 invoices, documents using them, and whether the 810 map reads them."""
-    tx = X.parsed_transactions(spark, sf, "source")
+    tx = X.parsed_transactions(spark, sf, "book")
     ex = tx.select("doc_id", "segment", F.posexplode(F.slice("elements", 2, F.greatest(F.size("elements") - 1, F.lit(0))))
                    .alias("i", "v")).filter(F.col("v") != "")
     fields = ex.select("doc_id", F.concat("segment", F.lit("."), F.lpad((F.col("i") + 1).cast("string"), 2, "0"))
@@ -105,10 +105,10 @@ def coverage(spark, sf):
 SELECT doc_id, 0 AS tx_index, line_no, field, value FROM (
   SELECT doc_id, CAST(elements[2] AS BIGINT) - 1 AS line_no, CAST(CAST(elements[2] AS BIGINT) AS VARCHAR) AS line,
          CAST(CAST(elements[3] AS DECIMAL(18,2)) AS VARCHAR) AS quantity, elements[4] AS unit, elements[8] AS part
-  FROM sx_seg WHERE segment = 'IT1')
+  FROM bx_seg WHERE segment = 'IT1')
 UNPIVOT (value FOR field IN (line, quantity, unit, part)) WHERE line_no < 3""")
 def field_trace(spark, sf):
     """Source -> target trace of the first three mapped lines of every X12 invoice."""
-    _, lines = M.map_x12(X.parsed_transactions(spark, sf, "source"), MAP_810)
+    _, lines = M.map_x12(X.parsed_transactions(spark, sf, "book"), MAP_810)
     lines = lines.withColumn("quantity", F.col("quantity").cast("decimal(18,2)"))
     return Q.field_trace(lines, ["doc_id", "tx_index"], "line_no", ["line", "quantity", "unit", "part"], 3)

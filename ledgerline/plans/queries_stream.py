@@ -44,10 +44,10 @@ def stream_rate(spark, sf):
 def stream_reconcile(spark, sf):
     """Target records arriving in a drop folder, each batch compared with the source documents it touches."""
     out = S.scratch(spark, "stream-reconcile")
-    drop = f"{out}/target_records"
+    drop = f"{out}/inbox"
     I.invoice_records(spark, sf, "target").write.parquet(drop)
     src = I.invoice_records(spark, sf, "source")
     skeys = RC.match_values_flat(src, I.MATCH_KEY)
     stream = spark.readStream.schema(spark.read.parquet(drop).schema).parquet(drop)
     S.start_reconcile(stream, src, skeys, I.MATCH_KEY, I.profile_rules(1), out).awaitTermination()
-    return spark.read.parquet(f"{out}/diffs").drop("batch_id")
+    return S.read_reconciled(spark, out)

@@ -6,7 +6,7 @@ after segments; the *target* side uses ``^`` and ``~`` plus a cosmetic
 newline, so both separator sniffing and newline stripping are exercised.
 
 Target differences (every order is still rendered): orders ``% 13 = 0`` are
-missing from the source and ``% 11 = 0`` from the target; BIG02 is
+missing from the source and the others ``% 11 = 0`` from the target; BIG02 is
 ``INV-<key>``; N1*ST name lower-cased when ``% 3 = 0``; DTM*011 absent when
 ``% 23 = 0``; the last IT1 dropped when ``% 19 = 0``; IT102 ``+1`` when
 ``l_partkey % 17 = 0``; IT104 printed without trailing zeros; TDS01 ``+100``
@@ -22,11 +22,11 @@ from pyspark.sql import functions as F
 
 from ledgerline.operators import reconcile as RC
 from ledgerline.operators import rules as R
-from ledgerline.plans.invoices import numbered_lines
+from ledgerline.plans.invoices import numbered_lines, on_side
 from ledgerline.session import store, spread, table
 
 # Separators per side (element, segment terminator, component).
-SEPARATORS = {"source": ("*", "~", ">"), "target": ("^", "~\n", ":")}
+SEPARATORS = {"source": ("*", "~", ">"), "target": ("^", "~\n", ":"), "book": ("*", "~", ">")}
 SENDER, RECEIVER = "LEDGERSRC", "LEDGERTGT"
 
 MATCH_KEY = RC.ElementKey().clean("BIG02", "^INV-|")
@@ -69,7 +69,7 @@ def interchange_files(spark: SparkSession, sf_dir: str, side: str) -> DataFrame:
     tgt = side == "target"
     key = F.col("o_orderkey")
     o = table(spark, sf_dir, "orders")
-    o = spread(o.filter(key % 11 != 0) if tgt else o.filter(key % 13 != 0), "o_orderkey")
+    o = spread(on_side(o, side), "o_orderkey")
     lines = numbered_lines(spark, sf_dir)
     if tgt:
         last = F.max("line_no").over(Window.partitionBy("l_orderkey"))
