@@ -93,32 +93,45 @@ def run_diff(diffs_a: DataFrame, diffs_b: DataFrame) -> DataFrame:
 
 
 def report_rows(statuses: DataFrame, diffs: DataFrame, run_id: int, profile: str,
-                trading_partner: str = "") -> DataFrame:
+                trading_partner: str = "", started_at: str = "") -> DataFrame:
     """The 15-column report – one row per diff, one blank row per clean pair.
 
-    No pair cap (the original stops at 10,000 pairs).  Metadata and the severity
-    footer are ``run_summary`` and ``report_footer``.
+    No pair cap (the original stops at 10,000 pairs).  ``timestamp`` is when the run
+    started; metadata and the severity footer are ``report_header`` and ``report_footer``.
     """
     j = statuses.join(diffs, "pair_id", "left")
     blank = F.col("segment").isNull()
     def v(c):
         return F.when(blank, F.lit("")).otherwise(F.coalesce(F.col(c), F.lit("")))
     return j.select(
-        F.lit(profile).alias("profile"), F.lit(trading_partner).alias("trading_partner"),
-        F.lit(run_id).alias("run_id"), "pair_id", "source_file",
+        F.lit(started_at).alias("timestamp"), F.lit(profile).alias("profile"),
+        F.lit(trading_partner).alias("trading_partner"), F.lit(run_id).alias("run_id"), "pair_id", "source_file",
         F.coalesce("target_file", F.lit("")).alias("target_file"), "match_value", "status",
         v("segment").alias("segment"), v("field").alias("field"), v("severity").alias("severity"),
         v("source_value").alias("source_value"), v("target_value").alias("target_value"),
         v("description").alias("description"))
 
 
+def report_header(statuses: DataFrame, run_id: int, profile: str, trading_partner: str = "",
+                  transaction_type: str = "", started_at: str = "") -> DataFrame:
+    """The metadata of a report, one row."""
+    about = {"profile": profile, "trading_partner": trading_partner, "transaction_type": transaction_type,
+             "run_id": run_id, "started": started_at}
+    return RC.run_summary(statuses).select(*[F.lit(v).alias(k) for k, v in about.items()], "total_pairs", "matched",
+                                           "mismatched", "unmatched")
+
+
 def report_footer(report: DataFrame) -> DataFrame:
     """Severity counts of the report rows that carry a diff."""
     return report.filter(F.col("severity") != "").groupBy("severity").agg(F.count(F.lit(1)).alias("n"))
 
 
-def listing(df: DataFrame, order_col: str, offset: int = 0, limit: int = 50, **filters) -> DataFrame:
-    """Newest first, filtered, paged (the page size is the feature)."""
+def listing(df: DataFrame, order_col: str, offset: int = 0, limit: int = 50,
+            text: dict[str, str] | None = None, **filters) -> DataFrame:
+    """Newest first, filtered by equal values and by ``text`` that a column holds
+    in any case, paged (the page size is the feature)."""
+    for col, part in (text or {}).items():
+        df = df.filter(F.lower(col).contains(part.lower()))
     for col, val in filters.items():
         df = df.filter(F.col(col) == val)
     return df.orderBy(F.desc(order_col)).offset(offset).limit(limit)

@@ -36,6 +36,10 @@ _BASE = OI.base_sql(1)
 _BASE_V12 = OI.base_sql(1, extra_versions=(2,))
 
 
+#: Start of the run in reports (fixed, so that Spark and SQL agree).
+STARTED_AT = "2025-01-01T00:00:00"
+
+
 @register("flat_diffs", _BASE + "SELECT * FROM diffs")
 def flat_diffs(spark, sf):
     """Every diff of the invoice run."""
@@ -119,16 +123,35 @@ def run_diff(spark, sf):
     return A.run_diff(I.flat_run(spark, sf, 1, inputs=inputs)[1], I.flat_run(spark, sf, 2, inputs=inputs)[1])
 
 
-@register("report_rows", _BASE + """SELECT 'invoices' AS profile, '' AS trading_partner, 1 AS run_id,
+@register("report_rows", _BASE + """SELECT '2025-01-01T00:00:00' AS timestamp, 'invoices' AS profile, '' AS trading_partner, 1 AS run_id,
   s.pair_id, s.source_file, coalesce(s.target_file, '') AS target_file, s.match_value, s.status,
   coalesce(d.segment, '') AS segment, coalesce(d.field, '') AS field, coalesce(d.severity, '') AS severity,
   coalesce(d.source_value, '') AS source_value, coalesce(d.target_value, '') AS target_value,
   coalesce(d.description, '') AS description
 FROM status s LEFT JOIN diffs d USING (pair_id)""")
 def report_rows(spark, sf):
-    """15-column report rows (timestamp column left to the sink)."""
+    """15-column report rows."""
+    pairs, diffs = I.flat_run(spark, sf)
+    return A.report_rows(RC.pair_status(pairs, diffs), diffs, 1, "invoices", started_at=STARTED_AT)
+
+
+@register("report_header", _BASE + """SELECT 'invoices' AS profile, '' AS trading_partner, '810' AS transaction_type, 1 AS run_id,
+  '2025-01-01T00:00:00' AS started, count(*) AS total_pairs, count(*) FILTER (WHERE status = 'MATCH') AS matched,
+  count(*) FILTER (WHERE status = 'MISMATCH') AS mismatched, count(*) FILTER (WHERE status = 'UNMATCHED') AS unmatched
+FROM status""")
+def report_header(spark, sf):
+    """Metadata of the report."""
+    pairs, diffs = I.flat_run(spark, sf)
+    return A.report_header(RC.pair_status(pairs, diffs), 1, "invoices", "", "810", STARTED_AT)
+
+
+@register("pairs_listing", _BASE + """SELECT pair_id, match_value, status, diff_count FROM status
+WHERE status = 'MISMATCH' AND contains(lower(target_file), 'inv_1') ORDER BY pair_id DESC LIMIT 50 OFFSET 10""")
+def pairs_listing(spark, sf):
+    """A page of the pairs of one status whose target file holds a text."""
     pairs, diffs = I.flat_run(spark, sf)
-    return A.report_rows(RC.pair_status(pairs, diffs), diffs, 1, "invoices")
+    return A.listing(RC.pair_status(pairs, diffs), "pair_id", 10, 50, {"target_file": "INV_1"}, status="MISMATCH").select(
+        "pair_id", "match_value", "status", "diff_count")
 
 
 @register("report_footer", _BASE + "SELECT severity, count(*) AS n FROM diffs GROUP BY severity")
