@@ -116,9 +116,13 @@ def train(df: DataFrame, id_col: str, text_col: str, lang_col: str, kernel: Kern
     if n > max_languages:
         raise ValueError(f"over {max_languages} labels")
     rows = rows.withColumn("order", F.xxhash64("id"))
-    # Spark cuts each task's rows to the group limit before it shuffles them
-    ranked = rows.selectExpr("*", "row_number() over (partition by lang order by order, id, text) as rank")
-    sample = ranked.where(F.col("rank") <= per_language).select("lang", "rank", "text")
+    # ids are ranked without their texts, and Spark cuts each task's rows to the group limit
+    # before it shuffles them; the texts of the few chosen ids are then read by a broadcast
+    ranked = rows.select("lang", "order", "id").distinct().selectExpr(
+        "*", "row_number() over (partition by lang order by order, id) as rank")
+    chosen = ranked.where(F.col("rank") <= per_language).select("lang", "id", "rank")
+    sample = (rows.join(F.broadcast(chosen), ["lang", "id"]).groupBy("lang", "rank")
+              .agg(F.min("text").alias("text")))  # rows of one id: the first text
 
     def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
