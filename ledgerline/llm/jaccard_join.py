@@ -231,7 +231,10 @@ def near_classes(df: DataFrame, id_col: str, text_col: str, width: int, percent:
     keys = named.select("id", F.md5(F.col("text").cast("binary")).alias("key"))
     same = write_through(keys.distinct().groupBy("key").agg(F.min("id").alias("rep"), F.count(F.lit(1)).alias("w")), "copies")
     members = keys.join(same, "key")
-    copies = write_through(members.where("id <> rep").select("id").distinct(), "copies")
+    # an id may come with several texts: it is a copy when none of them is the first of its kind
+    copies = members.where("id <> rep").select("id").distinct().join(
+        same.select(F.col("rep").alias("id")), "id", "left_anti")
+    copies = write_through(copies, "copies")
     firsts = only(named, copies, "left_anti")
     events = write_through(bucket_events(signed(firsts, Scheme(percent), width), percent, False), "near-events")
 

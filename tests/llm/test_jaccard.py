@@ -66,6 +66,12 @@ def test_null_ids_repeated_rows_and_empty_table(docs_of):
     assert sorted((r.doc_id or 0) for r in kept.collect()) == [0, 1, 1]
 
 
+def test_an_id_with_several_texts_joins_their_classes(docs_of):
+    rows = [(5, "a b c d e f g"), (3, "p q r s t u v"), (5, "p q r s t u v"), (9, "a b c d e f g"), (11, "solo text here")]
+    out = J.near_classes(docs_of(rows), "doc_id", "text", 4, 85).collect()
+    assert sorted((r.id, r.n_shingles, r.component_id) for r in out) == [(3, 4, 3), (5, 4, 3), (5, 4, 3), (9, 4, 3), (11, 1, 11)]
+
+
 @pytest.mark.parametrize("percent", [80, 85])
 @pytest.mark.parametrize("exact", [False, True])
 def test_similar_sets_share_a_signature(percent, exact):
