@@ -144,7 +144,10 @@ def _layout(scheme: Scheme, band: int) -> Layout:
     if k >= 8 and not scheme.exact:
         need = k // 2 + 1
         spare = ceil(0.15 * need)
-        return Layout(need + spare, 3, 1, spare, 2)
+        # leaving out subsets of one feature pays where they are rare: at lower thresholds
+        # parts are small, and almost every set would touch more parts than are spare
+        held = smallest / (need + spare) * 2 / 3
+        return Layout(need + spare, 3, 1, spare, 2 if held >= 4 else 1)
     # the fewest signatures whose subsets hold six features of the smallest set on average
     best = None
     for errors in range(min(k, 4) + 1):
