@@ -72,13 +72,18 @@ def assign_shards(df: DataFrame, key: str, size: Column, limit: int, step: int =
     rows = df.select(F.col(key).alias("key"), F.coalesce(size.cast("long"), F.lit(0)).alias("size"))
     # the running number is fixed by writing the rows (hashes and sizes, not texts)
     rows = write_through(rows.withColumn("row", F.monotonically_increasing_id()), "shard-rows")
+    return (entered(rows, limit, step)
+            .select("key", "size", F.col("prefix").alias("shard"), F.length("prefix").alias("depth"),
+                    "shard_bytes", "shard_rows", "oversized"))
+
+
+def entered(rows: DataFrame, limit: int, step: int = 12) -> DataFrame:
+    """Rows (key, size, row: a running number that is fixed) joined to their directory entry."""
     rows = rows.withColumn("bits", F.concat(bits_of(F.coalesce(F.col("key").cast("string"), F.lit(""))),
                                             bits_of(F.col("row").cast("string"))))
     entries = write_through(directory(rows.select("bits", "size"), limit, step), "shard-directory")
     depths = sorted(r.d for r in entries.groupBy(F.length("prefix").alias("d")).count().collect())  # at most 129
-    return (located(rows, entries, depths)
-            .select("key", "size", F.col("prefix").alias("shard"), F.length("prefix").alias("depth"),
-                    "shard_bytes", "shard_rows", "oversized"))
+    return located(rows, entries, depths)
 
 
 def located(rows: DataFrame, entries: DataFrame, depths: list[int], spread: int = 6) -> DataFrame:
@@ -100,9 +105,14 @@ def located(rows: DataFrame, entries: DataFrame, depths: list[int], spread: int
 
 
 def write_shards(df: DataFrame, key: str, size: Column, limit: int, path: str) -> None:
-    """Write ``df`` under ``path/shard=<bits>/``, one task per shard."""
-    known = assign_shards(df, key, size, limit).select(
-        F.coalesce(F.col("key").cast("string"), F.lit("")).alias("_key"), F.concat(F.lit("b"), "shard").alias("shard"))
-    known = known.groupBy("_key").agg(F.min("shard").alias("shard"))  # rows of one key stay together here
-    (df.withColumn("_key", F.coalesce(F.col(key).cast("string"), F.lit(""))).join(known, "_key").drop("_key")
+    """Write ``df`` under ``path/shard=b<bits>/``, one task per shard.
+
+    The shards are those of the directory: rows of one key, copies and null keys included,
+    are dealt by their running number, so no key is gathered.  The rows are written once
+    with that number, as computing them again may number them otherwise."""
+    rows = df.select(F.struct("*").alias("of"), F.col(key).alias("key"),
+                     F.coalesce(size.cast("long"), F.lit(0)).alias("size"))
+    rows = write_through(rows.withColumn("row", F.monotonically_increasing_id()), "shard-texts")
+    known = entered(rows.select("key", "size", "row"), limit).select("row", F.concat(F.lit("b"), "prefix").alias("shard"))
+    (rows.select("row", "of").join(known, "row").select("of.*", "shard")
      .repartition("shard").write.partitionBy("shard").parquet(path))

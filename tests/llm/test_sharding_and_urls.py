@@ -40,6 +40,18 @@ def test_written_shards_hold_all_rows(spark, docs_of, tmp_path):
     assert back.groupBy("shard").agg(F.sum(F.octet_length("text")).alias("n")).where("n > 2000").count() == 0
 
 
+def test_written_shards_of_a_hot_key_and_null_ids_fit(spark, docs_of, tmp_path):
+    df = docs_of([(7, "y" * 50)] * 200 + [(None, "z" * 50)] * 200 + [(i, "x" * 50) for i in range(100, 300)])
+    sharding.write_shards(df, "doc_id", F.octet_length("text"), 2000, str(tmp_path / "s"))
+    back = spark.read.parquet(str(tmp_path / "s"))
+    assert sorted(map(str, back.select(df.columns).collect())) == sorted(map(str, df.collect()))
+    sums = {r.shard: r.n for r in back.groupBy("shard").agg(F.sum(F.octet_length("text")).alias("n")).collect()}
+    assert max(sums.values()) <= 2000
+    shards = [s[1:] for s in sums]
+    assert not any(a != b and b.startswith(a) for a in shards for b in shards)  # a prefix code
+    assert all(back.where(c).select("shard").distinct().count() >= 5 for c in ("doc_id = 7", "doc_id is null"))
+
+
 def test_url_parts_and_rules(spark):
     rows = [(1, None), (2, "no scheme/en/"), (3, "HTTP://WWW.Example.COM/en/x?q#f"), (4, "x://example.com"),
             (5, "x://aexample.com/en/1"), (6, "x://example.com/en/1"), (7, "x://a.net/fr/"), (8, "x://?q"), (9, ""),
