@@ -3,8 +3,9 @@
 Base finder: three patterns, leftmost and non-overlapping for each kind.  The method then
 adds what one text alone cannot show.  Long mixed tokens are candidates; the hash of each
 candidate's value is counted over the corpus by distinct repositories and owners.  A value
-that several owners hold is a copied example (documentation, test fixtures); a value that
-one owner holds and that looks live becomes a span of kind ``owned``.  Base spans stay
+that several owners hold, or one owner in more than :data:`MAX_REPOS` repositories, is a
+copied example (documentation, test fixtures); a value that one owner holds in few
+repositories and that looks live becomes a span of kind ``owned``.  Base spans stay
 whatever their frequency; their counts are reported beside them.
 
 Counting is three nested aggregations, (hash, owner, repository), (hash, owner), (hash),
@@ -30,6 +31,9 @@ HEX = r"[0-9a-f]{16,}"
 TOKEN = r"[A-Za-z0-9+/_-]{20,}"
 KINDS = ("assign", "access", "hex", "owned")
 
+#: A live value is shared by few repositories of its owner; one in more of them is copied.
+MAX_REPOS = 100
+
 #: Matches whose places are summed in one step (see :func:`_places`).
 BLOCK = 64
 
@@ -107,15 +111,18 @@ def frequencies(held: DataFrame) -> DataFrame:
 
 
 def scan_secrets(df: DataFrame, text_col: str, owner_col: str, repo_col: str,
-                 keep: dict[str, str] | None = None, max_owners: int = 1, copied_owners: int = 2) -> DataFrame:
+                 keep: dict[str, str] | None = None, max_owners: int = 1, copied_owners: int = 2,
+                 max_repos: int = MAX_REPOS) -> DataFrame:
     """One row for each row of ``df``: the columns of ``keep`` (new name: column), ``base``
     and ``spans`` (arrays of structs), ``n_copied`` (base spans whose value at least
-    ``copied_owners`` owners hold: examples) and ``n_live`` (the rest).
-
-    The method adds a candidate when at most ``max_owners`` owners hold its value.  Spans
-    are sorted by start, then kind.  Null and empty texts have no spans; null owners and
-    repositories count as one each; repeated rows stay rows of their own (and one holder);
-    an empty table gives no rows; other columns take no part."""
+    ``copied_owners`` owners or more than ``max_repos`` repositories hold: examples) and
+    ``n_live`` (the rest).
+
+    The method adds a candidate when at most ``max_owners`` owners and at most ``max_repos``
+    repositories, counted within their owners, hold its value.  Spans are sorted by start,
+    then kind.  Null and empty texts have no spans; null owners and repositories count as
+    one each; repeated rows stay rows of their own (and one holder); an empty table gives no
+    rows; other columns take no part."""
     keep = keep or {}
     rows = df.select(*[F.col(c).alias(f"k_{n}") for n, c in keep.items()], F.col(text_col).alias("_raw"),
                      F.col(owner_col).cast("string").alias("owner"), F.col(repo_col).cast("string").alias("repo"))
@@ -127,10 +134,11 @@ def scan_secrets(df: DataFrame, text_col: str, owner_col: str, repo_col: str,
             .select("row", "owner", "repo", F.struct("s.start", "s.kind", "s.end").alias("span"),
                     F.sha2(value, 256).alias("hash")))
     seen = held.select("row", "span", "hash").join(frequencies(held), "hash")
-    copied = F.col("n_owners") >= copied_owners
+    spread = F.col("n_repos") > max_repos
+    copied = (F.col("n_owners") >= copied_owners) | spread
     based = F.col("span.kind") < 3
     judged = seen.groupBy("row").agg(
-        F.collect_list(F.when(~based & (F.col("n_owners") <= max_owners), F.col("span"))).alias("added"),
+        F.collect_list(F.when(~based & (F.col("n_owners") <= max_owners) & ~spread, F.col("span"))).alias("added"),
         F.sum((based & copied).cast("long")).alias("n_copied"),
         F.sum((based & ~copied).cast("long")).alias("n_live"))
     bare = F.transform("_base", lambda s: F.struct(s["start"].alias("start"), s["kind"].alias("kind"),
