@@ -20,11 +20,22 @@ from ledgerline.streaming import ingest as S
 @register("stream_ingest", _FILES + """SELECT path, status, stage, reason FROM results
 WHERE path NOT LIKE 'inbound/web/%' AND path NOT LIKE 'inbound/edi/%'""")
 def stream_ingest(spark, sf):
-    """Documents arriving in a drop folder, ingested exactly once per content by foreachBatch."""
+    """Documents arriving with the rest of the mailbox, ingested exactly once per content by foreachBatch."""
+    return _streamed_mailbox(spark, sf).where(~F.col("path").rlike("^inbound/(web|edi)/"))
+
+
+@register("stream_mailbox", _FILES + "SELECT path, status, stage, reason FROM results")
+def stream_mailbox(spark, sf):
+    """Every file of the mailbox (documents, pages, X12 invoices), ingested as a stream."""
+    return _streamed_mailbox(spark, sf)
+
+
+def _streamed_mailbox(spark, sf):
     out = S.scratch(spark, "stream-ingest")
-    rows = S.table_stream(spark, sf, "documents.parquet", table(spark, sf, "documents").schema)
-    q = S.start_ingest(with_names(B.documents_as_files(rows)), out, B.LAYOUTS, B.MAPS, B.MAP_TYPES)
-    q.awaitTermination()
+    drop = f"{out}/inbox"
+    B.inbound_files(spark, sf).select("path", "content").write.parquet(drop)
+    files = S.table_stream(spark, drop, "*.parquet", "path string, content string")
+    S.start_ingest(with_names(files), out, B.LAYOUTS, B.MAPS, B.MAP_TYPES).awaitTermination()
     return spark.read.parquet(f"{out}/results").select("path", "status", "stage", "reason")
 
 
