@@ -74,6 +74,11 @@ def test_pieces_equal_the_library(spark, sf, sample):
     assert [(r.doc_id, r.n_pieces, r.ids_crc32, r.round_trip) for r in got] == want
 
 
+def test_pieces_of_the_backend_equal_the_library(spark, sf, sample):
+    rows = Q.op6_sentencepiece(spark, sf).collect()
+    assert len(rows) == len(sample) and all(r.parity for r in rows)
+
+
 def test_url_rules_equal_a_plain_version(spark, sf, con):
     for r in Q.op8_url_filter(spark, sf).collect():
         (url,) = con.execute("SELECT url FROM pages WHERE page_id = ?", [r.page_id]).fetchone()

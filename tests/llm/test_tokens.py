@@ -114,3 +114,26 @@ def test_model_file_is_read_as_the_library_reads_it():
     assert [p[0] for p in model.pieces] == [library.id_to_piece(i) for i in range(library.get_piece_size())]
     assert [p[1] for p in model.pieces] == [library.get_score(i) for i in range(library.get_piece_size())]
     assert model.kind == S.BPE and model.byte_fallback and model.add_dummy_prefix and not model.remove_extra_whitespaces
+
+
+class _Agreeing(list):
+    """Ids that equal any others."""
+
+    def __eq__(self, other):
+        return True
+
+    def __ne__(self, other):
+        return False
+
+
+def test_ids_are_the_backends_unless_the_library_differs(monkeypatch):
+    with open(tokenizer_file("piece_bpe_32k.model"), "rb") as f:
+        data = f.read()
+    texts, mine = [b"one two", b" x  y", "漢 é".encode()], S.Codec(data)
+    want = mine.encode(texts)
+    monkeypatch.setattr(S.Codec, "_verified", lambda self, chunks: [_Agreeing([7])] * len(chunks))
+    assert S.Codec(data).encode(texts) == want and all(parity for _, parity, _ in want)
+    monkeypatch.setattr(S.Codec, "_verified", lambda self, chunks: [[7]] * len(chunks))
+    codec = S.Codec(data)
+    for text, (ids, parity, _) in zip(texts, codec.encode(texts)):
+        assert ids == np.array([7] * len(codec.chunks(text)), "<u4").tobytes() and not parity
