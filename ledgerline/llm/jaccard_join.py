@@ -279,7 +279,26 @@ def _candidates(events: DataFrame) -> DataFrame:
 
 
 def one_of_each(df: DataFrame, id_col: str, text_col: str, width: int = 5, percent: int = 80) -> DataFrame:
-    """``df`` with the smallest id of each class; rows without an id stay."""
-    found = near_classes(df, id_col, text_col, width, percent).where("id <> component_id").select(
-        F.col("id").alias(id_col)).distinct()
-    return df.join(found, id_col, "left_anti")
+    """``df`` with one document of each class, the one of the smallest id.
+
+    A document is a distinct (id, text): texts of one id are compared as documents of their
+    own (in the order of their MD5), so a text that is in no other class stays whatever
+    happens to the id's other texts.  Repeated rows of one id and text are one document and
+    stay or go together.  Rows without an id are compared with each other only, and by their
+    whole text: one row of each text stays, whichever, if other columns differ."""
+    named = df.where(F.col(id_col).cast("long").isNotNull())
+    unnamed = df.where(F.col(id_col).cast("long").isNull()).dropDuplicates([text_col])
+    several = named.groupBy(F.col(id_col).cast("long")).count().where("count > 1")
+    if several.isEmpty():  # ids name documents
+        found = near_classes(named, id_col, text_col, width, percent).where("id <> component_id").select(
+            F.col("id").alias(id_col)).distinct()
+        return named.join(found, id_col, "left_anti").select(df.columns).unionByName(unnamed)
+    own, key = F.col(id_col).cast("long"), F.md5(F.coalesce(F.col(text_col), F.lit("")).cast("binary"))
+    docs = named.select(own.alias("id"), key.alias("key"), F.col(text_col).alias("text"))
+    # numbered in the order of ids, so the smallest number of a class has its smallest id
+    nodes = write_through(docs.select("id", "key").distinct().orderBy("id", "key")
+                          .withColumn("node", F.monotonically_increasing_id()), "near-nodes")
+    classes = near_classes(docs.join(nodes, ["id", "key"]), "node", "text", width, percent)
+    found = (nodes.join(classes.where("id <> component_id").select(F.col("id").alias("node")).distinct(), "node")
+             .select(F.col("id").alias("_gone_id"), F.col("key").alias("_gone_key")))
+    return named.join(found, (own == F.col("_gone_id")) & (key == F.col("_gone_key")), "left_anti").unionByName(unnamed)

@@ -72,6 +72,19 @@ def test_an_id_with_several_texts_joins_their_classes(docs_of):
     assert sorted((r.id, r.n_shingles, r.component_id) for r in out) == [(3, 4, 3), (5, 4, 3), (5, 4, 3), (9, 4, 3), (11, 1, 11)]
 
 
+def test_one_of_each_decides_by_texts(docs_of):
+    alone, shared = "only this id has such a text", "p q r s t u v w x"
+    unnamed = [(None, shared)] * 3 + [(None, "no id here")] * 2 + [(None, None)] * 2
+    rows = [(5, alone), (5, shared), (5, shared + " y"), (3, shared), (3, shared), (9, alone), (11, "solo"), (12, ""), *unnamed]
+    kept = J.one_of_each(docs_of(rows), "doc_id", "text")
+    assert kept.columns == docs_of(rows).columns
+    key = lambda r: (r[0] or 0, r[1] or "")
+    want = [(None, None), (None, "no id here"), (None, shared), (3, shared), (3, shared), (5, alone), (11, "solo"), (12, "")]
+    assert sorted(((r.doc_id, r.text) for r in kept.collect()), key=key) == sorted(want, key=key)
+    kept = J.one_of_each(docs_of([(1, shared), (2, shared), *unnamed]), "doc_id", "text")  # ids of one row each
+    assert sorted(((r.doc_id, r.text) for r in kept.collect()), key=key) == sorted([*want[:3], (1, shared)], key=key)
+
+
 @pytest.mark.parametrize("percent", [80, 85])
 @pytest.mark.parametrize("exact", [False, True])
 def test_similar_sets_share_a_signature(percent, exact):
