@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ledgerline.llm import (
+    conversation_queries,
     decontaminate,
     jaccard_join,
     language_id,
@@ -217,6 +218,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_url_filter": op8_url_filter,
     "op9_exact_top_k": op9_exact_top_k,
     "op10_sharding": op10_sharding,
+    **conversation_queries.QUERIES,
 }
 
 ORACLE: dict[str, str] = {
@@ -225,4 +227,5 @@ ORACLE: dict[str, str] = {
     "op7_decontaminate": WINDOW_SQL,
     "op9_exact_top_k": TOP_K_SQL,
     "op10_sharding": SHARDING_SQL,
+    **conversation_queries.ORACLE,
 }

@@ -10,6 +10,7 @@ from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: Rows of one Arrow batch for columns that hold whole texts.
 TEXT_BATCH_ROWS = 512
@@ -38,6 +39,24 @@ def write_through(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: A key is heavy when it holds over one row in so many; so there are fewer heavy keys than this.
+HEAVY = 1000
+
+
+def join_skewed(rows: DataFrame, about: DataFrame, keys: list[str]) -> DataFrame:
+    """Inner join of ``rows`` with ``about``, which has one row for each key.
+
+    Rows of heavy keys get theirs by a broadcast of fewer than ``HEAVY`` rows and stay where
+    they are, so no task receives all rows of one key; the rest are joined by a shuffle.
+    Rows with a null key match nothing."""
+    counts = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
+    heavy = write_through(counts.where(F.col("_n") * HEAVY > rows.count()).where("_n > 100").select(*keys), "heavy")
+    if heavy.isEmpty():
+        return rows.join(about, keys)
+    few = F.broadcast(about.join(F.broadcast(heavy), keys, "left_semi"))
+    return rows.join(few, keys).unionByName(rows.join(F.broadcast(heavy), keys, "left_anti").join(about, keys))
+
+
 _shipped: set[str] = set()
 
 

@@ -21,7 +21,7 @@ def test_query_equals_its_sql(spark, sf, con, name):
 
 
 def test_one_query_for_each_operator():
-    assert sorted(int(n[2:].split("_")[0]) for n in Q.QUERIES) == list(range(1, 11))
+    assert sorted(int(n[2:].split("_")[0]) for n in Q.QUERIES) == list(range(1, 14))
 
 
 def test_token_counts_equal_a_greedy_search(spark, sf, sample):
