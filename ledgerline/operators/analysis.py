@@ -126,12 +126,13 @@ def report_footer(report: DataFrame) -> DataFrame:
     return report.filter(F.col("severity") != "").groupBy("severity").agg(F.count(F.lit(1)).alias("n"))
 
 
-def listing(df: DataFrame, order_col: str, offset: int = 0, limit: int = 50,
+def listing(df: DataFrame, order_by: str | list[str], offset: int = 0, limit: int = 50,
             text: dict[str, str] | None = None, **filters) -> DataFrame:
     """Newest first, filtered by equal values and by ``text`` that a column holds
     in any case, paged (the page size is the feature)."""
+    order = [order_by] if isinstance(order_by, str) else order_by
     for col, part in (text or {}).items():
         df = df.filter(F.lower(col).contains(part.lower()))
     for col, val in filters.items():
         df = df.filter(F.col(col) == val)
-    return df.orderBy(F.desc(order_col)).offset(offset).limit(limit)
+    return df.orderBy(*map(F.desc, order)).offset(offset).limit(limit)

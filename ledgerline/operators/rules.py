@@ -91,23 +91,20 @@ def rules_frame(spark: SparkSession, book: RuleBook, crosswalk: list[dict] | Non
 
 
 def merge_tiers(rules: DataFrame) -> DataFrame:
-    """C16 (+C20): per exact (segment, field) the highest tier wins.
-
-    Attributes a crosswalk row leaves NULL fall back to the best tier rule
-    below it, so an override of severity keeps the tier's numeric flag.
+    """C16 (+C20): per exact (segment, field) the rule of the highest tier wins whole; nothing
+    of a lower tier's rule is inherited.  A crosswalk row is no rule of its own: it overlays
+    the attributes that it sets, so an override of severity keeps the rule's numeric flag.
     """
-    aggs = []
-    for a in RULE_ATTRS:
-        # highest-ranked non-null value of each attribute
-        aggs.append(F.max_by(F.col(a), F.when(F.col(a).isNotNull(), F.col("tier_rank"))).alias(a))
-    merged = (rules.groupBy("segment", "field")
-                   .agg(F.max_by("tier", "tier_rank").alias("tier"), *aggs))
+    over = F.col("tier") == "crosswalk"
+    rule = F.max_by(F.struct("tier", *RULE_ATTRS), F.when(~over, F.col("tier_rank")))
+    laid = [F.max_by(F.when(over, F.col(a)), F.when(over & F.col(a).isNotNull(), F.col("tier_rank"))).alias(f"_x_{a}")
+            for a in RULE_ATTRS]
+    merged = rules.groupBy("segment", "field").agg(rule.alias("_rule"), F.max(over).alias("_over"), *laid)
+    attrs = {a: F.coalesce(F.col(f"_x_{a}"), F.col("_rule")[a]) for a in RULE_ATTRS}
+    unset = {"severity": F.lit("hard"), "ignore_case": F.lit(False), "numeric": F.lit(False)}
     return merged.select(
-        "segment", "field", "tier",
-        F.coalesce("severity", F.lit("hard")).alias("severity"),
-        F.coalesce("ignore_case", F.lit(False)).alias("ignore_case"),
-        F.coalesce("numeric", F.lit(False)).alias("numeric"),
-        "conditional_qualifier", "amount_variance")
+        "segment", "field", F.when(F.col("_over"), "crosswalk").otherwise(F.col("_rule.tier")).alias("tier"),
+        *[(F.coalesce(c, unset[a]) if a in unset else c).alias(a) for a, c in attrs.items()])
 
 
 def merge_config(book: RuleBook, crosswalk: list[dict] | None = None) -> list[dict]:
@@ -115,8 +112,10 @@ def merge_config(book: RuleBook, crosswalk: list[dict] | None = None) -> list[di
     ``rules_frame``, computed in Python because rules are configuration."""
     merged: dict[tuple[str, str], dict] = {}
     for row in sorted(book.rows(crosswalk), key=lambda r: r["tier_rank"]):  # later rows win
-        into = merged.setdefault((row["segment"], row["field"]), dict.fromkeys(RULE_ATTRS))
-        into |= {a: row[a] for a in RULE_ATTRS if row[a] is not None} | {"tier": row["tier"]}
+        key, own = (row["segment"], row["field"]), {a: row[a] for a in ["tier", *RULE_ATTRS]}
+        if row["tier"] == "crosswalk":
+            own = merged.get(key, dict.fromkeys(RULE_ATTRS)) | {a: v for a, v in own.items() if v is not None}
+        merged[key] = own
     return [{"segment": seg, "field": fld, **m, "severity": m["severity"] or "hard",
              "ignore_case": bool(m["ignore_case"]), "numeric": bool(m["numeric"])}
             for (seg, fld), m in sorted(merged.items())]
@@ -165,8 +164,8 @@ def resolve(df: DataFrame, merged: DataFrame, seg_col: str = "rule_segment",
     ``merged`` is the output of ``merge_tiers`` – configuration.  Three equi left joins – (s, f), (s, *), (*, f) –
     and the single (*, *) rule read once at plan time and inlined as a literal
     (a join on a constant would plan as a nested loop).  ``df`` is not shuffled.
-    Pass ``star_rule`` (a dict or None) when the rules come from configuration
-    to skip reading it from ``merged``.
+    ``star_rule`` (a dict or None) is that rule; where the rules are no Python values, it is
+    read from ``merged``, which is one row of configuration (see :func:`star_of`).
     """
     def side(t: DataFrame, n: int, keys: list[str]) -> DataFrame:
         cols = [F.col(k).alias(f"_r{n}_{k}") for k in keys]
@@ -200,18 +199,31 @@ def resolve(df: DataFrame, merged: DataFrame, seg_col: str = "rule_segment",
                       f"{prefix}wildcard", f"{prefix}hit")
 
 
+def star_of(book: RuleBook, crosswalk: list[dict] | None = None, tier: str | None = None) -> dict | None:
+    """The merged (*, *) rule of the configuration (of one tier, if named)."""
+    if tier is None:
+        rows = merge_config(book, crosswalk)
+    else:
+        one = RuleBook()
+        one.rules = [r for r in book.rules if r["tier"] == tier]
+        rows = merge_config(one, crosswalk if tier == "crosswalk" else None)
+    return next((m for m in rows if m["segment"] == "*" and m["field"] == "*"), None)
+
+
 def resolve_with_tier(keys: DataFrame, rules: DataFrame, seg_col: str = "segment",
-                      field_col: str = "field") -> DataFrame:
+                      field_col: str = "field", stars: dict[str, dict | None] | None = None) -> DataFrame:
     """Tier first, wildcards inside each tier; adds ``tier``.
 
+    ``stars``: the (*, *) rule of each tier, when the rules are Python values.
+
     Differs from ``resolve`` when a higher tier has only a ``(*, *)`` rule and a
     lower tier an exact one.  Used for rule listings, not for diffs.
     """
     out = keys
     order = ["crosswalk", "partner", "transaction", "universal"]
     for tier in order:
-        out = resolve(out, merge_tiers(rules.filter(F.col("tier") == tier)),
-                      seg_col, field_col, prefix=f"{tier}_")
+        out = resolve(out, merge_tiers(rules.filter(F.col("tier") == tier)), seg_col, field_col, prefix=f"{tier}_",
+                      star_rule=_UNSET if stars is None else stars.get(tier))
     tier_col = F.lit("default")
     for tier in reversed(order):
         tier_col = F.when(F.col(f"{tier}_hit"), F.lit(tier)).otherwise(tier_col)

@@ -7,6 +7,8 @@ the Spark plan, which aligns whole records and zips their fields.
 
 from __future__ import annotations
 
+import re
+
 from ledgerline.functions.transforms import NUMERIC_PATTERN
 from ledgerline.operators import rules as R
 from ledgerline.plans import invoices as I
@@ -22,6 +24,11 @@ def _q(v) -> str:
     return "'" + str(v).replace("'", "''") + "'"
 
 
+def materialized(sql: str) -> str:
+    """Each named table of ``sql`` computed once, however often it is read."""
+    return re.sub(r"\b(\w+) AS \((?=\s*(?:SELECT|WITH)\b)", r"\1 AS MATERIALIZED (", sql)
+
+
 def rules_values(book: R.RuleBook, crosswalk: list[dict] | None = None) -> str:
     columns = ["tier_rank", "tier", "segment", "field", *R.RULE_ATTRS]
     rows = [[r[c] for c in columns] for r in book.rows(crosswalk)]
@@ -39,11 +46,14 @@ def ignores_values(book: R.RuleBook) -> str:
 
 
 def merged_rules_sql(book: R.RuleBook, crosswalk: list[dict] | None = None) -> str:
-    """Attribute-wise highest tier with a value."""
-    attrs = ", ".join(f"arg_max({a}, CASE WHEN {a} IS NOT NULL THEN tier_rank END) AS {a}"
-                      for a in R.RULE_ATTRS)
-    return (f"SELECT segment, field, arg_max(tier, tier_rank) AS tier, {attrs} "
-            f"FROM ({rules_values(book, crosswalk)}) GROUP BY segment, field")
+    """The whole rule of the highest tier; a crosswalk row overlays what it sets."""
+    tables = f"""t AS ({rules_values(book, crosswalk)}),
+      ranked AS (SELECT *, row_number() OVER (PARTITION BY segment, field ORDER BY tier_rank DESC) AS place
+                 FROM t WHERE tier <> 'crosswalk'),
+      best AS (SELECT * FROM ranked WHERE place = 1), x AS (SELECT * FROM t WHERE tier = 'crosswalk')"""
+    attrs = ", ".join(f"coalesce(x.{a}, best.{a}) AS {a}" for a in R.RULE_ATTRS)
+    return (f"WITH {tables} SELECT segment, field, coalesce(x.tier, best.tier) AS tier, {attrs} "
+            f"FROM best FULL OUTER JOIN x USING (segment, field)")
 
 
 def _fpos(fields: list[str]) -> str:
@@ -222,7 +232,7 @@ def base_sql(version: int = 1, crosswalk: list[dict] | None = None, extra_versio
     out = "WITH " + INVOICE_CTES.strip() + diff_ctes(I.profile_rules(version), crosswalk)
     for v in extra_versions:
         out += diff_ctes(I.profile_rules(v), None, suffix=f"_v{v}")
-    return out + ",\nstatus AS (\n  SELECT p.*, CASE WHEN source_file IS NULL OR target_file IS NULL THEN 'UNMATCHED'\n" \
+    return materialized(out) + ",\nstatus AS MATERIALIZED (\n  SELECT p.*, CASE WHEN source_file IS NULL OR target_file IS NULL THEN 'UNMATCHED'\n" \
         "    WHEN coalesce(d.n, 0) > 0 THEN 'MISMATCH' ELSE 'MATCH' END AS status,\n" \
         "    CASE WHEN source_file IS NULL OR target_file IS NULL THEN 0 ELSE coalesce(d.n, 0) END AS diff_count\n" \
         "  FROM pairs p LEFT JOIN (SELECT pair_id, count(*) AS n FROM diffs GROUP BY pair_id) d USING (pair_id))\n"

@@ -110,7 +110,7 @@ def diffs_sql() -> str:
              FROM {p}_ql q LEFT JOIN {p}_f f USING (pair_id, segment, qk, occ)
              GROUP BY q.pair_id, q.segment, q.qk, q.occ, q.label)""")
     ign = OI.ignores_values(tiered)
-    return segments_sql() + "," + ",".join(side_ctes) + f""",
+    return OI.materialized(segments_sql() + "," + ",".join(side_ctes) + f""",
 pairs AS (
   SELECT coalesce(s.match_value, t.match_value) || '#' || coalesce(s.occ, t.occ) AS pair_id,
          coalesce(s.match_value, t.match_value) AS match_value, coalesce(s.occ, t.occ) AS occ,
@@ -172,4 +172,4 @@ diffs AS (
     AND NOT (CASE WHEN ignore_case THEN lower(coalesce(s, '')) = lower(coalesce(t, '')) ELSE coalesce(s, '') = coalesce(t, '') END)
     AND severity <> 'ignore'
     AND NOT (cq IS NOT NULL AND ((s IS NULL AND coalesce(s_cq, '') <> '') OR (t IS NULL AND coalesce(t_cq, '') <> ''))))
-"""
+""")

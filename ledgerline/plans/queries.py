@@ -9,7 +9,6 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from ledgerline.operators import analysis as A
 from ledgerline.operators import reconcile as RC
@@ -36,10 +35,6 @@ _BASE = OI.base_sql(1)
 _BASE_V12 = OI.base_sql(1, extra_versions=(2,))
 
 
-#: Start of the run in reports (fixed, so that Spark and SQL agree).
-STARTED_AT = "2025-01-01T00:00:00"
-
-
 @register("flat_diffs", _BASE + "SELECT * FROM diffs")
 def flat_diffs(spark, sf):
     """Every diff of the invoice run."""
@@ -67,10 +62,12 @@ def run_summary(spark, sf):
     return RC.run_summary(RC.pair_status(pairs, diffs))
 
 
+# ------------------------------------------------------------------ analysis of stored runs
+
 for _by in ("severity", "segment", "field"):
     def _mk(by):
         def q(spark, sf):
-            return A.breakdown(I.flat_run(spark, sf)[1], by)
+            return A.breakdown(I.run_store(spark, sf).diffs(1), by)
         q.__doc__ = f"A1–A3/J12: diff count per {by}."
         return q
     register(f"{_by}_breakdown", _BASE + f"SELECT {_by}, count(*) AS n FROM diffs GROUP BY {_by}")(_mk(_by))
@@ -80,7 +77,7 @@ for _by in ("severity", "segment", "field"):
                                  "ORDER BY n DESC, segment, field LIMIT 10")
 def top_errors(spark, sf):
     """A4: top 10 (segment, field) – the flagship report."""
-    return A.top_errors(I.flat_run(spark, sf)[1], 10)
+    return A.top_errors(I.run_store(spark, sf).diffs(1), 10)
 
 
 @register("discoveries", _BASE + """SELECT segment, field,
@@ -89,10 +86,10 @@ def top_errors(spark, sf):
   FROM diffs WHERE wildcard GROUP BY segment, field""")
 def discoveries(spark, sf):
     """Unclassified (segment, field) combinations."""
-    return A.discoveries(I.flat_run(spark, sf)[1])
+    return A.discoveries(I.run_store(spark, sf).diffs(1))
 
 
-@register("reclassify", _BASE + """, mr2 AS (""" + OI.merged_rules_sql(I.profile_rules(2)) + """),
+_RECLASSIFIED = _BASE + """, mr2 AS (""" + OI.merged_rules_sql(I.profile_rules(2)) + """),
 rc AS (
   SELECT d.*, CASE WHEN r1.segment IS NOT NULL THEN r1.severity WHEN r2.segment IS NOT NULL THEN r2.severity
       WHEN r3.segment IS NOT NULL THEN r3.severity WHEN r4.segment IS NOT NULL THEN r4.severity ELSE 'hard' END AS new_severity
@@ -100,15 +97,30 @@ rc AS (
   LEFT JOIN mr2 r1 ON r1.segment = split_part(d.segment, '*', 1) AND r1.field = d.field
   LEFT JOIN mr2 r2 ON r2.segment = split_part(d.segment, '*', 1) AND r2.field = '*'
   LEFT JOIN mr2 r3 ON r3.segment = '*' AND r3.field = d.field
-  LEFT JOIN mr2 r4 ON r4.segment = '*' AND r4.field = '*')
-SELECT pair_id, segment, field, new_severity AS severity, source_value, target_value, description
-FROM rc WHERE new_severity <> 'ignore'""")
+  LEFT JOIN mr2 r4 ON r4.segment = '*' AND r4.field = '*'),
+again AS (SELECT pair_id, segment, field, new_severity AS severity, source_value, target_value, description
+          FROM rc WHERE new_severity <> 'ignore'),
+again_status AS (
+  SELECT p.pair_id, p.match_value, CASE WHEN source_file IS NULL OR target_file IS NULL THEN 'UNMATCHED'
+      WHEN coalesce(n, 0) > 0 THEN 'MISMATCH' ELSE 'MATCH' END AS status,
+    CASE WHEN source_file IS NULL OR target_file IS NULL THEN 0 ELSE coalesce(n, 0) END AS diff_count
+  FROM pairs p LEFT JOIN (SELECT pair_id, count(*) AS n FROM again GROUP BY pair_id) USING (pair_id))
+"""
+
+
+@register("reclassify", _RECLASSIFIED + "SELECT * FROM again")
 def reclassify(spark, sf):
     """Stored diffs re-resolved under the profile's version-2 rules."""
-    d = A.reclassify(spark, I.flat_run(spark, sf)[1], I.profile_rules(2))
+    d = A.reclassify(spark, I.run_store(spark, sf).diffs(1).drop("run_id"), I.profile_rules(2))
     return d.drop("wildcard")
 
 
+@register("reclassify_status", _RECLASSIFIED + "SELECT * FROM again_status")
+def reclassify_status(spark, sf):
+    """Statuses of the run that reclassifying stored, counted from its own diffs."""
+    return I.run_store(spark, sf).pairs(3).select("pair_id", "match_value", "status", "diff_count")
+
+
 @register("run_diff", _BASE_V12 + """,
 la AS (SELECT segment, field, arg_max(severity, pair_id) AS severity FROM diffs GROUP BY segment, field),
 lb AS (SELECT segment, field, arg_max(severity, pair_id) AS severity FROM diffs_v2 GROUP BY segment, field)
@@ -118,9 +130,8 @@ SELECT coalesce(la.segment, lb.segment) AS segment, coalesce(la.field, lb.field)
   la.severity AS severity_a, lb.severity AS severity_b
 FROM la FULL OUTER JOIN lb ON la.segment = lb.segment AND la.field = lb.field""")
 def run_diff(spark, sf):
-    """Run with rules v1 against a full re-run with rules v2."""
-    inputs = I.flat_inputs(spark, sf)
-    return A.run_diff(I.flat_run(spark, sf, 1, inputs=inputs)[1], I.flat_run(spark, sf, 2, inputs=inputs)[1])
+    """The stored run with rules v1 against the stored full run with rules v2."""
+    return I.run_store(spark, sf).compare(1, 2)
 
 
 @register("report_rows", _BASE + """SELECT '2025-01-01T00:00:00' AS timestamp, 'invoices' AS profile, '' AS trading_partner, 1 AS run_id,
@@ -131,8 +142,7 @@ def run_diff(spark, sf):
 FROM status s LEFT JOIN diffs d USING (pair_id)""")
 def report_rows(spark, sf):
     """15-column report rows."""
-    pairs, diffs = I.flat_run(spark, sf)
-    return A.report_rows(RC.pair_status(pairs, diffs), diffs, 1, "invoices", started_at=STARTED_AT)
+    return I.run_store(spark, sf).report(1)
 
 
 @register("report_header", _BASE + """SELECT 'invoices' AS profile, '' AS trading_partner, '810' AS transaction_type, 1 AS run_id,
@@ -141,21 +151,26 @@ def report_rows(spark, sf):
 FROM status""")
 def report_header(spark, sf):
     """Metadata of the report."""
-    pairs, diffs = I.flat_run(spark, sf)
-    return A.report_header(RC.pair_status(pairs, diffs), 1, "invoices", "", "810", STARTED_AT)
+    return A.report_header(I.run_store(spark, sf).pairs(1), 1, "invoices", "", "810", I.STARTED_AT)
 
 
 @register("pairs_listing", _BASE + """SELECT pair_id, match_value, status, diff_count FROM status
 WHERE status = 'MISMATCH' AND contains(lower(target_file), 'inv_1') ORDER BY pair_id DESC LIMIT 50 OFFSET 10""")
 def pairs_listing(spark, sf):
     """A page of the pairs of one status whose target file holds a text."""
-    pairs, diffs = I.flat_run(spark, sf)
-    return A.listing(RC.pair_status(pairs, diffs), "pair_id", 10, 50, {"target_file": "INV_1"}, status="MISMATCH").select(
+    return A.listing(I.run_store(spark, sf).pairs(1), "pair_id", 10, 50, {"target_file": "INV_1"}, status="MISMATCH").select(
         "pair_id", "match_value", "status", "diff_count")
 
 
+@register("diffs_listing", _BASE + """SELECT pair_id, segment, field, severity, source_value, target_value FROM diffs
+WHERE severity = 'hard' AND contains(lower(field), 'quantity') ORDER BY pair_id DESC, segment DESC, field DESC LIMIT 50 OFFSET 5""")
+def diffs_listing(spark, sf):
+    """A page of one run's diffs of a severity whose field holds a text."""
+    return A.listing(I.run_store(spark, sf).diffs(1), ["pair_id", "segment", "field"], 5, 50, {"field": "Quantity"},
+                     severity="hard").select("pair_id", "segment", "field", "severity", "source_value", "target_value")
+
+
 @register("report_footer", _BASE + "SELECT severity, count(*) AS n FROM diffs GROUP BY severity")
 def report_footer(spark, sf):
     """Severity footer of the report."""
-    pairs, diffs = I.flat_run(spark, sf)
-    return A.report_footer(A.report_rows(RC.pair_status(pairs, diffs), diffs, 1, "invoices"))
+    return A.report_footer(I.run_store(spark, sf).report(1))

@@ -98,3 +98,24 @@ def key_fill_forward(spark, sf):
     recs, _ = FW.read_fixed_width(FF.fixed_width_files(spark, sf), FF.FW_LAYOUTS)
     inv = D.fill_forward_key(recs, F.col("record_id") == "INV_HDR", F.col("INV_HDR.invoice"))
     return recs.select("path", "line_no", "record_id", inv.alias("invoice_key"))
+
+
+@register("key_fill_forward_large", _LI + """, rows AS (
+  SELECT o_orderkey AS o, 0 AS line_no, 'FILEHDR' AS record_id FROM orders WHERE o_orderkey % 4 = 0
+  UNION ALL SELECT o_orderkey, CASE WHEN o_orderkey % 4 = 0 THEN 1 ELSE 0 END, 'INV_HDR' FROM orders
+  UNION ALL SELECT l_orderkey, line_no + 1 + CASE WHEN l_orderkey % 4 = 0 THEN 1 ELSE 0 END, 'INV_DTL' FROM li),
+placed AS (
+  SELECT CASE WHEN o % 3 = 0 THEN 'fw/batch.dat' ELSE 'fw/inv_' || o || '.dat' END AS path, o, line_no AS l, record_id FROM rows)
+SELECT path, o AS source_order, l AS line_no, record_id,
+  lpad(CAST(max(CASE WHEN record_id = 'INV_HDR' THEN o END) OVER (PARTITION BY path ORDER BY o, l) AS VARCHAR), 10, '0') AS invoice_key
+FROM placed""")
+def key_fill_forward_large(spark, sf):
+    """S10 W1 at any size: a third of the orders lie in one file; its boundary keys are carried
+    from task to task."""
+    recs, _ = FW.read_fixed_width(FF.fixed_width_files(spark, sf), FF.FW_LAYOUTS)
+    order = F.regexp_extract("path", r"(\d+)\.dat", 1).cast("long")
+    rows = recs.select(F.when(order % 3 == 0, F.lit("fw/batch.dat")).otherwise(F.col("path")).alias("path"),
+                       order.alias("source_order"), "line_no", "record_id", F.col("INV_HDR.invoice").alias("invoice"))
+    filled = D.filled_forward(rows.withColumn("place", F.struct("source_order", "line_no")), F.col("record_id") == "INV_HDR",
+                              F.col("invoice"), order_col="place", name="invoice_key")
+    return filled.select("path", "source_order", "line_no", "record_id", "invoice_key")

@@ -49,8 +49,9 @@ _FLAT_KEYS = "SELECT DISTINCT '*' AS rule_segment, field FROM (SELECT field FROM
 @register("rules_effective", _INV + "\n" + _resolve_sql(_FLAT_KEYS, OI.merged_rules_sql(I.profile_rules(1))))
 def rules_effective(spark, sf):
     """The rule every field of the invoices resolves to, with the wildcard flag."""
-    merged = R.merge_tiers(R.rules_frame(spark, I.profile_rules(1)))
-    return R.resolve(_flat_fields(spark, sf), merged).drop("hit")
+    book = I.profile_rules(1)
+    merged = R.merge_tiers(R.rules_frame(spark, book))
+    return R.resolve(_flat_fields(spark, sf), merged, star_rule=R.star_of(book), n_rules=len(book.rules)).drop("hit")
 
 
 _X12_KEYS = """SELECT DISTINCT segment AS rule_segment, segment || lpad(CAST(i AS VARCHAR), 2, '0') AS field
@@ -68,8 +69,9 @@ def rules_effective_x12(spark, sf):
                       F.posexplode(F.slice("elements", 2, F.greatest(F.size("elements") - 1, F.lit(0)))).alias("i", "_v"))
         k = k.select("rule_segment", F.concat("rule_segment", F.lpad((F.col("i") + 1).cast("string"), 2, "0")).alias("field"))
         keys = k if keys is None else keys.unionByName(k)
-    merged = R.merge_tiers(R.rules_frame(spark, X.x12_rules()))
-    return R.resolve(keys.distinct(), merged).drop("hit")
+    book = X.x12_rules()
+    merged = R.merge_tiers(R.rules_frame(spark, book))
+    return R.resolve(keys.distinct(), merged, star_rule=R.star_of(book), n_rules=len(book.rules)).drop("hit")
 
 
 def _tier_sql(keys: str) -> str:
@@ -97,8 +99,9 @@ LEFT JOIN {m} {t[0]}4 ON {t[0]}4.segment = '*' AND {t[0]}4.field = '*'""")
 @register("rules_provenance", _INV + "\n" + _tier_sql(_FLAT_KEYS))
 def rules_provenance(spark, sf):
     """Resolution tier first, wildcards inside the tier, with the tier that answered."""
-    rules = R.rules_frame(spark, I.profile_rules(1))
-    return R.resolve_with_tier(_flat_fields(spark, sf), rules, seg_col="rule_segment", field_col="field")
+    book = I.profile_rules(1)
+    return R.resolve_with_tier(_flat_fields(spark, sf), R.rules_frame(spark, book), seg_col="rule_segment",
+                               field_col="field", stars={t: R.star_of(book, tier=t) for t in R.TIER_RANK})
 
 
 @register("ignore_filter", OI.base_sql(1) + """SELECT pair_id, CASE WHEN section = 'line' THEN 'line_' || occ ELSE section END AS segment,
@@ -150,27 +153,21 @@ def match_keys(spark, sf):
     return out.select("side", "doc_id", "tx_index", "match_value")
 
 
-@register("run_listing", OI.base_sql(1, extra_versions=(2,)) + """,
+def _totals(status: str) -> str:
+    counts = ", ".join(f"count(*) FILTER (WHERE status = '{k}') AS {n}" for k, n in (
+        ("MATCH", "matched"), ("MISMATCH", "mismatched"), ("UNMATCHED", "unmatched")))
+    return f"SELECT count(*) AS total_pairs, {counts} FROM {status}"
+
+
+@register("run_listing", OI.base_sql(1, extra_versions=(2,)) + f""",
 st2 AS (SELECT p.*, CASE WHEN source_file IS NULL OR target_file IS NULL THEN 'UNMATCHED'
-          WHEN coalesce(d.n, 0) > 0 THEN 'MISMATCH' ELSE 'MATCH' END AS status,
-          CASE WHEN source_file IS NULL OR target_file IS NULL THEN 0 ELSE coalesce(d.n, 0) END AS diff_count
+          WHEN coalesce(d.n, 0) > 0 THEN 'MISMATCH' ELSE 'MATCH' END AS status
         FROM pairs p LEFT JOIN (SELECT pair_id, count(*) AS n FROM diffs_v2 GROUP BY pair_id) d USING (pair_id)),
 runs AS (
-  SELECT 1 AS run_id, 'invoices' AS profile, * FROM (SELECT count(*) AS total_pairs,
-    count(*) FILTER (WHERE status = 'MATCH') AS matched, count(*) FILTER (WHERE status = 'MISMATCH') AS mismatched,
-    count(*) FILTER (WHERE status = 'UNMATCHED') AS unmatched FROM status)
-  UNION ALL
-  SELECT 2, 'invoices', * FROM (SELECT count(*), count(*) FILTER (WHERE status = 'MATCH'),
-    count(*) FILTER (WHERE status = 'MISMATCH'), count(*) FILTER (WHERE status = 'UNMATCHED') FROM st2))
+  SELECT 1 AS run_id, 'invoices' AS profile, * FROM ({_totals("status")})
+  UNION ALL SELECT 2, 'invoices', * FROM ({_totals("st2")}))
 SELECT * FROM runs ORDER BY run_id DESC LIMIT 50""")
 def run_listing(spark, sf):
-    """Run history newest first, paged (two runs: rules v1 and v2)."""
-    runs = None
-    inputs = I.flat_inputs(spark, sf)
-    for run_id, version in ((1, 1), (2, 2)):
-        pairs, diffs = I.flat_run(spark, sf, version, inputs=inputs)
-        s = RC.run_summary(RC.pair_status(pairs, diffs)).select(
-            F.lit(run_id).alias("run_id"), F.lit("invoices").alias("profile"),
-            "total_pairs", "matched", "mismatched", "unmatched")
-        runs = s if runs is None else runs.unionByName(s)
-    return A.listing(runs, "run_id", 0, 50)
+    """History of the full runs, newest first, paged (two runs: rules v1 and v2)."""
+    runs = I.run_store(spark, sf).runs().where("reclassified_from is null")
+    return A.listing(runs, "run_id", 0, 50).select("run_id", "profile", "total_pairs", "matched", "mismatched", "unmatched")

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ledgerline.carry import Fold, in_order, running
 from ledgerline.operators import mapping as M
 from ledgerline.operators import reconcile as RC
 from ledgerline.plans import oracle_x12 as OX
@@ -14,6 +15,10 @@ from ledgerline.sources import x12 as XS
 _SEG = OX.segments_sql()
 
 
+def _all_transactions(spark, sf):
+    return X.parsed_transactions(spark, sf, "source").unionByName(X.parsed_transactions(spark, sf, "target"))
+
+
 def _all_segments(spark, sf):
     out = None
     for side in ("source", "target"):
@@ -40,13 +45,37 @@ FROM (SELECT * FROM sx_seg UNION ALL SELECT * FROM tx_seg)
 WHERE segment NOT IN ('ISA', 'GS', 'GE', 'IEA') GROUP BY doc_id""")
 def x12_transactions(spark, sf):
     """ST/SE loops per file with their transaction type."""
-    tx = XS.transactions(_all_segments(spark, sf))
+    tx = _all_transactions(spark, sf)
     return (tx.groupBy("doc_id", "tx_index")
               .agg(F.count(F.lit(1)).alias("n_segments"), F.min("seg_pos").alias("first_pos"),
                    F.max("seg_pos").alias("last_pos"),
                    F.max(F.when(F.col("segment") == "ST", F.get(F.col("elements"), 1))).alias("transaction_type")))
 
 
+@register("x12_large_transactions", _SEG + """,
+one AS (SELECT CASE WHEN o % 3 = 0 THEN 'batch.edi' ELSE doc_id END AS file, o, seg_pos, segment, elements
+        FROM (SELECT *, CAST(regexp_extract(doc_id, '(\\d+)\\.edi', 1) AS BIGINT) AS o FROM bx_seg)),
+tx AS (SELECT file, o, row_number() OVER (PARTITION BY file ORDER BY o, seg_pos) - 1 AS pos, segment, elements FROM one),
+loops AS (SELECT file, o, count(*) FILTER (segment NOT IN ('ISA', 'GS', 'GE', 'IEA')) AS n_segments,
+                 min(pos) FILTER (segment = 'ST') AS first_pos, max(pos) FILTER (segment = 'SE') AS last_pos,
+                 max(CASE WHEN segment = 'BIG' THEN elements[3] END) AS invoice FROM tx GROUP BY file, o)
+SELECT file AS doc_id, row_number() OVER (PARTITION BY file ORDER BY o) - 1 AS tx_index, n_segments, first_pos, last_pos,
+  invoice FROM loops""")
+def x12_large_transactions(spark, sf):
+    """S11 S13 W2 at any size: the interchanges of a third of the orders as one file of many
+    transactions, loops found by values carried from task to task."""
+    segs, _ = XS.parse(X.interchange_files(spark, sf, "book"))
+    order = F.regexp_extract("doc_id", r"(\d+)\.edi", 1).cast("long")
+    one = segs.select(F.when(order % 3 == 0, F.lit("batch.edi")).otherwise(F.col("doc_id")).alias("doc_id"),
+                      order.alias("_o"), "seg_pos", "segment", "elements")
+    placed = in_order(one, "doc_id", "_o", "seg_pos", keep=["doc_id", "segment", "elements"])
+    numbered = running(placed, ["doc_id"], n=Fold("count")).withColumn("seg_pos", F.col("n") - 1).drop("n")
+    tx = XS.transactions_of_large(numbered)
+    return tx.groupBy("doc_id", "tx_index").agg(
+        F.count(F.lit(1)).alias("n_segments"), F.min("seg_pos").alias("first_pos"), F.max("seg_pos").alias("last_pos"),
+        F.max(F.when(F.col("segment") == "BIG", F.get(F.col("elements"), 2))).alias("invoice"))
+
+
 @register("x12_segment_profile", _SEG + """SELECT side, segment, count(*) AS n, count(DISTINCT doc_id) AS n_docs
 FROM (SELECT 'source' AS side, * FROM sx_seg UNION ALL SELECT 'target', * FROM tx_seg) GROUP BY side, segment""")
 def x12_segment_profile(spark, sf):
@@ -74,7 +103,7 @@ SELECT d.doc_id, 0, r.segment, 0, 'missing_required' FROM docs d, req r
 WHERE NOT EXISTS (SELECT 1 FROM cnt c WHERE c.doc_id = d.doc_id AND c.segment = r.segment)""")
 def x12_cardinality(spark, sf):
     """Required segments and maximum use per transaction."""
-    tx = XS.transactions(_all_segments(spark, sf))
+    tx = _all_transactions(spark, sf)
     return XS.cardinality_violations(spark, tx, X.SPEC_810)
 
 
@@ -164,7 +193,7 @@ SELECT doc_id, 0 AS tx_index, transaction_type,
 FROM f""")
 def x12_map_810(spark, sf):
     """X12 transactions mapped to header + summary."""
-    tx = XS.transactions(_all_segments(spark, sf).drop("side"))
+    tx = _all_transactions(spark, sf)
     docs, _ = M.map_x12(tx, MAP_810)
     return docs
 
@@ -175,6 +204,6 @@ def x12_map_810(spark, sf):
 FROM (SELECT * FROM sx_seg UNION ALL SELECT * FROM tx_seg) WHERE segment = 'IT1'""")
 def x12_map_810_lines(spark, sf):
     """One mapped line per IT1 segment."""
-    tx = XS.transactions(_all_segments(spark, sf).drop("side"))
+    tx = _all_transactions(spark, sf)
     _, lines = M.map_x12(tx, MAP_810)
     return lines

@@ -67,3 +67,28 @@ def xml_generic(spark, sf):
     d = XS.discover_lines(files)
     inv = F.expr("xpath_string(content, '/*/Invoice/Header/InvoiceNumber')")
     return d.select("path", "line_element", "n_lines", inv.alias("invoice_number"))
+
+
+@register("xml_nested_lines", _LI + """, rows AS (
+  SELECT o_orderkey AS k, o_orderkey % 3 AS kind, strftime(o_orderdate, '%Y-%m-%d') AS day,
+    CAST(CAST(o_totalprice AS DECIMAL(18,2)) AS VARCHAR) AS total, line_no, CAST(l_partkey AS VARCHAR) AS part,
+    CAST(CAST(l_quantity AS BIGINT) AS VARCHAR) AS quantity, count(l_orderkey) OVER (PARTITION BY o_orderkey) AS n
+  FROM orders LEFT JOIN li ON o_orderkey = l_orderkey)
+SELECT DISTINCT 'nested/' || k || '.xml' AS path,
+  CASE WHEN n = 0 OR (kind = 2 AND n = 1) THEN NULL WHEN kind = 0 THEN 'ItemIn' WHEN kind = 1 THEN 'OrderRequestLine' ELSE 'row' END AS line_element,
+  CASE kind WHEN 0 THEN 'EUR' WHEN 1 THEN 'EUR' END AS header_currency,
+  CASE WHEN kind < 2 THEN total END AS header_total, CASE kind WHEN 0 THEN 'create' END AS operation,
+  CASE kind WHEN 1 THEN 'PO-' || k END AS order_id,
+  CASE WHEN NOT (kind = 2 AND n = 1) THEN line_no END AS line_index,
+  CASE WHEN n > 0 AND NOT (kind = 2 AND n = 1) THEN quantity END AS quantity,
+  CASE WHEN kind > 0 AND NOT (kind = 2 AND n = 1) THEN part END AS part,
+  CASE WHEN n > 0 THEN CASE kind WHEN 0 THEN 'EUR' WHEN 1 THEN 'GBP' END END AS currency
+FROM rows""")
+def xml_nested_lines(spark, sf):
+    """Attributes at any depth, the last of a name staying; punch-out headers; lines
+    found by tag or as repeated second-level elements."""
+    found = XS.header_and_lines(XD.nested_files(spark, sf))
+    header, line = F.col("header"), F.col("line")
+    return found.select("path", "line_element", header["@currency"].alias("header_currency"), header["@alternate"].alias("header_total"),
+                        header["@operation"].alias("operation"), header["@orderID"].alias("order_id"), "line_index",
+                        line["@quantity"].alias("quantity"), line["@part"].alias("part"), line["@currency"].alias("currency"))

@@ -124,8 +124,7 @@ def interchange_files(spark: SparkSession, sf_dir: str, side: str) -> DataFrame:
 
 def parsed_transactions(spark: SparkSession, sf_dir: str, side: str) -> DataFrame:
     from ledgerline.sources import x12 as X
-    segs, _ = X.parse(interchange_files(spark, sf_dir, side))
-    return X.transactions(segs)
+    return X.parse_transactions(interchange_files(spark, sf_dir, side))[0]
 
 
 def x12_run(spark: SparkSession, sf_dir: str):

@@ -35,8 +35,11 @@ def _dec(c: str) -> Column:
     return _s(F.col(c).cast("decimal(18,2)"))
 
 
-def _per_order(spark: SparkSession, sf_dir: str, head: Column, line: Column, tail: Column, path: Column) -> DataFrame:
+def _per_order(spark: SparkSession, sf_dir: str, head: Column, line: Column, tail: Column, path: Column,
+               which: Column | None = None) -> DataFrame:
+    """One document per order; of ``which`` orders, if given."""
     o = table(spark, sf_dir, "orders")
+    o = o if which is None else o.where(which)
     li = numbered_lines(spark, sf_dir)
     lines = (li.select(F.col("l_orderkey").alias("o_orderkey"), "line_no", line.alias("_t"))
                .groupBy("o_orderkey")
@@ -82,3 +85,33 @@ def cxml_files(spark: SparkSession, sf_dir: str) -> DataFrame:
         _s(F.col("l_partkey")), F.lit("</SupplierPartID></ItemID></OrderRequestLine>"))
     tail = F.lit("</OrderRequestDetail></OrderRequest></Request></cXML>\n")
     return _per_order(spark, sf_dir, head, line, tail, F.concat(F.lit("cxml/po_"), k, F.lit(".cxml")))
+
+
+def nested_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``nested/`` documents whose data sits in attributes at several depths, by
+    ``o_orderkey % 3``: a punch-out cXML message, a cXML order whose lines nest their
+    currency, and a feed whose only lines are repeated second-level elements."""
+    k, day = _s(F.col("o_orderkey")), F.date_format("o_orderdate", "yyyy-MM-dd")
+    money = F.concat(F.lit('<Money currency="EUR" alternate="'), _dec("o_totalprice"), F.lit('"/>'))
+    no = _s(F.col("line_no") + 1)
+    part, price = _s(F.col("l_partkey")), _dec("l_extendedprice")
+    punch = (F.concat(F.lit('<cXML payloadID="'), k, F.lit('"><Message><PunchOutOrderMessage><Header operation="create" currency="USD">'
+                      "<Total>"), money, F.lit('</Total></Header>')),
+             F.concat(F.lit('<ItemIn lineNumber="'), no, F.lit('" quantity="'), _s(F.col("l_quantity").cast("bigint")),
+                      F.lit('"><ItemDetail currency="USD"><UnitPrice><Money currency="EUR">'), price,
+                      F.lit("</Money></UnitPrice></ItemDetail></ItemIn>")),
+             F.lit("</PunchOutOrderMessage></Message></cXML>"))
+    order = (F.concat(F.lit('<cXML><Request><OrderRequest><OrderRequestHeader orderID="PO-'), k, F.lit('" orderDate="'), day,
+                      F.lit('"><Total>'), money, F.lit("</Total></OrderRequestHeader><OrderRequestDetail>")),
+             F.concat(F.lit("<OrderRequestLine><Quantity><Unit quantity=\""), _s(F.col("l_quantity").cast("bigint")),
+                      F.lit('"/></Quantity><ItemID part="'), part, F.lit('" currency="GBP"/></OrderRequestLine>')),
+             F.lit("</OrderRequestDetail></OrderRequest></Request></cXML>"))
+    feed = (F.concat(F.lit('<Feed source="ledger"><Meta order="'), k, F.lit('"/>')),
+            F.concat(F.lit('<row part="'), part, F.lit('"><q quantity="'), _s(F.col("l_quantity").cast("bigint")), F.lit('"/></row>')),
+            F.lit("</Feed>"))
+    out = None
+    for i, (head, line, tail) in enumerate((punch, order, feed)):
+        path = F.concat(F.lit("nested/"), k, F.lit(".xml"))
+        docs = _per_order(spark, sf_dir, head, line, tail, path, F.col("o_orderkey") % 3 == i)
+        out = docs if out is None else out.unionByName(docs)
+    return out

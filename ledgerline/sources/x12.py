@@ -13,9 +13,10 @@ splits it at the terminator in parallel.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ledgerline.carry import AT, Fold, in_order, running
 from ledgerline.functions.transforms import WHITESPACE
 
 ISA_LENGTH = 106
@@ -25,73 +26,109 @@ def _quoted(c):
     return F.concat(F.lit("\\Q"), c, F.lit("\\E"))
 
 
-def parse(files: DataFrame, path_col: str = "doc_id", content_col: str = "content") -> tuple[DataFrame, DataFrame]:
-    """Tokenise interchanges.
-
-    Returns ``(segments, errors)``: ``segments(doc_id, seg_pos, segment,
-    elements)`` with ``elements[0]`` the segment id, and ``errors(doc_id,
-    stage, reason)`` for content that is not an interchange (PARSE_FAIL).
-    """
+def _pieces(files: DataFrame, path_col: str, content_col: str) -> tuple[DataFrame, DataFrame]:
+    """(doc_id, _sep, _pieces) of interchanges, and the files that are none."""
     c = F.col(content_col)
     valid = (F.length(c) >= ISA_LENGTH) & c.startswith("ISA")
     f = files.select(F.col(path_col).alias("doc_id"), c.alias("content"), valid.alias("_ok"))
-    errors = f.filter(~F.col("_ok")).select(
+    errors = f.filter(~F.coalesce("_ok", F.lit(False))).select(
         "doc_id", F.lit("TRANSFORMATION").alias("stage"),
         F.lit("PARSE_FAIL: not an X12 interchange (missing ISA header)").alias("reason"))
-    ok = f.filter(F.col("_ok"))
-    sep = F.substring("content", 4, 1)
-    term = F.substring("content", ISA_LENGTH, 1)
+    sep, term = F.substring("content", 4, 1), F.substring("content", ISA_LENGTH, 1)
     # newline as terminator keeps newlines; otherwise CR/LF around segments are cosmetic
     pieces = F.split(F.col("content"), _quoted(term), -1)
     pieces = F.filter(pieces, lambda s: F.btrim(s, F.lit(WHITESPACE)) != "")
     pieces = F.transform(pieces, lambda s: F.btrim(s, F.lit("\r\n")))
     pieces = F.filter(pieces, lambda s: s != "")
-    segs = ok.select("doc_id", sep.alias("_sep"), F.posexplode(pieces).alias("seg_pos", "_raw"))
+    return f.filter(F.col("_ok")).select("doc_id", sep.alias("_sep"), pieces.alias("_pieces")), errors
+
+
+def parse(files: DataFrame, path_col: str = "doc_id", content_col: str = "content") -> tuple[DataFrame, DataFrame]:
+    """Tokenise interchanges.
+
+    Returns ``(segments, errors)``: ``segments(doc_id, seg_pos, segment,
+    elements)`` with ``elements[0]`` the segment id, and ``errors(doc_id,
+    stage, reason)`` for content that is not an interchange (PARSE_FAIL).
+    """
+    pieces, errors = _pieces(files, path_col, content_col)
+    segs = pieces.select("doc_id", "_sep", F.posexplode("_pieces").alias("seg_pos", "_raw"))
     elements = F.split(F.col("_raw"), _quoted(F.col("_sep")), -1)
-    segs = segs.select("doc_id", "seg_pos", elements[0].alias("segment"), elements.alias("elements"))
-    return segs, errors
+    return segs.select("doc_id", "seg_pos", elements[0].alias("segment"), elements.alias("elements")), errors
+
+
+def parse_transactions(files: DataFrame, path_col: str = "doc_id", content_col: str = "content") -> tuple[DataFrame, DataFrame]:
+    """S11 and S13 in one pass over files of a row each: ``(segments, errors)`` like
+    :func:`parse`, but of the ST…SE loops only and with ``tx_index``.
+
+    The loops are found in the row, from the places of the file's ST and SE segments (an ST
+    whose next such segment is an SE), so nothing is shuffled or sorted."""
+    pieces, errors = _pieces(files, path_col, content_col)
+    sep = F.col("_sep")
+
+    def is_segment(piece: Column, name: str) -> Column:
+        return (piece == name) | piece.startswith(F.concat(F.lit(name), sep))
+
+    places = F.transform("_pieces", lambda s, i: F.when(is_segment(s, "ST"), F.struct(i.alias("at"), F.lit(True).alias("st")))
+                         .when(is_segment(s, "SE"), F.struct(i.alias("at"), F.lit(False).alias("st"))))
+    marked = pieces.withColumn("_marks", F.filter(places, lambda m: m.isNotNull()))
+    following = F.transform("_marks", lambda m, i: F.struct(
+        m["at"].alias("first"), m["st"].alias("st"), F.get("_marks", i + 1).alias("next")))
+    loops = F.filter(following, lambda m: m["st"] & ~m["next"]["st"])
+    tx = marked.select("doc_id", "_sep", "_pieces", F.posexplode(loops).alias("tx_index", "_loop"))
+    first = F.col("_loop.first")
+    segs = tx.select("doc_id", "tx_index", "_sep", first.alias("_first"), F.posexplode(
+        F.slice("_pieces", first + 1, F.col("_loop.next.at") - first + 1)).alias("_i", "_raw"))
+    elements = F.split(F.col("_raw"), _quoted(sep), -1)
+    return segs.select("doc_id", "tx_index", (F.col("_first") + F.col("_i")).alias("seg_pos"), elements[0].alias("segment"),
+                       elements.alias("elements")), errors
 
 
 def read_large(spark: SparkSession, path: str, terminator: str, element_sep: str) -> DataFrame:
-    """S11 for one very large interchange: the text reader splits it at the
-    segment terminator across tasks; file order comes from the split offset."""
+    """S11 for very large interchanges: the text reader splits a file at the segment
+    terminator over many tasks, and segments are numbered by counts carried from task to
+    task, so no task holds a whole file.  ``_at`` keeps the order for :func:`transactions_of_large`."""
     raw = (spark.read.option("lineSep", terminator).text(path)
                 .select(F.col("_metadata.file_path").alias("doc_id"),
                         F.col("_metadata.file_block_start").alias("_blk"),
                         F.monotonically_increasing_id().alias("_mid"),
                         F.btrim(F.col("value"), F.lit("\r\n")).alias("_raw"))
                 .filter(F.btrim("_raw", F.lit(WHITESPACE)) != ""))
-    w = Window.partitionBy("doc_id").orderBy("_blk", "_mid")
     elements = F.split(F.col("_raw"), "\\Q" + element_sep + "\\E", -1)
-    return raw.select("doc_id", (F.row_number().over(w) - 1).alias("seg_pos"),
-                      elements[0].alias("segment"), elements.alias("elements"))
+    rows = raw.select("doc_id", "_blk", "_mid", elements[0].alias("segment"), elements.alias("elements"))
+    placed = in_order(rows, "doc_id", "_blk", "_mid", keep=["doc_id", "segment", "elements"])
+    return running(placed, ["doc_id"], n=Fold("count")).select("doc_id", (F.col("n") - 1).alias("seg_pos"), "segment", "elements", AT)
+
+
+def transactions_of_large(segments: DataFrame) -> DataFrame:
+    """S13/W2 for files of any size: the loops of :func:`transactions`, without a window by file.
+
+    ``segments`` have :data:`AT` (of :func:`read_large`, or ``carry.in_order`` by file and
+    position).  Segments are grouped by the number of STs so far, a running count over tasks;
+    a group closes with its first SE; closed groups, one row each, are numbered the same way."""
+    numbered = running(segments, ["doc_id"], _st=Fold("count", F.col("segment") == "ST"))
+    closed = (numbered.where("_st > 0 and segment = 'SE'").groupBy("doc_id", "_st")
+              .agg(F.min(AT).alias("_end")))
+    placed = in_order(closed, "doc_id", "_st")
+    loops = running(placed, ["doc_id"], _n=Fold("count")).select("doc_id", "_st", "_end", (F.col("_n") - 1).alias("tx_index"))
+    # both sides hold one transaction's rows under a key; Spark splits a transaction that is too large
+    return (numbered.join(loops, ["doc_id", "_st"]).where(F.col(AT) <= F.col("_end"))
+            .select("doc_id", "tx_index", "seg_pos", "segment", "elements"))
 
 
 def transactions(segments: DataFrame) -> DataFrame:
-    """Keep ST…SE loops and number them per file.
-
-    A new ST restarts the loop; an ST without SE is dropped, as are segments
-    outside any loop (the envelope).  All windows share the partitioning by
-    ``doc_id``: running counts over ``seg_pos`` ascending (group = STs so far;
-    SEs so far against the SE count at the group's ST = "before its first
-    SE"; closing SEs so far = transaction index) and one descending pass (does
-    the group ever close) – two sorts of the file's segments in total.
-    """
-    is_st = (F.col("segment") == "ST").cast("int")
-    is_se = (F.col("segment") == "SE").cast("int")
-    asc = Window.partitionBy("doc_id").orderBy("seg_pos").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    desc = (Window.partitionBy("doc_id").orderBy(F.col("seg_pos").desc())
-                  .rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    s = segments.withColumns({"_is_se": is_se, "_st": F.sum(is_st).over(asc), "_se": F.sum(is_se).over(asc)})
-    # SE count when the current group's ST was read (SE counts only grow)
-    s = s.withColumn("_se0", F.max(F.when(F.col("segment") == "ST", F.col("_se"))).over(asc))
-    s = s.withColumn("_open", (F.col("_st") > 0) & ((F.col("_se") - F.col("_is_se")) == F.col("_se0")))
-    # the group closes when an SE of the same group lies at or after this row
-    s = s.withColumn("_closes", F.min(F.when(F.col("_is_se") == 1, F.col("_st"))).over(desc) == F.col("_st"))
-    kept = s.filter(F.col("_open") & F.coalesce(F.col("_closes"), F.lit(False)))
-    closing = (F.col("_is_se") == 1).cast("int")
-    tx = F.sum(closing).over(asc) - closing
-    return kept.select("doc_id", tx.alias("tx_index"), "seg_pos", "segment", "elements")
+    """Keep ST…SE loops and number them per file, for files of up to some hundred MB
+    (larger ones: :func:`transactions_of_large`; files of a row each: :func:`parse_transactions`).
+
+    A new ST restarts the loop; an ST without SE is dropped, as are segments outside any
+    loop (the envelope)."""
+    upto = Window.partitionBy("doc_id").orderBy("seg_pos").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    group = Window.partitionBy("doc_id", "_st")
+    is_se = F.col("segment") == "SE"
+    s = segments.withColumn("_st", F.count_if(F.col("segment") == "ST").over(upto))
+    s = s.withColumn("_end", F.min(F.when(is_se, F.col("seg_pos"))).over(group))
+    kept = s.filter((F.col("_st") > 0) & (F.col("seg_pos") <= F.col("_end")))
+    tx = F.count_if(is_se).over(upto) - is_se.cast("int")
+    return kept.select("doc_id", tx.cast("int").alias("tx_index"), "seg_pos", "segment", "elements")
 
 
 def transaction_types(tx_segments: DataFrame) -> DataFrame:
