@@ -18,7 +18,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ledgerline.llm.shared import ready, utf8
@@ -187,18 +187,55 @@ def _cut_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield batch.set_column(at, batch.schema.field(at), pa.array(texts, batch.schema.field(at).type))
 
 
-def contaminated(n_hit="n_hit", n_words="n_words"):
+def contaminated(n_hit: Column | None = None, n_words: Column | None = None) -> Column:
     """At least one word in 20 lies in a benchmark window."""
-    return (F.col(n_hit) > 0) & (F.col(n_hit) * 20 >= F.col(n_words))
+    n_hit, n_words = F.col("n_hit") if n_hit is None else n_hit, F.col("n_words") if n_words is None else n_words
+    return (n_hit > 0) & (n_hit * 20 >= n_words)
 
 
 def decontaminate(df: DataFrame, text_col: str, items: DataFrame, item_id: str, item_text: str,
                   remove: str = "documents", **options) -> DataFrame:
     """``df`` without its contaminated documents (``remove="documents"``), or with every hit
-    span cut out of the texts (``"spans"``)."""
+    span cut out of the texts (``"spans"``).
+
+    A null or empty text has no words and stays as it is; very long texts are scanned whole;
+    repeated rows are judged alike; without items, or with an empty table, nothing changes.
+    Items without an id count as the item of the empty id."""
     keep = {f"c{i}": c for i, c in enumerate(df.columns)}
-    found = scan(df, text_col, items, item_id, item_text, keep, cleaned=remove == "spans", **options)
     if remove == "documents":
-        found = found.where(~contaminated())
-    return found.select(*[(F.col("text") if remove == "spans" and c == text_col else F.col(n)).alias(c)
-                          for n, c in keep.items()])
+        return _without_contaminated(df, text_col, items, item_id, item_text, **options)
+    found = scan(df, text_col, items, item_id, item_text, keep, cleaned=True, **options)
+    return found.select(*[(F.col("text") if c == text_col else F.col(n)).alias(c) for n, c in keep.items()])
+
+
+def _without_contaminated(df: DataFrame, text_col: str, items: DataFrame, item_id: str, item_text: str, **options) -> DataFrame:
+    """Only the text goes to Python and only counts come back; rows stay with Spark.  Runs of
+    hit words are carried from block to block, so words are counted once."""
+    spark = df.sparkSession
+    ready(spark)
+    shape = "struct<n_words: int, n_hit: int, runs: array<int>>"
+    runs = F.array().cast("array<int>")
+    for index in blocks_of(items, item_id, item_text, **options):
+        runs = F.arrow_udf(_counter(spark.sparkContext.broadcast(index)), shape)(F.col(text_col), runs)
+        df = df.withColumn("_contamination", runs)
+        runs = F.col("_contamination")["runs"]
+    found = F.col("_contamination")
+    return df.where(~contaminated(found["n_hit"], found["n_words"])).drop("_contamination")
+
+
+def _counter(index):
+    kind = pa.struct([("n_words", pa.int32()), ("n_hit", pa.int32()), ("runs", pa.list_(pa.int32()))])
+
+    def counted(texts: pa.Array, before: pa.Array) -> pa.Array:
+        out = []
+        for text, runs in zip(utf8(texts), before.to_pylist()):
+            words = words_of(text)
+            mask, _ = index.value.hits(words)
+            if mask is not None:
+                for start, end in zip(runs[::2], runs[1::2]):
+                    mask[start:end] = True
+                runs = runs_of(mask)
+            out.append({"n_words": len(words), "n_hit": sum(runs[1::2]) - sum(runs[::2]), "runs": runs})
+        return pa.array(out, kind)
+
+    return counted

@@ -30,6 +30,8 @@ from ledgerline.llm.partenum import BAND_BITS, PART_BITS, Scheme, shingles, veri
 from ledgerline.llm.shared import ready, utf8, write_through
 
 MOST, BLOCK, BROADCAST_IDS = 32, 256, 1_000_000
+#: Features of one block of a cluster, on average at most (8 bytes each).
+BLOCK_FEATURES = 1 << 19
 
 SIGNED = "sig long, id long, n int, need int"
 EVENTS = "kind string, a long, b long, part int, need int"
@@ -174,9 +176,10 @@ def cluster_links(clusters: DataFrame, sets: DataFrame, percent: int) -> DataFra
     """Links within clusters (node, component), block against block: rows ``link`` (a, b)
     that join what is linked (no cycle within two blocks) and rows ``count`` (a, n) with the
     copies that a document links to."""
-    sizes = clusters.groupBy("component").agg(F.count(F.lit(1)).alias("size"))
+    lengths = sets.select(F.col("id").alias("node"), F.size("features").alias("n"))
+    sizes = clusters.join(lengths, "node").groupBy("component").agg(
+        F.greatest(F.ceil(F.count(F.lit(1)) / BLOCK), F.ceil(F.sum("n") / BLOCK_FEATURES)).cast("int").alias("blocks"))
     placed = (clusters.join(sizes, "component")
-              .withColumn("blocks", F.ceil(F.col("size") / BLOCK).cast("int"))
               .withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
               .join(sets, F.col("node") == F.col("id"))
               .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))

@@ -26,6 +26,9 @@ from pyspark.sql import functions as F
 from ledgerline.llm.shared import ready
 
 UNDETERMINED = "und"
+#: A text this long is in a learned language or not; its score is held against the floor,
+#: which is this share of the lowest score among the sample's rows of that length.
+CONFIDENT_CHARS, FLOOR_SHARE = 200, 0.6
 _LETTER = regex.compile(r"\p{L}")
 #: Characters hashed at a time, so very long texts need no large arrays.
 _STEP = 1 << 18
@@ -63,6 +66,7 @@ class Classifier:
     languages: list[str]
     landmarks: np.ndarray  # presence rows, uint8
     weights: np.ndarray    # landmark kernels -> scores of the languages
+    floor: float = 0.0     # scores below it are of texts in no learned language
 
     @classmethod
     def fit(cls, kernel: Kernel, rows: np.ndarray, labels: list[str], landmark: np.ndarray,
@@ -81,6 +85,12 @@ class Classifier:
         solved = np.linalg.solve(z.T @ (z * weight) + ridge * np.eye(z.shape[1]), z.T @ (target * weight))
         return cls(kernel, languages, rows[landmark].astype(np.uint8), whiten @ solved)
 
+    def confidence(self, rows: np.ndarray, marks: np.ndarray) -> np.ndarray:
+        """A softmax over the languages' scores for each presence row (float32)."""
+        each = 4.0 * (self.kernel.matrix(rows, marks) @ self.weights)
+        each = np.exp(each - each.max(1, keepdims=True))
+        return each / each.sum(1, keepdims=True)
+
     def predict(self, texts: list[str | None]) -> tuple[list[str], list[float]]:
         """Language and score of each text, by one matrix product for every 64 of them."""
         names, scores = [], []
@@ -91,10 +101,7 @@ class Classifier:
             name, score = [UNDETERMINED] * len(some), [0.0] * len(some)
             if asked:
                 rows = np.array([self.kernel.present(some[i]) for i in asked], np.float32)
-                each = 4.0 * (self.kernel.matrix(rows, marks) @ self.weights)
-                each = np.exp(each - each.max(1, keepdims=True))
-                each /= each.sum(1, keepdims=True)
-                for i, p in zip(asked, each):
+                for i, p in zip(asked, self.confidence(rows, marks)):
                     best = int(p.argmax())
                     name[i], score[i] = self.languages[best], float(p[best])
             names += name
@@ -126,17 +133,23 @@ def train(df: DataFrame, id_col: str, text_col: str, lang_col: str, kernel: Kern
 
     def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            bits = [np.packbits(kernel.present(t)).tobytes() for t in b.column("text").to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column("lang"), b.column("rank"), pa.array(bits, pa.binary())],
-                                             names=["lang", "rank", "bits"])
+            texts = b.column("text").to_pylist()
+            bits = [np.packbits(kernel.present(t)).tobytes() for t in texts]
+            yield pa.RecordBatch.from_arrays([b.column("lang"), b.column("rank"), pa.array(bits, pa.binary()),
+                                              pa.array([len(t) >= CONFIDENT_CHARS for t in texts], pa.bool_())],
+                                             names=["lang", "rank", "bits", "long"])
 
-    got = sorted(sample.mapInArrow(packed, "lang string, rank int, bits binary").collect(),
+    got = sorted(sample.mapInArrow(packed, "lang string, rank int, bits binary, long boolean").collect(),
                  key=lambda r: (r.lang, r.rank))
     if not got:
         return Classifier(kernel, [], np.zeros((0, kernel.dims), np.uint8), np.zeros((0, 0)))
     present = np.array([np.unpackbits(np.frombuffer(r.bits, np.uint8)) for r in got])
-    return Classifier.fit(kernel, present, [r.lang for r in got],
-                          np.array([r.rank <= landmarks_per_language for r in got]))
+    model = Classifier.fit(kernel, present, [r.lang for r in got],
+                           np.array([r.rank <= landmarks_per_language for r in got]))
+    long = present[[r.long for r in got]].astype(np.float32)
+    if len(long):
+        model.floor = FLOOR_SHARE * float(model.confidence(long, model.landmarks.astype(np.float32)).max(1).min())
+    return model
 
 
 def identify(df: DataFrame, text_col: str, model: Classifier, keep: dict[str, str]) -> DataFrame:
@@ -168,7 +181,19 @@ def held_out(id_col: str) -> Column:
 
 
 def keep_identified(df: DataFrame, text_col: str, model: Classifier) -> DataFrame:
-    """``df`` without the documents that have no language: no letter, or no text."""
-    keep = {f"c{i}": c for i, c in enumerate(df.columns)}
-    found = identify(df, text_col, model, keep).where(F.col("lang_pred") != UNDETERMINED)
-    return found.select(*[F.col(n).alias(c) for n, c in keep.items()])
+    """``df`` without the documents that have no language: no letter, no text, or a text of at
+    least ``CONFIDENT_CHARS`` characters whose score is under the model's floor, so in no
+    learned language.  Shorter texts show too little and stay.
+
+    Only the text goes to Python and only the verdict comes back; rows stay with Spark.
+    Repeated rows are judged alike, an empty table gives no rows, other columns take no part."""
+    ready(df.sparkSession)
+    shipped = df.sparkSession.sparkContext.broadcast(model)  # landmarks and weights: bounded by the parameters
+
+    def kept(texts: pa.Array) -> pa.Array:
+        given = texts.to_pylist()
+        names, scores = shipped.value.predict(given)
+        return pa.array([n != UNDETERMINED and (s >= shipped.value.floor or len(t) < CONFIDENT_CHARS)
+                         for t, n, s in zip(given, names, scores)], pa.bool_())
+
+    return df.where(F.arrow_udf(kept, "boolean")(F.col(text_col)))

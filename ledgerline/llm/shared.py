@@ -12,8 +12,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Rows of one Arrow batch for columns that hold whole texts.
-TEXT_BATCH_ROWS = 512
+#: Bytes of one Arrow batch (and one row more): texts may be long, narrow rows come by thousands.
+BATCH_BYTES = 2 << 20
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -61,9 +61,9 @@ _shipped: set[str] = set()
 
 
 def ready(spark: SparkSession) -> None:
-    """Before Python runs on executors: ship this package to them, and let Arrow batches
-    hold few rows, as rows may hold very long texts.  A batch size that the user has set
-    stays."""
+    """Before Python runs on executors: ship this package to them, and bound Arrow batches by
+    their bytes, as rows may hold very long texts.  A bound that the user has set stays, and
+    the number of rows is not touched."""
     if spark.sparkContext.applicationId not in _shipped:
         root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
         # on the driver; Spark hands it out to the executors, also to those that join later
@@ -75,9 +75,9 @@ def ready(spark: SparkSession) -> None:
                         z.write(os.path.join(root, part, name), os.path.join("ledgerline", part, name))
         spark.sparkContext.addPyFile(path)
         _shipped.add(spark.sparkContext.applicationId)
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if spark.conf.get(key) == "10000":
-        spark.conf.set(key, str(TEXT_BATCH_ROWS))
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if spark.conf.get(key) in ("64MB", "67108864b"):  # Spark's own value
+        spark.conf.set(key, f"{BATCH_BYTES}b")
 
 
 def utf8(column: pa.Array) -> list[bytes]:
