@@ -309,13 +309,16 @@ def rules_from_schema(columns: DataFrame) -> DataFrame:
     """Default rules for a flat layout given as (name, type).
 
     Numeric types compare numerically; names containing "Description" are
-    soft and case-insensitive; everything else is a plain hard rule.
+    soft and case-insensitive; everything else is a plain hard rule, as is what no rule
+    names: the last row is the default ``(*, *)``.
     """
     is_num = F.lower("type").isin("integer", "int", "float", "double", "decimal", "long", "bigint")
     is_desc = F.col("name").contains("Description")
-    return columns.select(
+    rules = columns.select(
         F.lit("*").alias("segment"),
         F.col("name").alias("field"),
         F.when(is_desc, "soft").otherwise("hard").alias("severity"),
         is_desc.alias("ignore_case"),
         is_num.alias("numeric"))
+    default = columns.sparkSession.createDataFrame([("*", "*", "hard", False, False)], rules.schema)
+    return rules.unionByName(default)

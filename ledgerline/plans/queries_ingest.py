@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from ledgerline.operators import ingest as G
+from ledgerline.operators import staged as ST
 from ledgerline.plans import inbound as B
 from ledgerline.plans import oracle_x12 as OX
 from ledgerline.plans.queries import register
+from ledgerline.session import checkpoint_dir
 from ledgerline.sources.files import EXTENSION_FORMATS
 
 
@@ -133,3 +137,59 @@ def retry_queue(spark, sf):
     """Dead letters not superseded by a later success of the same content."""
     res = _run1(spark, sf)
     return G.retry_queue(G.dead_letters(res), G.manifest_rows(res, 1))
+
+
+_WS = "chr(32)||chr(9)||chr(10)||chr(13)||chr(11)||chr(12)"
+_STAGED = _FILES.rstrip() + f""",
+flat AS (
+  SELECT path, r.layout, r.format, r.name, r.status, r.stage, r.reason, f.content FROM results r JOIN files2 f USING (path)
+  WHERE path NOT LIKE 'inbound/edi/%'),
+flat_lines AS (
+  SELECT path, i, regexp_replace(parts[i], chr(13) || '$', '') AS line FROM (
+    SELECT path, parts, unnest(range(1, len(parts) + 1)) AS i FROM (
+      SELECT path, string_split(content, chr(10)) AS parts FROM flat
+      WHERE status = 'SUCCESS' AND format = 'csv' AND layout = 'invoice_lines_csv'))),
+flat_rows AS (
+  SELECT path, i, list_filter([CASE WHEN coalesce(trim(c[1], {_WS}), '') = '' THEN 'first: required' END,
+                               CASE WHEN coalesce(trim(c[2], {_WS}), '') = '' THEN 'second: required' END], lambda e: e IS NOT NULL) AS errors
+  FROM (SELECT path, i, string_split(line, ',') AS c FROM flat_lines WHERE line <> '')),
+flat_files AS (
+  SELECT path, count(*) AS n, count(*) FILTER (len(errors) > 0) AS broken,
+         arg_min(errors, i) FILTER (len(errors) > 0) AS first_errors FROM flat_rows GROUP BY path),
+flat_done AS (
+  SELECT f.path, CASE WHEN f.status = 'SUCCESS' AND fault IS NOT NULL THEN 'FAILED' ELSE f.status END AS status,
+         CASE WHEN f.status = 'SUCCESS' THEN fault ELSE f.stage END AS stage,
+         CASE WHEN f.status = 'SUCCESS' THEN why ELSE f.reason END AS reason,
+         CASE WHEN f.status = 'SUCCESS' AND fault IS NULL THEN coalesce(layout, format) || '/' || regexp_replace(name, '[.][^.]*$', '') || '.json' END AS output,
+         CASE WHEN f.status = 'SUCCESS' AND fault IS NULL THEN coalesce(n, 0) ELSE 0 END AS n_documents
+  FROM (SELECT f.*, n,
+          CASE WHEN format <> 'csv' THEN NULL WHEN layout <> 'invoice_lines_csv' THEN 'VALIDATION'
+               WHEN n IS NULL THEN 'TRANSFORMATION' WHEN broken > 0 THEN 'VALIDATION' END AS fault,
+          CASE WHEN format <> 'csv' THEN NULL WHEN layout <> 'invoice_lines_csv' THEN 'Layout is not declared: ' || layout
+               WHEN n IS NULL THEN 'No rows' WHEN broken > 0 THEN array_to_string(first_errors, '; ') END AS why
+        FROM flat f LEFT JOIN flat_files USING (path)) f),
+tx_files AS (
+  SELECT o_orderkey AS k, o_orderkey % 40 = 4 AS untyped, count(l_orderkey) AS n,
+         CASE o_orderkey % 5 WHEN 1 THEN '850' WHEN 2 THEN '997' ELSE '810' END AS kind
+  FROM orders LEFT JOIN lineitem ON o_orderkey = l_orderkey GROUP BY o_orderkey),
+tx_done AS (
+  SELECT 'inbound/edi/810_' || k || '.edi' AS path, CASE WHEN untyped THEN 'FAILED' ELSE 'SUCCESS' END AS status,
+         CASE WHEN untyped THEN 'VALIDATION' END AS stage, CASE WHEN untyped THEN 'No transaction type in ST' END AS reason,
+         CASE WHEN NOT untyped THEN kind || '/810_' || k || '.json' END AS output,
+         CASE WHEN untyped THEN 0 WHEN k % 5 = 3 THEN 2 * (n + 1) ELSE n + 1 END AS n_documents FROM tx_files
+  UNION ALL
+  SELECT 'inbound/edi_again/810_' || k || '.edi', 'FAILED', 'WRITE', 'Output path is taken: ' || kind || '/810_' || k || '.json', NULL, 0
+  FROM tx_files WHERE k % 50 = 0)
+"""
+
+
+@register("ingest_staged", _STAGED + "SELECT * FROM flat_done UNION ALL SELECT * FROM tx_done")
+def ingest_staged(spark, sf):
+    """Files parsed, checked and mapped before they count as a success; the
+    run's documents, dead letters, results and manifest are written, and counted as written."""
+    out = f"{checkpoint_dir(spark).rstrip('/')}/ledgerline-staged-{uuid.uuid4().hex}"
+    ST.commit(spark, ST.process(spark, B.staged_files(spark, sf), None, B.staged_config()), out, 1)
+    results, documents = (spark.read.parquet(f"{out}/{n}") for n in ("results", "documents"))
+    counts = documents.groupBy("path").agg(F.count(F.lit(1)).alias("n_documents"))
+    return results.join(counts, "path", "left").select(
+        "path", "status", "stage", "reason", "output", F.coalesce("n_documents", F.lit(0)).alias("n_documents"))

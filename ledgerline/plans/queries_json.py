@@ -4,13 +4,16 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ledgerline.operators import reconcile as RC
 from ledgerline.operators.mapping import get_path
 from ledgerline.plans import flatfiles as FF
 from ledgerline.plans import invoices as I
+from ledgerline.plans import oracle_invoices as OI
 from ledgerline.plans.queries import register
 from ledgerline.sources import delimited as D
 from ledgerline.sources import fixedwidth as FW
 from ledgerline.sources import jsondocs as J
+from ledgerline.session import store
 
 _LI = f"""li AS (
   SELECT *, row_number() OVER (PARTITION BY l_orderkey ORDER BY {", ".join(I.LINE_ORDER)}) - 1 AS line_no,
@@ -134,3 +137,45 @@ def deep_diff(spark, sf):
         return d.select(F.regexp_extract("path", r"([^/]*)$", 1).alias("doc_name"), "doc")
     d = J.deep_diff(side("source"), side("target"), key="doc_name", doc_col="doc", skip={"invoice_number"})
     return d.withColumnRenamed("doc_name", "doc")
+
+
+_DOUBLES = "('total', 'quantity', 'extended_price', 'discount', 'tax', 'total_quantity')"
+
+
+def _as_text(p: str) -> str:
+    """The fields of a side as the JSON text of its documents gives them; every fourth
+    document is flat, and an absent status is a null."""
+    key = "CAST(regexp_extract(doc_id, '(\\d+)\\.json', 1) AS BIGINT) % 4 = 0"
+    value = f"CASE WHEN field IN {_DOUBLES} THEN CAST(CAST(value AS DOUBLE) AS VARCHAR) ELSE value END"
+    none = f"UNION ALL SELECT doc_id, 'header', 0, 'status', 'None', 3 FROM {p}_hdr WHERE status IS NULL"
+    return f"""
+{p}_j AS MATERIALIZED (
+  SELECT doc_id, CASE WHEN {key} THEN 'flat' ELSE section END AS section, occ, field, {value} AS value, fpos
+  FROM (SELECT * FROM {p}_f {none}) WHERE section = 'header' OR NOT ({key}))"""
+
+
+def _text_diffs() -> str:
+    diffs = OI.diff_ctes(I.profile_rules(1), suffix="_j")
+    for p in "st":
+        diffs = diffs.replace(f"FROM {p}_f f JOIN", f"FROM {p}_j f JOIN")
+    return OI.materialized("WITH " + OI.INVOICE_CTES.strip() + "," + ",".join(map(_as_text, "st")) + diffs)
+
+
+@register("json_text_diffs", _text_diffs() + "SELECT * FROM diffs_j")
+def json_text_diffs(spark, sf):
+    """JSON text of no declared schema -> records -> pairs -> diffs; a quarter of the
+    documents are truly flat (section ``flat``), matched by a bare field."""
+    sides = {}
+    for side in ("source", "target"):
+        docs = I.invoice_documents(spark, sf, side)
+        key = F.regexp_extract("path", r"(\d+)\.json", 1).cast("long")
+        text = F.when(key % 4 == 0, F.to_json("doc.header", {"ignoreNullFields": "false"})).otherwise(
+            F.to_json("doc", {"ignoreNullFields": "false"}))
+        records, _ = J.records_from_text(docs.select("path", text.alias("content")))
+        records = store(records)
+        bare = RC.PathKey().clean("invoice_number", "^INV-|")
+        keys = RC.match_values_flat(records.where("section <> 'flat'"), I.MATCH_KEY).unionByName(
+            RC.match_values_flat(records.where("section = 'flat'"), bare))
+        sides[side] = records, keys
+    (src, skeys), (tgt, tkeys) = sides["source"], sides["target"]
+    return RC.diff_flat(spark, store(RC.pair_documents(skeys, tkeys)), src, tgt, I.profile_rules(1))

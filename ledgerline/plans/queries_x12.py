@@ -207,3 +207,17 @@ def x12_map_810_lines(spark, sf):
     tx = _all_transactions(spark, sf)
     _, lines = M.map_x12(tx, MAP_810)
     return lines
+
+
+@register("registry_route", OX.routed_sql() + "SELECT doc_id, tx_index, transaction_type, map, unmapped, doc FROM docs")
+def registry_route(spark, sf):
+    """Each transaction mapped by the map of its own type, the default map for unknown types."""
+    tx, _ = XS.parse_transactions(X.mixed_files(spark, sf))
+    return M.map_routed(tx, X.REGISTRY, "810", X.LINE_SEGMENTS)[0]
+
+
+@register("registry_route_lines", OX.routed_sql() + "SELECT doc_id, tx_index, line_no, map, line FROM doc_lines")
+def registry_route_lines(spark, sf):
+    """The lines of routed transactions, by the line segment of their type."""
+    tx, _ = XS.parse_transactions(X.mixed_files(spark, sf))
+    return M.map_routed(tx, X.REGISTRY, "810", X.LINE_SEGMENTS)[1]

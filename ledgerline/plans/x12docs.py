@@ -122,6 +122,38 @@ def interchange_files(spark: SparkSession, sf_dir: str, side: str) -> DataFrame:
     return h.select(F.concat(F.lit(f"{side}/810_"), k, F.lit(".edi")).alias("doc_id"), content.alias("content"))
 
 
+def mixed_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The book's interchanges with several transaction types, by ``o_orderkey % 5``: 1 is a
+    purchase order (850), 2 an acknowledgement without a map (997), 3 an invoice and a purchase
+    order in one file, the others invoices, of which those of ``% 40 = 4`` name no type."""
+    files = interchange_files(spark, sf_dir, "book").withColumns({
+        "_k": F.regexp_extract("doc_id", r"(\d+)\.edi", 1).cast("long"), "_at": F.instr("content", "~ST*") + 1,
+        "_end": F.instr("content", "~GE*") + 1})
+    body = F.substring(F.col("content"), F.col("_at"), F.col("_end") - F.col("_at"))
+    rows = files.select("doc_id", "_k", body.alias("_body"), F.substring(F.col("content"), F.lit(1), F.col("_at") - 1).alias("_head"),
+                        F.substring(F.col("content"), F.col("_end"), F.length("content")).alias("_tail"))
+    order = F.col("_body")
+    for old, new in (("ST*810*", "ST*850*"), ("~BIG*", "~BEG*"), ("~IT1*", "~PO1*")):
+        order = F.replace(order, F.lit(old), F.lit(new))
+    kind, plain = F.col("_k") % 5, F.col("_body")
+    changed = (F.when(kind == 1, order).when(kind == 2, F.replace(plain, F.lit("ST*810*"), F.lit("ST*997*")))
+               .when(kind == 3, F.concat(plain, order))
+               .when(F.col("_k") % 40 == 4, F.replace(plain, F.lit("ST*810*"), F.lit("ST**"))).otherwise(plain))
+    return rows.select("doc_id", F.concat("_head", changed, "_tail").alias("content"))
+
+
+# Maps by transaction type, and the segment that opens a line.
+REGISTRY = {
+    "810": {"header": {"invoice_number": "BIG.02", "po_number": "BIG.04", "customer": {"source": "N1.04", "transform": "to_int"}},
+            "summary": {"total_cents": {"source": "TDS.01", "transform": "to_int"}},
+            "lines": [{"line": {"source": "IT1.01", "transform": "to_int"}, "part": "IT1.07"}]},
+    "850": {"header": {"po_number": "BEG.04", "reference": "BEG.02"},
+            "summary": {"line_count": {"source": "CTT.01", "transform": "to_int"}},
+            "lines": [{"line": {"source": "PO1.01", "transform": "to_int"}, "part": "PO1.07", "quantity": "PO1.02"}]},
+}
+LINE_SEGMENTS = {"810": "IT1", "850": "PO1"}
+
+
 def parsed_transactions(spark: SparkSession, sf_dir: str, side: str) -> DataFrame:
     from ledgerline.sources import x12 as X
     return X.parse_transactions(interchange_files(spark, sf_dir, side))[0]

@@ -6,7 +6,8 @@ first ``max(width of the first field)`` characters (stripped).  Each field
 is a ``substring`` at a plan-time offset, stripped; empty text becomes NULL
 when ``empty_as_null``.  ``ImpliedDecimal`` fields keep their width (the
 original drops them and shifts every later field, T3) and read
-``int / 10^decimals`` as a decimal.  Lines with unknown ids are returned
+``int / 10^decimals`` as a decimal (NULL, like any text that is no number, when it has more
+digits than a decimal holds; ``quality.conformance`` reports such values).  Lines with unknown ids are returned
 separately.
 """
 
@@ -24,8 +25,13 @@ def _value(line, offset: int, width: int, typ: str, decimals: int, empty_as_null
     if empty_as_null:
         raw = F.when(raw != "", raw)
     if typ == "implied_decimal":
-        digits = F.when(raw.rlike(r"^[+-]?\d+$"), raw)
-        return (digits.cast("decimal(38,0)") / F.pow(F.lit(10), F.lit(decimals))).cast(f"decimal(38,{decimals})")
+        # the point is set in the text, so no digit is lost; more digits than a decimal holds are NULL
+        sign, digits = F.regexp_extract(raw, r"^([+-]?)(\d+)$", 1), F.regexp_extract(raw, r"^([+-]?)(\d+)$", 2)
+        full = F.lpad(digits, F.greatest(F.length(digits), F.lit(decimals + 1)), "0")
+        whole = F.substring(full, F.lit(1), F.length(full) - decimals)
+        point = F.concat(sign, whole, F.lit("."), F.substring(full, F.length(full) - decimals + 1, F.lit(max(decimals, 1))))
+        number = point if decimals else F.concat(sign, full)
+        return F.when(digits != "", number).try_cast(f"decimal(38,{decimals})")
     if typ == "integer":
         return TF.to_int(raw)
     if typ == "float":

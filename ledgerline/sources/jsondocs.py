@@ -107,6 +107,41 @@ def records_from_docs(docs: DataFrame, doc_col: str = "doc", key_cols: list[str]
     return res
 
 
+def records_from_text(files: DataFrame, path_col: str = "path", content_col: str = "content") -> tuple[DataFrame, DataFrame]:
+    """Records of JSON documents of any schema, and the files that are no JSON object.
+
+    A document with a ``header``, ``lines`` or ``summary`` gives one record for each of its
+    sections and lines; any other is truly flat: one record of section ``flat`` with its
+    top-level fields.  Fields keep file order; values are the JSON text of what is there
+    (strings without quotes, null as ``None``, T9)."""
+    text = clean_nan(F.col(content_col))
+    whole = F.when(F.try_parse_json(text).isNotNull(), F.from_json(text, "map<string,string>", {"mode": "PERMISSIVE"}))
+    read = files.select(F.col(path_col).alias("doc_id"), whole.alias("_doc"))
+    failures = read.where("_doc is null").select(F.col("doc_id").alias("path"), F.lit("PARSE_FAIL").alias("code"))
+
+    def fields(m: Column) -> Column:
+        return F.transform(F.map_entries(m), lambda e: F.struct(
+            e["key"].alias("field"), F.coalesce(e["value"], F.lit("None")).alias("value"))).cast(FIELD_STRUCT)
+
+    def record(section: str, m: Column) -> Column:
+        return F.struct(F.lit(section).alias("section"), F.lit(0).alias("occ"), fields(m).alias("fields"))
+
+    def part(name: str, kind: str) -> Column:
+        return F.from_json(F.element_at("_doc", F.lit(name)), kind, {"mode": "PERMISSIVE"})
+
+    parts = read.where("_doc is not null").select(
+        "doc_id", "_doc", part("header", "map<string,string>").alias("_h"), part("summary", "map<string,string>").alias("_s"),
+        part("lines", "array<map<string,string>>").alias("_l"))
+    nested = F.arrays_overlap(F.map_keys("_doc"), F.array(F.lit("header"), F.lit("lines"), F.lit("summary")))
+    lines = F.transform(F.coalesce("_l", F.array().cast("array<map<string,string>>")), lambda m, i: F.struct(
+        F.lit("line").alias("section"), i.alias("occ"), fields(m).alias("fields")))
+    heads = F.filter(F.array(F.when(F.col("_h").isNotNull(), record("header", F.col("_h"))),
+                             F.when(F.col("_s").isNotNull(), record("summary", F.col("_s")))), lambda r: r.isNotNull())
+    records = F.when(nested, F.concat(heads, lines)).otherwise(F.array(record("flat", F.col("_doc"))))
+    return parts.select("doc_id", F.lit(0).alias("tx_index"), F.explode(records).alias("_r")).select(
+        "doc_id", "tx_index", "_r.section", "_r.occ", "_r.fields"), failures
+
+
 # ------------------------------------------------------------------ golden comparison
 
 _NUM = (T.ByteType, T.ShortType, T.IntegerType, T.LongType, T.FloatType, T.DoubleType, T.DecimalType)
