@@ -22,6 +22,7 @@ import unicodedata
 import uuid
 import zlib
 from collections.abc import Iterator
+from itertools import chain, compress
 
 import numpy as np
 import pyarrow as pa
@@ -29,13 +30,15 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerline.llm.memo import Memo, kept
-from ledgerline.llm.shared import ready, shared_dir, utf8
+from ledgerline.llm.memo import kept
+from ledgerline.llm.shared import ready, shared_dir
 
 MAGIC = b"EFT1"
 _HEADER = struct.Struct("<4sQQQQBB")
 SAMPLE = 64
-#: A segment is closed when it holds so many ids or documents.
+#: Bytes of the texts that are encoded together (and one batch more).
+GATHERED_BYTES = 6 << 20
+#: A segment is closed after the batch with which it holds so many ids or documents.
 SEGMENT_IDS, SEGMENT_DOCS = 1 << 20, 1 << 16
 
 
@@ -84,10 +87,15 @@ class EliasFano:
 
 def pack(documents: list[bytes], width: int) -> bytes:
     """The file image of documents given as little-endian ids of ``width`` bytes."""
-    ends = np.cumsum([0, *(len(d) // width for d in documents)])
+    return image_of(np.array([len(d) // width for d in documents], np.int64), documents, width)
+
+
+def image_of(lengths: np.ndarray, parts: list, width: int) -> bytes:
+    """The file image of documents of so many ids, whose ids follow each other in ``parts``."""
+    ends = np.concatenate([[0], np.cumsum(lengths)])
     ef = EliasFano.of(ends)
-    head = _HEADER.pack(MAGIC, len(documents), int(ends[-1]), len(ef.low), len(ef.high), ef.low_bits, width)
-    return b"".join([head, ef.low, ef.high, ef.samples.tobytes(), *documents])
+    head = _HEADER.pack(MAGIC, len(lengths), int(ends[-1]), len(ef.low), len(ef.high), ef.low_bits, width)
+    return b"".join([head, ef.low, ef.high, ef.samples.tobytes(), *parts])
 
 
 def unpack(image: bytes) -> tuple[EliasFano, np.ndarray]:
@@ -102,64 +110,172 @@ def unpack(image: bytes) -> tuple[EliasFano, np.ndarray]:
     return ef, np.frombuffer(image, f"<u{width}", n_ids, at + low + high + 4 * samples)
 
 
+_WHITE = np.isin(np.arange(256), list(b" \t\n\x0b\x0c\r"))
+_LOWER = np.array([b + 32 if 65 <= b <= 90 else b for b in range(256)], np.uint8)
+_MARK = np.isin(np.arange(256), list(b".,;:!?"))
+_ALNUM = np.isin(np.arange(256), list(b"abcdefghijklmnopqrstuvwxyz0123456789"))
+#: Second bytes of lower-case Latin-1 letters, which begin with 0xC3.
+_LATIN = np.isin(np.arange(256), [*range(0x9F, 0xB7), *range(0xB8, 0xC0)])
+
+
+def chunks_of(data: np.ndarray, ends: np.ndarray, worded: bool) -> tuple[pa.Array, np.ndarray]:
+    """The chunks of texts that follow each other in ``data`` (each up to its end), and how
+    many each text has.
+
+    Chunks lie between white space.  ``worded``: A-Z is lower-cased, and one closing mark
+    between a letter or digit and white space is a chunk of its own; texts in which this could
+    matter to the tokenizer's own first steps (combining marks, special tokens) are only cut
+    at white space."""
+    n = len(data)
+    firsts = np.concatenate([[0], ends[:-1]])
+    opens = np.zeros(n + 1, bool)
+    opens[firsts] = True
+    white = _WHITE[data]
+    before = np.concatenate([[True], white[:-1]]) | opens[:n]
+    start = ~white & before
+    text = data
+    if worded and n:
+        text = _LOWER[data]
+        odd = (data == 0xCC) | (data == 0xCD)
+        odd[:-1] |= (data[:-1] == 0x3C) & (data[1:] == 0x7C)
+        mark = np.flatnonzero(_MARK[text] & ~before)
+        last = (mark + 1 == n) | opens[mark + 1]
+        last |= white[np.minimum(mark + 1, n - 1)]
+        mark = mark[last]
+        one, two = text[mark - 1], text[np.maximum(mark - 2, 0)]
+        letter = _ALNUM[one] | (_LATIN[one] & (two == 0xC3) & ~opens[mark - 1])
+        mark = mark[letter]
+        if odd.any():
+            spared = np.unique(np.searchsorted(ends, np.flatnonzero(odd), "right"))
+            for i in spared.tolist():
+                text[firsts[i]:ends[i]] = data[firsts[i]:ends[i]]
+            mark = mark[~np.isin(np.searchsorted(ends, mark, "right"), spared)]
+        start[mark] = True
+    at = np.flatnonzero(start)
+    kept = ~white
+    places = np.cumsum(kept)
+    offsets = np.concatenate([places[at] - 1, places[-1:] if n else [0]]).astype(np.int32)
+    chunks = pa.Array.from_buffers(pa.binary(), len(at), [None, pa.py_buffer(offsets), pa.py_buffer(text[kept])])
+    return chunks, np.diff(np.concatenate([[0], np.searchsorted(at, ends)]))
+
+
+class ChunkTable:
+    """Ids of chunks, one behind the other, by the chunk's slot.  Bounded by bytes: a table
+    over ``most`` is emptied before it takes more, and chunks over ``longest`` bytes, which
+    hardly come again, are forgotten after the batch.  Slot 0 holds the end id."""
+
+    def __init__(self, answer, width: int, end_id: int, most: int = 128 << 20, longest: int = 64):
+        self.answer, self.width, self.end_id, self.most, self.longest = answer, width, end_id, most, longest
+        self.clear()
+
+    def clear(self) -> None:
+        self.slots: dict[bytes, int] = {}
+        self.ids = np.array([self.end_id], f"<u{self.width}")
+        self.ends = np.array([0, 1], np.int64)
+        self.held = 0
+
+    def slots_of(self, chunks: list[bytes]) -> np.ndarray:
+        """Slots of distinct chunks; what is new is answered and added."""
+        if self.held > self.most:
+            self.clear()
+        new = [c for c in chunks if c not in self.slots]
+        if new:
+            ids, lengths = self.answer(new)
+            base = len(self.ends) - 1
+            self.slots.update(zip(new, range(base, base + len(new))))
+            self.ids = np.concatenate([self.ids, ids.astype(self.ids.dtype)])
+            self.ends = np.concatenate([self.ends, self.ends[-1] + np.cumsum(lengths)])
+            # a slot costs its chunk, its ids, its end and about 150 bytes of Python
+            self.held += sum(map(len, new)) + int(lengths.sum()) * self.width + 158 * len(new)
+        out = np.fromiter(map(self.slots.__getitem__, chunks), np.int64, len(chunks))
+        for c in [c for c in new if len(c) > self.longest]:
+            del self.slots[c]
+        return out
+
+    def joined(self, slots: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of a row of slots, one behind the other, and how many each has."""
+        lengths = (self.ends[1:] - self.ends[:-1])[slots]
+        behind = np.cumsum(lengths)
+        places = np.arange(behind[-1] if len(behind) else 0) + np.repeat(self.ends[slots] - (behind - lengths), lengths)
+        return self.ids[places], lengths
+
+
 class _Encoder:
-    """The tokenizers library with a table of whitespace-separated chunks: its pre-tokenizer
-    drops white space, so a text's ids are those of its chunks.
+    """The tokenizers library behind a table of chunks: its pre-tokenizer drops white space, so
+    a text's ids are those of its chunks, and each distinct chunk of a batch is looked up once.
 
-    Where the tokenizer's own first steps are known (:func:`splits_words`), texts are
-    lower-cased and closing marks set apart before the cut, as those steps would do, so
-    there are fewer distinct chunks; and plain lower-case words go through the same model
-    without the steps that would leave them as they are."""
+    Where the tokenizer's own first steps are known (:func:`splits_words`), chunks are cut as
+    those steps would (:func:`chunks_of`), so there are fewer distinct ones; and plain
+    lower-case words go through the same model without the steps that would leave them as
+    they are.  A tokenizer whose tokens hold white space encodes whole texts."""
 
-    def __init__(self, spec: str):
+    def __init__(self, spec: str, end_id: int):
         from tokenizers import Tokenizer, pre_tokenizers
         self.tokenizer = Tokenizer.from_str(spec)
         self.width = 2 if self.tokenizer.get_vocab_size() <= 1 << 16 else 4
-        self.worded = splits_words(spec)
+        self.worded, self.chunked = splits_words(spec), drops_white_space(spec)
         self.plain = Tokenizer(self.tokenizer.model)
         self.plain.pre_tokenizer = pre_tokenizers.Sequence([
             pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
-        self.memo = Memo(self._answers if self.worded else self._encode)
-
-    def _encode(self, chunks: list[bytes]) -> Iterator[bytes]:
-        found = self.tokenizer.encode_batch_fast([c.decode() for c in chunks], add_special_tokens=False)
-        return (np.array(e.ids, f"<u{self.width}").tobytes() for e in found)
-
-    def _answers(self, chunks: list[bytes]) -> Iterator[bytes]:
-        words = [c for c in chunks if is_plain(c)]
-        found = dict(zip(words, self._plain(words)))
-        rest = [c for c in chunks if c not in found]
-        found.update(zip(rest, self._encode(rest)))
-        return map(found.__getitem__, chunks)
-
-    def _plain(self, words: list[bytes], step: int = 500) -> Iterator[bytes]:
-        for at in range(0, len(words), step):
-            some = words[at:at + step]
-            encoding = self.plain.encode(b" ".join(some).decode(), add_special_tokens=False)
-            ids = np.array(encoding.ids, f"<u{self.width}").tobytes()
-            ends = np.searchsorted(np.array(encoding.word_ids), np.arange(len(some)), "right") * self.width
-            yield from map(ids.__getitem__, map(slice, [0, *ends[:-1].tolist()], ends.tolist()))
-
-    def cut(self, text: bytes) -> list[bytes]:
-        # composed characters and special tokens: there lower-casing first could matter
-        if self.worded and b"<|" not in text and b"\xcc" not in text and b"\xcd" not in text:
-            text = _CLOSING.sub(rb" \1", text.lower())
-        return text.split()
-
-    def ids(self, texts: list[bytes], chunked: bool) -> list[bytes]:
-        split = [self.cut(t) if chunked else [t] for t in texts]
-        self.memo.learn(split)
-        return [b"".join(map(self.memo.__getitem__, chunks)) for chunks in split]
-
-
-#: One closing mark after a letter or digit (ASCII, or lower-case Latin-1) and before white space.
-_CLOSING = re.compile(rb"(?:(?<=[a-z0-9])|(?<=\xc3[\x9f-\xb6\xb8-\xbf]))([.,;:!?])(?=[ \t\n\x0b\x0c\r]|\Z)")
+        # the model's tokens spell a byte with a character; one at a word's end has a suffix
+        suffix = json.loads(spec)["model"].get("end_of_word_suffix") or ""
+        tokens = [self.tokenizer.id_to_token(i) or "" for i in range(self.tokenizer.get_vocab_size())]
+        self.token_bytes = np.array([len(t) - len(suffix) * bool(suffix and t.endswith(suffix)) for t in tokens], np.int64)
+        self.table = ChunkTable(self._answers if self.worded else self._encode, self.width, end_id)
+
+    def _encode(self, chunks: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of the chunks, one behind the other, and how many each has."""
+        found = [e.ids for e in self.tokenizer.encode_batch_fast([c.decode() for c in chunks], add_special_tokens=False)]
+        return np.fromiter(chain.from_iterable(found), np.int64), np.fromiter(map(len, found), np.int64, len(found))
+
+    def _answers(self, chunks: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        plain = np.fromiter(map(is_plain, chunks), bool, len(chunks))
+        parts = self._plain(list(compress(chunks, plain))), self._encode(list(compress(chunks, ~plain)))
+        lengths = np.zeros(len(chunks), np.int64)
+        lengths[plain], lengths[~plain] = parts[0][1], parts[1][1]
+        ids, of_plain = np.zeros(int(lengths.sum()), np.int64), np.repeat(plain, lengths)
+        ids[of_plain], ids[~of_plain] = parts[0][0], parts[1][0]
+        return ids, lengths
+
+    def _plain(self, words: list[bytes], step: int = 500) -> tuple[np.ndarray, np.ndarray]:
+        """Words go through the model many at a time; as each of its tokens stands for so many
+        bytes, the words' own bytes tell where each ends."""
+        lines = [b" ".join(words[i:i + step]) for i in range(0, len(words), step)]
+        found = self.plain.encode_batch_fast([x.decode() for x in lines], add_special_tokens=False)
+        ids = np.fromiter(chain.from_iterable(e.ids for e in found), np.int64)
+        bytes_upto = np.cumsum(self.token_bytes[ids])
+        ends = np.searchsorted(bytes_upto, np.cumsum(np.fromiter(map(len, words), np.int64, len(words)))) + 1
+        return ids, np.diff(np.concatenate([[0], ends])) if len(words) else ends[:0]
+
+    def ids(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of a batch of texts (none null), each with the end id behind, and how many
+        each text has."""
+        texts = texts.cast(pa.large_binary())
+        if not self.chunked:
+            ids, lengths = self._encode(texts.to_pylist())
+            return np.insert(ids, np.cumsum(lengths), self.table.end_id).astype(f"<u{self.width}"), lengths + 1
+        offsets = np.frombuffer(texts.buffers()[1], np.int64)[texts.offset:texts.offset + len(texts) + 1]
+        buffer = texts.buffers()[2]
+        data = np.frombuffer(buffer, np.uint8)[offsets[0]:offsets[-1]] if buffer else np.zeros(0, np.uint8)
+        chunks, counts = chunks_of(data, offsets[1:] - offsets[0], self.worded)
+        coded = chunks.dictionary_encode()
+        known = self.table.slots_of(coded.dictionary.to_pylist())
+        # the end id's slot goes behind each text's chunks
+        ends = np.cumsum(counts)
+        slots = np.insert(known[coded.indices.to_numpy()] if len(chunks) else np.zeros(0, np.int64), ends, 0)
+        ids, lengths = self.table.joined(slots)
+        last = ends + np.arange(len(ends))  # where each text's end slot lies
+        upto = np.cumsum(lengths)[last]
+        return ids, np.diff(np.concatenate([[0], upto]))
+
+
+_PLAIN = re.compile(rb"(?:[a-z]|\xc3[\x9f-\xb6\xb8-\xbf])+").fullmatch
 
 
 def is_plain(chunk: bytes) -> bool:
     """Whether a chunk is one word of letters that normalising leaves as it is."""
-    if chunk.isascii():
-        return chunk.isalpha() and chunk.islower()
+    if chunk.isascii() or _PLAIN(chunk):
+        return chunk.isalpha() and chunk.islower() if chunk.isascii() else True
     word = chunk.decode()
     return word.isalpha() and word.lower() == word and unicodedata.is_normalized("NFC", word) and \
         "".join(map(str.lower, word)) == word
@@ -185,6 +301,19 @@ def drops_white_space(spec: str) -> bool:
         and "\\s" in str(first.get("pattern")) and " " not in str(first["pattern"].get("Regex"))
 
 
+def _gathered(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.Array, pa.Array]]:
+    """Ids and texts of several batches at a time, so common chunks are looked up less often."""
+    held: list[pa.RecordBatch] = []
+    size = 0
+    for batch in chain(batches, [None]):
+        if batch is not None and batch.num_rows:
+            held.append(batch)
+            size += batch.column("text").nbytes
+        if held and (batch is None or size >= GATHERED_BYTES):
+            yield tuple(pa.concat_arrays([b.column(c) for b in held]) for c in ("doc_id", "text"))
+            held, size = [], 0
+
+
 SEGMENT = "part int, segment int, start long, n_docs long, n_ids long, doc_ids array<long>, image binary"
 
 
@@ -200,34 +329,34 @@ def write_token_files(df: DataFrame, id_col: str, text_col: str, tokenizer_file:
     with open(tokenizer_file, encoding="utf-8") as f:  # on the driver; executors get the contents
         spec = f.read()
     shipped = spark.sparkContext.broadcast(spec)
-    chunked = drops_white_space(spec)
     rows = df.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     order = [F.col("doc_id").asc_nulls_first(), F.xxhash64("text")]
 
     def segments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = kept(("ids", hash(shipped.value)), lambda: _Encoder(shipped.value))
-        last = end_id.to_bytes(encoder.width, "little")
+        encoder = kept(("ids", hash(shipped.value), end_id), lambda: _Encoder(shipped.value, end_id))
         part, number, start = TaskContext.get().partitionId(), 0, 0
-        ids: list[int | None] = []
-        held: list[bytes] = []
-        size = 0
+        names: list[pa.Array] = []
+        held: list[np.ndarray] = []
+        lengths: list[np.ndarray] = []
+        size = n_docs = 0
 
         def closed() -> pa.RecordBatch:
-            nonlocal number, start, size, ids, held
-            row = {"part": part, "segment": number, "start": start, "n_docs": len(ids), "n_ids": size,
-                   "doc_ids": ids, "image": pack(held, encoder.width)}
-            number, start, size, ids, held = number + 1, start + size, 0, [], []
+            nonlocal number, start, size, n_docs, names, held, lengths
+            row = {"part": part, "segment": number, "start": start, "n_docs": n_docs, "n_ids": size,
+                   "doc_ids": pa.chunked_array(names).to_pylist(),
+                   "image": image_of(np.concatenate(lengths), held, encoder.width)}
+            number, start, size, n_docs, names, held, lengths = number + 1, start + size, 0, 0, [], [], []
             return pa.RecordBatch.from_pylist([row], _SEGMENT_SCHEMA)
 
-        for batch in batches:
-            found = encoder.ids(utf8(batch.column("text")), chunked)
-            for doc_id, own in zip(batch.column("doc_id").to_pylist(), found):
-                ids.append(doc_id)
-                held.append(own + last)
-                size += len(own) // encoder.width + 1
-                if size >= segment_ids or len(ids) >= SEGMENT_DOCS:
-                    yield closed()
-        if ids:
+        for doc_ids, texts in _gathered(batches):
+            ids, own = encoder.ids(texts)
+            names.append(doc_ids)
+            held.append(ids)
+            lengths.append(own)
+            size, n_docs = size + len(ids), n_docs + len(texts)
+            if size >= segment_ids or n_docs >= SEGMENT_DOCS:
+                yield closed()
+        if n_docs:
             yield closed()
 
     (rows.repartitionByRange(*order).sortWithinPartitions(*order).mapInArrow(segments, SEGMENT)
@@ -245,7 +374,8 @@ _SEGMENT_SCHEMA = pa.schema([("part", pa.int32()), ("segment", pa.int32()), ("st
 
 
 def read_token_files(spark: SparkSession, path: str, with_ids: bool = True) -> DataFrame:
-    """(doc_id, start, n_tokens, ids_crc32[, ids]) for each document of the files.
+    """(doc_id, start, n_tokens, ids_crc32[, ids]) for each document of the files, each found
+    by the boundaries' ``select``.
 
     ``start`` counts the ids of all documents before it; ``ids_crc32`` is over the ids as
     little-endian unsigned 32-bit integers."""
@@ -258,7 +388,7 @@ def read_token_files(spark: SparkSession, path: str, with_ids: bool = True) -> D
         for batch in batches:
             for i in range(batch.num_rows):
                 ef, ids = unpack(batch.column("image")[i].as_py())
-                bounds = ef.values()
+                bounds = np.fromiter(map(ef.select, range(ef.n)), np.int64, ef.n)
                 wide = np.ascontiguousarray(ids, "<u4")
                 crcs = [zlib.crc32(wide[a:b]) for a, b in zip(bounds[:-1], bounds[1:])]
                 base = batch.column("start")[i].as_py()

@@ -1,6 +1,7 @@
 import random
 
 import numpy as np
+import pyarrow as pa
 import sentencepiece
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -38,14 +39,34 @@ SIGNS = list("abKÀéßſİıJjẖΣσς漢̌̇́ .,!'sSt<|endoftext|>  \t\n\x0b
 def test_chunks_give_the_ids_of_whole_texts():
     with open(tokenizer_file("word_bpe_49k.json"), encoding="utf-8") as f:
         spec = f.read()
-    tokenizer, encoder, rnd = Tokenizer.from_str(spec), T._Encoder(spec), random.Random(7)
+    tokenizer, encoder, rnd = Tokenizer.from_str(spec), T._Encoder(spec, 2), random.Random(7)
     assert T.drops_white_space(spec) and T.splits_words(spec)
     texts = ["".join(rnd.choices(SIGNS, k=rnd.randint(0, 40))) for _ in range(3000)]
     texts += ["", "x<|endoftext|>y <|startoftext|>", "<|ENDOFTEXT|> they'Ve it's", "Éreaux, ÉREAUX; éreaux..,"]
-    want = [np.array(e.ids, "<u2").tobytes() for e in tokenizer.encode_batch(texts, add_special_tokens=False)]
-    assert encoder.ids([t.encode() for t in texts], True) == want
-    encoder.memo.most = 100  # full tables are emptied, answers stay
-    assert [encoder.ids([t.encode()], True)[0] for t in texts] == want
+    want = [[*e.ids, 2] for e in tokenizer.encode_batch(texts, add_special_tokens=False)]
+
+    def split(some):
+        ids, lengths = encoder.ids(pa.array(some, pa.string()))
+        return [x.tolist() for x in np.split(ids, np.cumsum(lengths)[:-1])]
+
+    assert split(texts) == want
+    assert [x for i in range(0, len(texts), 7) for x in split(texts[i:i + 7])] == want
+    assert split(pa.array(["cut off", *texts]).slice(1).to_pylist()) == want
+    encoder.table.most = 100  # full tables are emptied, answers stay
+    assert [split([t])[0] for t in texts] == want
+
+
+def test_texts_without_spaces_are_not_kept():
+    with open(tokenizer_file("word_bpe_49k.json"), encoding="utf-8") as f:
+        encoder = T._Encoder(f.read(), 2)
+    long = ["".join(random.Random(i).choices("abcdef0123456789+/", k=20_000)) for i in range(40)]
+    want = [len(encoder.tokenizer.encode(t, add_special_tokens=False).ids) + 1 for t in long]
+    assert encoder.ids(pa.array(long))[1].tolist() == want
+    assert not encoder.table.slots and encoder.ids(pa.array(["a a b"]))[0].tolist()[-1] == 2 and len(encoder.table.slots) == 2
+    encoder.table.most = 10_000
+    for i in range(50):
+        encoder.ids(pa.array([f"word{i} other{i}"]))
+        assert encoder.table.held < 20_000
 
 
 def test_token_files_of_odd_rows(spark, docs_of, odd_texts, tmp_path):
