@@ -29,7 +29,11 @@ from ledgerline.llm.components import components
 from ledgerline.llm.partenum import BAND_BITS, PART_BITS, Scheme, shingles, verified_links
 from ledgerline.llm.shared import ready, utf8, write_through
 
-MOST, BLOCK, BROADCAST_IDS = 32, 256, 1_000_000
+#: A bucket's largest number of documents that are paired.  Near copies share most of their
+#: buckets, and in each a document has half of this many pairs: at 12 that is about as many
+#: rows as the second round's signatures of the document.  The result is the same at any value.
+MOST = 12
+BLOCK, BROADCAST_IDS = 256, 1_000_000
 #: Features of one block of a cluster, on average at most (8 bytes each).
 BLOCK_FEATURES = 1 << 19
 
