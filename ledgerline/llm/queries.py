@@ -124,14 +124,19 @@ added AS (SELECT * FROM tokens t WHERE NOT EXISTS (
   AND t.start < b.start + length(b.m))),
 held AS (SELECT doc_id, source, kind, start, start + length(m) AS stop, sha256({value}) AS hash
          FROM (FROM base UNION ALL FROM added)),
-freq AS (SELECT hash, count(DISTINCT coalesce(source, '')) AS owners FROM held GROUP BY hash),
+totals AS (SELECT coalesce(source, '') AS owner, count(DISTINCT doc_id) AS total FROM documents GROUP BY 1),
+freq AS (
+  SELECT hash, count(*) AS owners, bool_or(repos > {secrets.MAX_REPOS} AND repos > {secrets.MAX_SHARE} * total) AS spread
+  FROM (SELECT hash, coalesce(source, '') AS owner, count(DISTINCT doc_id) AS repos FROM held GROUP BY 1, 2)
+  JOIN totals USING (owner) GROUP BY hash),
 judged AS (SELECT *, {list(secrets.KINDS)} AS kinds FROM held JOIN freq USING (hash)
-           WHERE kind < 3 OR owners <= 1),
+           WHERE kind < 3 OR (owners <= 1 AND NOT spread)),
 per AS (SELECT doc_id, count(*) FILTER (kind = 0) AS n0, count(*) FILTER (kind = 1) AS n1,
   count(*) FILTER (kind = 2) AS n2,
   coalesce(string_agg({one}, ',' ORDER BY start, kind) FILTER (kind < 3), '') AS base,
   string_agg({one}, ',' ORDER BY start, kind) AS spans,
-  count(*) FILTER (kind < 3 AND owners >= 2) AS copied, count(*) FILTER (kind < 3 AND owners < 2) AS live
+  count(*) FILTER (kind < 3 AND (owners >= 2 OR spread)) AS copied,
+  count(*) FILTER (kind < 3 AND owners < 2 AND NOT spread) AS live
   FROM judged GROUP BY doc_id)
 SELECT d.doc_id, coalesce(n0, 0) AS n_assign, coalesce(n1, 0) AS n_access, coalesce(n2, 0) AS n_hex,
        sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans,

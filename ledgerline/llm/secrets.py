@@ -3,10 +3,10 @@
 Base finder: three patterns, leftmost and non-overlapping for each kind.  The method then
 adds what one text alone cannot show.  Long mixed tokens are candidates; the hash of each
 candidate's value is counted over the corpus by distinct repositories and owners.  A value
-that several owners hold, or one owner in more than :data:`MAX_REPOS` repositories, is a
-copied example (documentation, test fixtures); a value that one owner holds in few
-repositories and that looks live becomes a span of kind ``owned``.  Base spans stay
-whatever their frequency; their counts are reported beside them.
+that several owners hold, or one owner in many of its repositories (:data:`MAX_REPOS`,
+:data:`MAX_SHARE`), is a copied example (documentation, test fixtures); a value that one owner
+holds in few of its repositories and that looks live becomes a span of kind ``owned``.  Base
+spans stay whatever their frequency; their counts are reported beside them.
 
 Counting is three nested aggregations, (hash, owner, repository), (hash, owner), (hash),
 so a value that a third of all rows hold is combined before every shuffle.
@@ -17,7 +17,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ledgerline.llm.shared import write_through
+from ledgerline.llm.shared import join_skewed, write_through
 
 #: The base patterns, in the order in which kinds are listed.
 #: Letters of the keywords are spelled in both cases (no Unicode case folding).
@@ -31,8 +31,9 @@ HEX = r"[0-9a-f]{16,}"
 TOKEN = r"[A-Za-z0-9+/_-]{20,}"
 KINDS = ("assign", "access", "hex", "owned")
 
-#: A live value is shared by few repositories of its owner; one in more of them is copied.
-MAX_REPOS = 100
+#: A value is copied when it lies in more than this share of its owner's repositories, so the
+#: bound grows with the corpus; and in more than so many, as an owner of few shares freely.
+MAX_SHARE, MAX_REPOS = 0.01, 100
 
 #: Matches whose places are summed in one step (see :func:`_places`).
 BLOCK = 64
@@ -101,26 +102,33 @@ def joined(spans: Column) -> Column:
         ":", F.element_at(kind, s["kind"] + 1), s["start"].cast("string"), s["end"].cast("string"))), ",")
 
 
-def frequencies(held: DataFrame) -> DataFrame:
-    """(hash, n_rows, n_repos, n_owners) of rows (hash, owner, repo).  Null owners count as
-    one owner, null repositories as one repository of their owner."""
-    return (held.groupBy("hash", "owner", "repo").agg(F.count(F.lit(1)).alias("rows"))
-            .groupBy("hash", "owner").agg(F.sum("rows").alias("rows"), F.count(F.lit(1)).alias("repos"))
-            .groupBy("hash").agg(F.sum("rows").alias("n_rows"), F.sum("repos").alias("n_repos"),
-                                 F.count(F.lit(1)).alias("n_owners")))
+def frequencies(held: DataFrame, repos: DataFrame, max_repos: int = MAX_REPOS, max_share: float = MAX_SHARE) -> DataFrame:
+    """(hash, n_rows, n_repos, n_owners, spread) of rows (hash, owner, repo).
+
+    ``repos``: (owner, repo) of all rows of the corpus.  ``spread``: some owner holds the value
+    in more repositories than the bounds allow.  Null owners count as one owner, null
+    repositories as one repository of their owner."""
+    named = F.coalesce(F.concat(F.lit("="), "owner"), F.lit("")).alias("of")
+    totals = repos.select(named, "repo").distinct().groupBy("of").agg(F.count(F.lit(1)).alias("of_repos"))
+    each = (held.groupBy("hash", named, "repo").agg(F.count(F.lit(1)).alias("rows"))
+            .groupBy("hash", "of").agg(F.sum("rows").alias("rows"), F.count(F.lit(1)).alias("repos")))
+    each = join_skewed(write_through(each, "secret-owners"), totals, ["of"])
+    bound = F.greatest(F.lit(max_repos).cast("double"), F.col("of_repos") * max_share)
+    return each.groupBy("hash").agg(F.sum("rows").alias("n_rows"), F.sum("repos").alias("n_repos"),
+                                    F.count(F.lit(1)).alias("n_owners"), F.max(F.col("repos") > bound).alias("spread"))
 
 
 def scan_secrets(df: DataFrame, text_col: str, owner_col: str, repo_col: str,
                  keep: dict[str, str] | None = None, max_owners: int = 1, copied_owners: int = 2,
-                 max_repos: int = MAX_REPOS) -> DataFrame:
+                 max_repos: int = MAX_REPOS, max_share: float = MAX_SHARE) -> DataFrame:
     """One row for each row of ``df``: the columns of ``keep`` (new name: column), ``base``
-    and ``spans`` (arrays of structs), ``n_copied`` (base spans whose value at least
-    ``copied_owners`` owners or more than ``max_repos`` repositories hold: examples) and
-    ``n_live`` (the rest).
+    and ``spans`` (arrays of structs), ``n_copied`` (base spans whose value is copied: at least
+    ``copied_owners`` owners hold it, or one owner in more than ``max_repos`` and more than
+    ``max_share`` of its repositories) and ``n_live`` (the rest).
 
-    The method adds a candidate when at most ``max_owners`` owners and at most ``max_repos``
-    repositories, counted within their owners, hold its value.  Spans are sorted by start,
-    then kind.  Null and empty texts have no spans; null owners and repositories count as
+    The method adds a candidate when at most ``max_owners`` owners hold its value and none of
+    them in more repositories than that.  Spans are sorted by start, then kind.  Null and
+    empty texts have no spans; very long texts are searched whole; null owners and repositories count as
     one each; repeated rows stay rows of their own (and one holder); an empty table gives no
     rows; other columns take no part."""
     keep = keep or {}
@@ -133,8 +141,9 @@ def scan_secrets(df: DataFrame, text_col: str, owner_col: str, repo_col: str,
     held = (found.select("row", "owner", "repo", F.explode(F.concat("_base", "_candidates")).alias("s"))
             .select("row", "owner", "repo", F.struct("s.start", "s.kind", "s.end").alias("span"),
                     F.sha2(value, 256).alias("hash")))
-    seen = held.select("row", "span", "hash").join(frequencies(held), "hash")
-    spread = F.col("n_repos") > max_repos
+    counted = frequencies(held, found.select("owner", "repo"), max_repos, max_share)
+    seen = held.select("row", "span", "hash").join(counted, "hash")
+    spread = F.col("spread")
     copied = (F.col("n_owners") >= copied_owners) | spread
     based = F.col("span.kind") < 3
     judged = seen.groupBy("row").agg(

@@ -109,10 +109,20 @@ def write_shards(df: DataFrame, key: str, size: Column, limit: int, path: str) -
 
     The shards are those of the directory: rows of one key, copies and null keys included,
     are dealt by their running number, so no key is gathered.  The rows are written once
-    with that number, as computing them again may number them otherwise."""
+    with that number, as computing them again may number them otherwise.
+
+    Where ``df`` has a column ``shard``, the folders are named ``_shard=`` (with more
+    underscores, if need be) and the column is written like any other.  An empty table is
+    one shard, of no bits and no rows, so it reads back with its columns."""
+    name = "shard"
+    while name in [c.lower() for c in df.columns]:
+        name = "_" + name
     rows = df.select(F.struct("*").alias("of"), F.col(key).alias("key"),
                      F.coalesce(size.cast("long"), F.lit(0)).alias("size"))
     rows = write_through(rows.withColumn("row", F.monotonically_increasing_id()), "shard-texts")
-    known = entered(rows.select("key", "size", "row"), limit).select("row", F.concat(F.lit("b"), "prefix").alias("shard"))
-    (rows.select("row", "of").join(known, "row").select("of.*", "shard")
-     .repartition("shard").write.partitionBy("shard").parquet(path))
+    known = entered(rows.select("key", "size", "row"), limit).select("row", F.concat(F.lit("b"), "prefix").alias("_entry"))
+    if rows.isEmpty():
+        rows.select("of.*").write.parquet(f"{path}/{name}=b")
+        return
+    (rows.select("row", "of").join(known, "row").select("of.*", F.col("_entry").alias(name))
+     .repartition(name).write.partitionBy(name).parquet(path))

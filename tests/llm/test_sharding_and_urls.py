@@ -76,3 +76,13 @@ def test_url_method_learns_from_the_labelled_table(spark):
     assert {r.id: r.verdict for r in out.collect()} == {"a": "block", "b": "allow"}
     plan = out._jdf.queryExecution().toString()
     assert not any(w in plan for w in ("Python", "Arrow", "Cartesian", "NestedLoop"))
+
+
+def test_shards_of_odd_tables(spark, tmp_path):
+    df = spark.createDataFrame([(i, f"t{i}", "x") for i in range(20)], "id long, text string, shard string")
+    sharding.write_shards(df, "id", F.octet_length("text"), 20, str(tmp_path / "named"))
+    back = spark.read.parquet(str(tmp_path / "named"))
+    assert sorted(back.columns) == ["_shard", "id", "shard", "text"] and back.count() == 20 and back.where("shard = 'x'").count() == 20
+    sharding.write_shards(df.where("false"), "id", F.octet_length("text"), 20, str(tmp_path / "none"))
+    empty = spark.read.parquet(str(tmp_path / "none"))
+    assert empty.count() == 0 and "text" in empty.columns
