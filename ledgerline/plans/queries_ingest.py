@@ -193,3 +193,18 @@ def ingest_staged(spark, sf):
     counts = documents.groupBy("path").agg(F.count(F.lit(1)).alias("n_documents"))
     return results.join(counts, "path", "left").select(
         "path", "status", "stage", "reason", "output", F.coalesce("n_documents", F.lit(0)).alias("n_documents"))
+
+
+@register("results_listing", _FILES + """SELECT path, run_id, status, stage FROM (
+  SELECT path, CASE WHEN path LIKE 'inbound/web/%' THEN 2 ELSE 1 END AS run_id, status, stage FROM results WHERE path NOT LIKE 'inbound/edi/%')
+ORDER BY run_id DESC, path LIMIT 50 OFFSET 5""")
+def results_listing(spark, sf):
+    """O2: results of two runs under two folders, the run written last first, paged."""
+    out = f"{checkpoint_dir(spark).rstrip('/')}/ledgerline-results-{uuid.uuid4().hex}"
+    files = B.inbound_files(spark, sf).where(~F.col("dir").eqNullSafe("inbound/edi"))
+    web = F.col("dir") == "inbound/web"
+    for name, run, part in (("docs", 1, files.where(~web)), ("web", 2, files.where(web))):
+        G.outcomes(spark, part, None, B.LAYOUTS, B.MAPS, B.MAP_TYPES).select("path", "status", "stage").write.parquet(
+            f"{out}/{name}/run_id={run}")
+    page = G.results_by_time(spark, [f"{out}/docs", f"{out}/web"], "path string, status string, stage string, run_id int", 5, 50)
+    return page.select("path", "run_id", "status", "stage")

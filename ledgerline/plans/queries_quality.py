@@ -112,3 +112,48 @@ def field_trace(spark, sf):
     _, lines = M.map_x12(X.parsed_transactions(spark, sf, "book"), MAP_810)
     lines = lines.withColumn("quantity", F.col("quantity").cast("decimal(18,2)"))
     return Q.field_trace(lines, ["doc_id", "tx_index"], "line_no", ["line", "quantity", "unit", "part"], 3)
+
+
+# Targets of the coverage report; no invoice has a REF segment.
+COVERED = {"header": {"invoice_number": "BIG.02", "ship_date": "DTM.02", "reference": "REF.02"}, "summary": {"total_cents": "TDS.01"}}
+_COVERED = OX.segments_sql() + """, tx AS (SELECT * FROM (SELECT * FROM sx_seg UNION ALL SELECT * FROM tx_seg)),
+d AS (SELECT doc_id, count(*) FILTER (segment = 'BIG' AND elements[3] <> '') AS a, count(*) FILTER (segment = 'DTM' AND elements[3] <> '') AS b,
+             count(*) FILTER (segment = 'TDS' AND elements[2] <> '') AS c FROM tx GROUP BY doc_id),
+s AS (SELECT count(*) AS n, count(*) FILTER (a > 0) AS a, count(*) FILTER (b > 0) AS b, count(*) FILTER (c > 0) AS c FROM d),
+t AS (SELECT unnest([{'f': 'header__invoice_number', 'v': a}, {'f': 'header__ship_date', 'v': b}, {'f': 'header__reference', 'v': 0},
+                     {'f': 'summary__total_cents', 'v': c}]) AS x, n FROM s)
+"""
+
+
+def _covered(spark, sf):
+    tx = X.parsed_transactions(spark, sf, "source").unionByName(X.parsed_transactions(spark, sf, "target"))
+    docs, _ = M.map_x12(tx, COVERED)
+    return docs, [c for c in docs.columns if "__" in c]
+
+
+@register("coverage_targets", _COVERED + """SELECT x.f AS target_field, x.v AS n_populated, n AS n_rows,
+  round(x.v * 100.0::DOUBLE / n, 2) AS pct FROM t""")
+def coverage_targets(spark, sf):
+    """How many documents populate each mapped target, and the share."""
+    return Q.populated(*_covered(spark, sf))
+
+
+@register("empty_targets", _COVERED + "SELECT x.f AS target_field, n AS n_rows FROM t WHERE x.v = 0")
+def empty_targets(spark, sf):
+    """Mapped targets that no document populates."""
+    return Q.empty_targets(*_covered(spark, sf))
+
+
+@register("mapping_trace", """WITH r AS (
+  SELECT o_orderkey, 0 AS row_no, CAST(o_custkey AS VARCHAR) AS cust, o_orderpriority AS prio, o_orderstatus AS st FROM orders)
+SELECT o_orderkey, row_no, 'cust' AS source_path, cust AS source_value, 'customer' AS target_field, cust AS target_value, TRUE AS mapped FROM r
+UNION ALL SELECT o_orderkey, row_no, 'prio', prio, 'priority', lower(prio), TRUE FROM r
+UNION ALL SELECT o_orderkey, row_no, 'gone', NULL, 'note', 'none', TRUE FROM r
+UNION ALL SELECT o_orderkey, row_no, 'st', st, NULL, NULL, FALSE FROM r""")
+def mapping_trace(spark, sf):
+    """Source path and text, target and value of every rule, and the columns that none reads."""
+    rows = table(spark, sf, "orders").select("o_orderkey", F.lit(0).alias("row_no"), F.col("o_custkey").cast("string").alias("cust"),
+                                             F.col("o_orderpriority").alias("prio"), F.col("o_orderstatus").alias("st"))
+    rules = {"customer": {"source": "cust", "transform": "to_int"}, "priority": {"source": "prio", "transform": "lower"},
+             "note": {"source": "gone", "default": "none"}}
+    return Q.mapping_trace(rows, ["o_orderkey"], "row_no", rules)

@@ -151,3 +151,12 @@ def test_malformed_xml_stops_nothing(spark):
     assert rows == [("good", "1", "1", ""), ("good", "1", "2", "7"), ("punch", "p", "", "3")]
     assert sorted(r["path"] for r in XS.xml_failures(f).collect()) == ["bad", "none"]
     assert XS.discover_lines(f).count() == XS.parse_variant(f).count() == 4
+
+
+def test_over_long_implied_decimals_are_null(spark):
+    layout = {"R": [("id", 1), ("amount", 60, "implied_decimal", 2), ("plain", 5, "implied_decimal", 0)]}
+    lines = ["R" + "9" * 45 + " " * 15 + "00042", "R" + "-1".rjust(60) + "x1   ", "R" + "12345".rjust(60) + "-7   ", "R" + "9" * 36]
+    df = spark.createDataFrame([("f", "\n".join(lines))], "path string, content string")
+    rows, _ = FW.read_fixed_width(df, layout)
+    got = [(r.R.amount and str(r.R.amount), r.R.plain and int(r.R.plain)) for r in rows.orderBy("line_no").collect()]
+    assert got == [(None, 42), ("-0.01", None), ("123.45", -7), ("9" * 34 + ".99", None)]
