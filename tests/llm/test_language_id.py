@@ -49,3 +49,36 @@ def test_long_texts_are_hashed_in_steps(monkeypatch):
     whole = kernel.present(text)
     monkeypatch.setattr(L, "_STEP", 100)
     assert (kernel.present(text) == whole).all()
+
+
+def test_scores_equal_a_direct_solve(docs_of):
+    """The fitted weights against kernel ridge regression solved on sets of n-gram cells."""
+    import numpy as np
+    sample = rows(12)
+    kernel = L.Kernel(dims=1 << 10)
+    present = np.array([kernel.present(t) for _, t, _ in sample])
+    labels, mark = [lang for *_, lang in sample], np.arange(len(sample)) % 3 == 0
+    model = L.Classifier.fit(kernel, present, labels, mark, ridge=0.5)
+    cells = [set(np.flatnonzero(p).tolist()) for p in present]
+
+    def k(a, b):
+        return len(a & b) / (len(a) * len(b)) ** 0.5
+
+    marks = [c for c, m in zip(cells, mark) if m]
+    near = np.array([[k(a, b) for b in marks] for a in cells])
+    own = np.array([[k(a, b) for b in marks] for a in marks])
+    weight = np.diag([1 / labels.count(x) for x in labels])
+    target = np.array([[1.0 if x == lang else -1.0 for lang in model.languages] for x in labels])
+    alpha = np.linalg.solve(near.T @ weight @ near + 0.5 * own, near.T @ weight @ target)
+    scores = np.exp(4 * near @ alpha)
+    want = scores / scores.sum(1, keepdims=True)
+    names, got = model.predict([t for _, t, _ in sample])
+    assert names == [model.languages[i] for i in want.argmax(1)] and np.allclose(got, want.max(1), atol=1e-3)
+
+
+def test_long_texts_of_no_learned_language_go(docs_of):
+    long = [(i, " ".join([t] * 4), lang) for i, t, lang in rows()]
+    model = L.train(docs_of(long), "doc_id", "text", "lang")
+    odd = "これは日本語の文章です。天気がとても良いので、散歩に行きましょう。" * 10
+    kept = L.keep_identified(docs_of([*long, (900, odd), (901, odd[:50]), (902, None)]), "text", model)
+    assert model.floor > 0.25 and {r.doc_id for r in kept.collect()} == {i for i, *_ in long} | {901}

@@ -43,3 +43,22 @@ def test_stages(spark, sf, con, sample):
         docs = out
     assert sorted(r.doc_id for r in P.run(spark, sf).collect()) == sorted(after)
     assert texts and language_id.UNDETERMINED == "und"
+
+
+def test_stages_with_odd_rows(spark, sf, docs_of, odd_texts):
+    """Null, empty, blank and very long texts, repeated rows, null ids, extra columns; and no rows."""
+    long = " ".join(f"alone{i}" for i in range(300))
+    rows = [*odd_texts, (20, long), (21, long), (20, long), (None, long), (None, long), (22, f"{long} token=abcdefghijkl1234 end")]
+    docs = docs_of(rows)
+    kept = {}
+    for name, stage in P.STAGES:
+        out = P.write_through(stage(spark, docs, sf), "test")
+        assert stage(spark, docs.where("false"), sf).count() == 0
+        if stage is not P.encode:
+            assert out.columns == docs.columns
+        docs = out
+        kept[name] = sorted((r.doc_id is None, r.doc_id or 0) for r in out.collect())
+    first, near = kept["language ID"], kept["n-gram Jaccard join"]
+    assert [i for none, i in first if not none] == [5, 6, 7, 8, 9, 10, 20, 20, 21, 22] and first.count((True, 0)) == 2
+    assert near == [(False, i) for i in (5, 6, 7, 9, 10, 20, 20)] + [(True, 0)]
+    assert kept["SentencePiece encoding"] == kept["secret scans"] == kept["benchmark decontamination"] == near

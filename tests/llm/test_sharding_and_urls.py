@@ -86,3 +86,18 @@ def test_shards_of_odd_tables(spark, tmp_path):
     sharding.write_shards(df.where("false"), "id", F.octet_length("text"), 20, str(tmp_path / "none"))
     empty = spark.read.parquet(str(tmp_path / "none"))
     assert empty.count() == 0 and "text" in empty.columns
+
+
+def test_verdicts_follow_from_the_fitted_weights(spark):
+    """The regression scored by hand: hashed n-grams counted, weighed and put through the sigmoid."""
+    from pyspark.ml.feature import HashingTF
+    model = url_filter.train(url_filter.labelled_urls(spark))
+    urls = ["https://news.test/a/b", "http://cheap-pills.test/buy?x", "x", None, "ftp://Casino.example.org/WIN#1", "http://"]
+    got = {r.id: r for r in url_filter.judge_urls(spark.createDataFrame(list(enumerate(urls)), "i int, u string"), "i", "u", model, rules=()).collect()}
+    place = HashingTF(numFeatures=url_filter.WEIGHTS).indexOf
+    weights = model.coefficients.toArray()
+    for i, r in got.items():
+        texts = {"h": f"^{r.host}$", "p": r.path}
+        grams = [m + t[j:j + n] for m, t in texts.items() for n in url_filter.SIZES for j in range(len(t) - n + 1)]
+        score = model.intercept + sum(weights[place(g)] for g in grams)
+        assert r.method_verdict == ("block" if score > 0 else "allow") and r.verdict == r.method_verdict
