@@ -33,6 +33,8 @@ from ledgerline.llm.shared import ready, utf8, write_through
 #: buckets, and in each a document has half of this many pairs: at 12 that is about as many
 #: rows as the second round's signatures of the document.  The result is the same at any value.
 MOST = 12
+#: Ids of one task's forest; more are told in several forests.
+FOREST = 200_000
 BLOCK, BROADCAST_IDS = 256, 1_000_000
 #: Features of one block of a cluster, on average at most (8 bytes each).
 BLOCK_FEATURES = 1 << 19
@@ -78,11 +80,27 @@ _EVENT_SCHEMA = pa.schema([("kind", pa.string()), ("a", pa.int64()), ("b", pa.in
 
 
 class _Buckets:
-    """Walks rows sorted by signature.  Of the open bucket it holds ``MOST`` rows at most."""
+    """Walks rows sorted by signature.  Of the open bucket it holds ``MOST`` rows at most; of
+    the large ones a forest over ``FOREST`` ids at most, which says what they join."""
 
     def __init__(self, percent: int, stars: bool):
         self.scheme, self.stars = Scheme(percent), stars
         self.sig, self.held, self.first, self.rows = None, [], None, []
+        self.root: dict[int, int] = {}
+
+    def top(self, doc: int) -> int:
+        root = self.root
+        while (up := root.setdefault(doc, doc)) != doc:
+            root[doc] = root[up]
+            doc = up
+        return doc
+
+    def tell_stars(self) -> None:
+        """A link from every id to the smallest that it is joined to; the forest is emptied."""
+        for doc in list(self.root):
+            if (least := self.top(doc)) != doc:
+                self.say("star", least, doc)
+        self.root = {}
 
     def say(self, kind: str, a: int, b: int | None = None, part: int | None = None, need: int | None = None) -> None:
         self.rows.append((kind, a, b, part, need))
@@ -90,7 +108,10 @@ class _Buckets:
     def hot(self, doc: int) -> None:
         self.say("hot", doc)
         if self.stars and doc != self.first:
-            self.say("star", self.first, doc)
+            a, b = self.top(self.first), self.top(doc)
+            self.root[max(a, b)] = min(a, b)
+            if len(self.root) >= FOREST:
+                self.tell_stars()
 
     def close(self) -> None:
         """Pairs of the open bucket, if it stayed small.  A pair counts under the band of its
@@ -126,9 +147,9 @@ class _Buckets:
 
 
 def bucket_events(rows: DataFrame, percent: int, stars: bool) -> DataFrame:
-    """Pairs of small buckets (kind ``pair``), documents of large ones (``hot``; with
-    ``stars`` also their link to the bucket's first document, ``star``), unsafe sets
-    (``hot``) and sizes (``size``)."""
+    """Pairs of small buckets (kind ``pair``), documents of large ones (``hot``; with ``stars``
+    also links that join the documents of a bucket, ``star``, one or so for each task and
+    document), unsafe sets (``hot``) and sizes (``size``)."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         buckets = _Buckets(percent, stars)
         for batch in batches:
@@ -147,6 +168,7 @@ def bucket_events(rows: DataFrame, percent: int, stars: bool) -> DataFrame:
                 buckets.take(*row)
             yield buckets.batch()
         buckets.close()
+        buckets.tell_stars()
         yield buckets.batch()
 
     return rows.repartition("sig").sortWithinPartitions("sig", "id").mapInArrow(run, EVENTS)
