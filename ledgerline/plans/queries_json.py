@@ -134,7 +134,7 @@ def deep_diff(spark, sf):
     """Golden-style deep comparison of the source documents (expected) with the target ones (actual)."""
     def side(name):
         d = I.invoice_documents(spark, sf, name)
-        return d.select(F.regexp_extract("path", r"([^/]*)$", 1).alias("doc_name"), "doc")
+        return store(d.select(F.regexp_extract("path", r"([^/]*)$", 1).alias("doc_name"), "doc"))
     d = J.deep_diff(side("source"), side("target"), key="doc_name", doc_col="doc", skip={"invoice_number"})
     return d.withColumnRenamed("doc_name", "doc")
 

@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ledgerline.operators.reconcile import FIELD_STRUCT, occurrence_numbers
+from ledgerline.session import store
 
 
 def clean_nan(content: Column) -> Column:
@@ -219,8 +220,9 @@ def deep_diff(expected: DataFrame, actual: DataFrame, key: str = "doc", doc_col:
         alone.append(here.select(key).join(there.select(key), key, "left_anti").select(
             key, F.lit("").alias("path"), F.lit(kind).alias("kind"), *[F.lit(None).cast(t).alias(c) for c, t in (
                 ("expected", "string"), ("actual", "string"), ("expected_num", "double"), ("actual_num", "double"))]))
-    expected, actual = (expected.join(actual.select(key), key, "left_semi"),
-                        actual.join(expected.select(key), key, "left_semi"))
+    # each level of the documents is read by itself, so they are made and joined once
+    expected, actual = (store(expected.join(actual.select(key), key, "left_semi")),
+                        store(actual.join(expected.select(key), key, "left_semi")))
     e_rows, e_len = _leaf_rows(expected, doc_col, key, skip)
     a_rows, a_len = _leaf_rows(actual, doc_col, key, skip)
     lj = e_len.alias("e").join(a_len.alias("a"), [key, "path"])
