@@ -39,6 +39,10 @@ BLOCK, BROADCAST_IDS = 256, 1_000_000
 #: Features of one block of a cluster, on average at most (8 bytes each).
 BLOCK_FEATURES = 1 << 19
 
+#: Signature rows of one Arrow batch (24 bytes each; and one document more): a text gives hundreds,
+#: a set in the second round thousands, so a batch of documents gives many times its own bytes.
+SIGNED_ROWS = 1 << 16
+
 SIGNED = "sig long, id long, n int, need int"
 EVENTS = "kind string, a long, b long, part int, need int"
 
@@ -50,27 +54,41 @@ def only(rows: DataFrame, ids: DataFrame, how: str = "left_semi") -> DataFrame:
     return rows.join(F.broadcast(ids) if few else ids.hint("shuffle_hash"), "id", how)
 
 
+def sets_of(column: pa.Array | pa.ChunkedArray) -> list[np.ndarray]:
+    """The feature sets of a column, without a Python object for each feature."""
+    if isinstance(column, pa.ChunkedArray):
+        column = pa.concat_arrays(column.chunks) if column.num_chunks else pa.array([], column.type)
+    flat, ends = column.values.to_numpy(zero_copy_only=False).view(np.uint64), column.offsets.to_numpy()
+    return [flat[a:b] for a, b in zip(ends[:-1].tolist(), ends[1:].tolist())]
+
+
 def signed(rows: DataFrame, scheme: Scheme, width: int) -> DataFrame:
     """Signature rows of texts, or of sets that are there already; rows with ``n`` < 0 are
     notes: -1 the size of a set (in ``need``), -2 an unsafe set."""
     of_texts = "text" in rows.columns
 
+    def batch_of(found: list[tuple]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(np.concatenate(c), t) for c, t in zip(
+            zip(*found), (pa.int64(), pa.int64(), pa.int32(), pa.int32()))], names=["sig", "id", "n", "need"])
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sigs, ids, ns, needs = [], [], [], []
-            sets = (shingles(t, width) for t in utf8(batch.column("text"))) if of_texts else (
-                np.array(x, np.int64).view(np.uint64) for x in batch.column("features").to_pylist())
+            found, held = [], 0
+            sets = (shingles(t, width) for t in utf8(batch.column("text"))) if of_texts else sets_of(batch.column("features"))
             for doc, features in zip(batch.column("id").to_pylist(), sets):
                 own, need, unsafe = scheme.signatures(features) if len(features) else (
                     np.zeros(0, np.uint64), np.zeros(0, np.int32), False)
                 notes = [(-1, len(features))] * of_texts + [(-2, 0)] * unsafe
-                sigs.append(np.concatenate([own.view(np.int64), np.full(len(notes), doc, np.int64)]))
-                ids.append(np.full(len(own) + len(notes), doc, np.int64))
-                ns.append(np.concatenate([np.full(len(own), len(features)), [x for x, _ in notes]]))
-                needs.append(np.concatenate([need, [x for _, x in notes]]))
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(np.concatenate(c), t) for c, t in ((sigs, pa.int64()), (ids, pa.int64()), (ns, pa.int32()),
-                                                            (needs, pa.int32()))], names=["sig", "id", "n", "need"])
+                found.append((np.concatenate([own.view(np.int64), np.full(len(notes), doc, np.int64)]),
+                              np.full(len(own) + len(notes), doc, np.int64),
+                              np.concatenate([np.full(len(own), len(features)), [x for x, _ in notes]]),
+                              np.concatenate([need, [x for _, x in notes]])))
+                held += len(own) + len(notes)
+                if held >= SIGNED_ROWS:
+                    yield batch_of(found)
+                    found, held = [], 0
+            if found:
+                yield batch_of(found)
 
     return rows.mapInArrow(run, SIGNED)
 
@@ -218,7 +236,7 @@ def cluster_links(clusters: DataFrame, sets: DataFrame, percent: int) -> DataFra
         order = np.argsort(block, kind="stable")
         group, first = group.take(order), int((block == low).sum())
         ids, w = group.column("id").to_pylist(), group.column("w").to_pylist()
-        sets = [np.array(x, np.int64).view(np.uint64) for x in group.column("features").to_pylist()]
+        sets = sets_of(group.column("features"))
         found = verified_links(sets, None, percent) if low == high else verified_links(
             sets[:first], sets[first:], percent)
         root, counts, rows = list(range(len(ids))), [0] * len(ids), []

@@ -2,6 +2,7 @@ import random
 from itertools import combinations
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from ledgerline.llm import components as G
@@ -134,3 +135,28 @@ def test_components(spark):
         a, b = sorted((top(a), top(b)))
         root[b] = a
     assert got == {i: top(i) for i in root if i != 7}
+
+
+def test_signature_batches_are_bounded_whatever_a_batch_of_documents_gives(monkeypatch):
+    monkeypatch.setattr(J, "SIGNED_ROWS", 1000)
+    sets = [np.arange(k * 10_000, k * 10_000 + n).astype(np.int64) for k, n in enumerate([200] * 20 + [0, 400])]
+    batch = pa.RecordBatch.from_arrays(
+        [pa.array(range(len(sets))), pa.array([x.tolist() for x in sets], pa.list_(pa.int64()))], names=["id", "features"])
+    scheme = Scheme(80, 1, True)
+
+    class Rows:  # what a task is given
+        columns = batch.schema.names
+
+        def mapInArrow(self, run, schema):  # noqa: N802
+            return list(run(iter([batch.slice(1), batch.slice(0, 1)])))
+
+    found = J.signed(Rows(), scheme, 5)
+    one = len(scheme.signatures(sets[-1].view(np.uint64))[0])
+    assert len(found) > 5 and max(b.num_rows for b in found) < 1000 + one
+    own = {d: [] for d in range(len(sets))}
+    for b in found:
+        for sig, doc, n, _ in zip(*(c.to_pylist() for c in b.columns)):
+            assert n == len(sets[doc])
+            own[doc].append(sig)
+    for d, x in enumerate(sets):
+        assert own[d] == (scheme.signatures(x.view(np.uint64))[0].view(np.int64).tolist() if len(x) else [])
