@@ -48,3 +48,50 @@ def test_records_on_one_side_and_marks_in_values(spark):
     got = {(r.pair_id, r.segment, r.field): (r.source_value, r.target_value)
            for r in RC.diff_flat(spark, pairs, src, tgt, I.profile_rules(1)).collect()}
     assert got == {("p#1", "line_0", "a"): ("x" + END, "x" + ESCAPE), ("p#1", "line_1", ""): ("{'a': '1'}", None)}
+
+
+def _books(spark, path):
+    """Orders and lines with a repeated order, repeated lines, orders without lines and lines without an order."""
+    orders = spark.range(120).selectExpr("id as o_orderkey", "id % 7 as o_custkey", "'O' as o_orderstatus", "id * 1.5D as o_totalprice",
+                                         "timestamp'1996-01-02' as o_orderdate", "'1-URGENT' as o_orderpriority")
+    orders.union(orders.where("o_orderkey in (14, 17, 26)")).write.parquet(f"{path}/orders.parquet")
+    lines = spark.range(500).selectExpr(
+        "id % 130 as l_orderkey", "id as l_partkey", "id % 11 as l_suppkey", "cast(id div 130 as int) as l_linenumber", "2D as l_quantity",
+        "3.5D as l_extendedprice", "0.05D as l_discount", "0.01D as l_tax", "'N' as l_returnflag", "'F' as l_linestatus",
+        "timestamp'1996-02-03' as l_shipdate").where("l_orderkey % 10 <> 3")
+    lines.union(lines.where("l_partkey % 50 = 17")).write.parquet(f"{path}/lineitem.parquet")
+    return str(path)
+
+
+def test_records_that_know_their_pair_give_the_same_diffs(spark, tmp_path):
+    books = _books(spark, tmp_path)
+    src, tgt = I.invoice_records(spark, books, "source"), I.invoice_records(spark, books, "target")
+    pairs = RC.pair_documents(RC.match_values_flat(src, I.MATCH_KEY), RC.match_values_flat(tgt, I.MATCH_KEY))
+    want = RC.diff_flat(spark, pairs, src, tgt, I.profile_rules(1)).collect()
+    known_pairs, diffs = I.flat_run(spark, books)
+    assert sorted(map(tuple, known_pairs.collect()), key=repr) == sorted(map(tuple, pairs.collect()), key=repr)
+    assert sorted(map(tuple, diffs.collect()), key=repr) == sorted(map(tuple, want), key=repr)
+    assert known_pairs.columns == pairs.columns and any(r.segment == "line_1" for r in want) and any(r.field == "" for r in want)
+    src, tgt, _ = I.flat_inputs(spark, books)
+    for side, records in (("source", src), ("target", tgt)):
+        whole = I.invoice_records(spark, books, side)
+        assert sorted(map(tuple, records.drop("pair_id").collect()), key=repr) == sorted(map(tuple, whole.collect()), key=repr)
+
+
+def test_records_that_know_their_pair_are_not_joined_to_pairs(spark, sf, monkeypatch):
+    src, tgt, pairs = I.flat_inputs(spark, sf)
+    stored, keep = [], RC.store
+    monkeypatch.setattr(RC, "store", lambda df: stored.append(df._jdf.queryExecution().optimizedPlan().toString()) or keep(df))
+    RC.align_flat(pairs, src, tgt, [])
+    assert len(stored) == 1 and "Join FullOuter" in stored[0] and "Join Inner" not in stored[0]
+
+
+def test_keys_are_counted_one_by_one_only_in_full_groups(spark, monkeypatch):
+    rows = spark.range(1000).selectExpr("case when id % 2 = 0 then 'hot' else concat('k', id) end as k")
+    monkeypatch.setattr(RC, "HOT_ROWS", 499)
+    monkeypatch.setattr(RC, "HOT_GROUPS", 2)
+    assert [r.k for r in RC._hot_keys(rows, "k").collect()] == ["hot"]
+    assert RC._hot_keys(rows.where("k <> 'hot'"), "k") is None
+    monkeypatch.setattr(RC, "HOT_ROWS", 300)
+    monkeypatch.setattr(RC, "HOT_GROUPS", 1)
+    assert RC._hot_keys(rows.where("k <> 'hot'"), "k") is None
