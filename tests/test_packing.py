@@ -95,3 +95,38 @@ def test_keys_are_counted_one_by_one_only_in_full_groups(spark, monkeypatch):
     monkeypatch.setattr(RC, "HOT_ROWS", 300)
     monkeypatch.setattr(RC, "HOT_GROUPS", 1)
     assert RC._hot_keys(rows.where("k <> 'hot'"), "k") is None
+
+
+def test_records_of_one_order_do_not_move(spark, tmp_path, monkeypatch):
+    books = _books(spark, tmp_path)
+    stored, keep = [], RC.store
+    monkeypatch.setattr(RC, "store", lambda df: stored.append(df._jdf.queryExecution().executedPlan().toString()) or keep(df))
+    I.aligned(spark, books)
+    plan = stored[-1]
+    assert "Join FullOuter" not in plan and "FullOuter" not in plan and "Exchange hashpartitioning(pair_id" not in plan
+    places = [line for line in plan.splitlines() if "Exchange hashpartitioning(" in line]
+    assert places and all("orderkey" in line for line in places)  # orders, lines and pairs, never records
+
+
+def test_pairs_of_one_order_and_of_two_give_the_same_diffs(spark, tmp_path, monkeypatch):
+    books = _books(spark, tmp_path)
+    for name in ("customer", "total"):  # most pairs link two orders; some pairs do
+        monkeypatch.setattr(I, "MATCH_KEY", RC.PathKey().clean(f"header.{name}", r"\..*$|"))
+        src, tgt = I.invoice_records(spark, books, "source"), I.invoice_records(spark, books, "target")
+        pairs = RC.pair_documents(RC.match_values_flat(src, I.MATCH_KEY), RC.match_values_flat(tgt, I.MATCH_KEY))
+        ends = pairs.selectExpr("regexp_extract(source_file, '([0-9]+)') as s", "regexp_extract(target_file, '([0-9]+)') as t")
+        assert ends.where("s = t").count() and ends.where("s <> t").count()
+        want = RC.diff_flat(spark, pairs, src, tgt, I.profile_rules(1)).collect()
+        assert sorted(map(tuple, I.flat_run(spark, books)[1].collect()), key=repr) == sorted(map(tuple, want), key=repr)
+
+
+def test_records_in_place_meet_as_in_a_join(spark):
+    rows = spark.createDataFrame([(1, "p", True, "a"), (1, "p", True, "b"), (1, "p", False, "a"), (1, "p", False, None), (2, "q", True, "c"),
+                                  (3, "r", False, "c"), (4, "s", True, "d"), (4, "s", False, "d")],
+                                 "place int, pair_id string, source boolean, values string").selectExpr("*", "'n' as names")
+    def side(on, p):
+        return rows.where("source" if on else "not source").selectExpr("pair_id", f"names as _{p}n", f"values as _{p}v")
+
+    met, joined = (sorted(map(tuple, RC._unequal(j).collect()), key=repr)
+                   for j in (RC._meet(rows, ["pair_id"]), side(True, "s").join(side(False, "t"), ["pair_id"], "full_outer")))
+    assert met == joined and len(met) == 5
