@@ -25,13 +25,10 @@ def _value(line, offset: int, width: int, typ: str, decimals: int, empty_as_null
     if empty_as_null:
         raw = F.when(raw != "", raw)
     if typ == "implied_decimal":
-        # the point is set in the text, so no digit is lost; more digits than a decimal holds are NULL
-        sign, digits = F.regexp_extract(raw, r"^([+-]?)(\d+)$", 1), F.regexp_extract(raw, r"^([+-]?)(\d+)$", 2)
-        full = F.lpad(digits, F.greatest(F.length(digits), F.lit(decimals + 1)), "0")
-        whole = F.substring(full, F.lit(1), F.length(full) - decimals)
-        point = F.concat(sign, whole, F.lit("."), F.substring(full, F.length(full) - decimals + 1, F.lit(max(decimals, 1))))
-        number = point if decimals else F.concat(sign, full)
-        return F.when(digits != "", number).try_cast(f"decimal(38,{decimals})")
+        # digits and an exponent, so no digit is lost and the text is matched once (of other text the
+        # exponent is left, which is no number); more digits than a decimal holds are NULL
+        digits = F.regexp_extract(raw, r"^([+-]?\d+)$", 1)
+        return F.concat(digits, F.lit(f"E-{decimals}")).try_cast(f"decimal(38,{decimals})")
     if typ == "integer":
         return TF.to_int(raw)
     if typ == "float":
