@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 
 from ledgerline.functions import transforms as TF
 from ledgerline.sources import fixedwidth as FW
+from ledgerline.sources import xml as XML
 
 
 def plan(df):
@@ -18,3 +19,14 @@ def test_implied_decimals_match_their_text_once(spark):
                                                  "9" * 36 + ".99", "None", "0.12"]
     assert plan(got).count("regexp_extract") == 1
     assert "regexp_replace" not in plan(df.select(TF.to_int(F.col("t"))))
+
+
+def test_lines_are_counted_without_making_documents(spark):
+    texts = ["<a><Item x='1'/><Item/><Item><q r='2'/></Item></a>", "<a><b x='1'/><b/></a>", "<a><b/><b/></a>", "bad", None, "<a/>",
+             "<Item><Item a='1'><Item/></Item></Item>", "<n:a xmlns:n='u'><n:r x='1'/><n:r/></n:a>"]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, content string")
+    walked = XML.walk(df, cxml=False).select("i", F.when(F.size("lines") > 0, F.col("line_element")), F.greatest(F.size("lines"), F.lit(0)))
+    found = XML.discover_lines(df)
+    assert sorted(map(tuple, found.select("i", "line_element", "n_lines").collect())) == sorted(
+        (i, tag, n or 0) for i, tag, n in map(tuple, walked.collect()))
+    assert "_walked" not in plan(found)
