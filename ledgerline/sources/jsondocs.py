@@ -205,6 +205,91 @@ def _leaf_rows(df: DataFrame, doc_col: str, key: str, skip: set[str]) -> tuple[D
     return (reduce(DataFrame.unionByName, leaves).select(key, "v.*", "within"), reduce(DataFrame.unionByName, lengths))
 
 
+def _differs(e: Column, a: Column, tolerance: float) -> Column:
+    """Whether two leaves (of :func:`_leaf`) of one path differ."""
+    same_num = (e["type"] == a["type"]) & e["type"].isin("int", "float")
+    both_nan = (e["type"] == "float") & (a["type"] == "float") & F.isnan(e["num"]) & F.isnan(a["num"])
+    both_num = e["type"].isin("int", "float") & a["type"].isin("int", "float")
+    return (F.when(both_nan, F.lit(False))
+             .when(same_num, F.abs(a["num"] - e["num"]) >= tolerance)
+             .when(both_num, a["num"] != e["num"])
+             .otherwise((e["type"] != a["type"]) | ~e["text"].eqNullSafe(a["text"])))
+
+
+_FOUND = "struct<path:string,kind:string,expected:string,actual:string,expected_num:double,actual_num:double>"
+
+
+def _found(path: Column, kind: str, expected=None, actual=None, expected_num=None, actual_num=None) -> Column:
+    """A row of the comparison."""
+    return F.struct(path, F.lit(kind), *[F.lit(None) if c is None else c for c in (expected, actual, expected_num, actual_num)]).cast(_FOUND)
+
+
+def _comparable(dt: T.DataType) -> bool:
+    """Whether paths of the schema are unique, and whole values of it can be told equal."""
+    if isinstance(dt, T.StructType):
+        return all(f.name and not {".", "["} & set(f.name) and _comparable(f.dataType) for f in dt.fields)
+    return _comparable(dt.elementType) if isinstance(dt, T.ArrayType) else not isinstance(dt, (T.MapType, T.VariantType))
+
+
+#: A value of one side and its type.
+_Value = tuple[Column, T.DataType]
+
+
+def _compared(e: _Value | None, a: _Value | None, path: Column, root: bool, skip: set[str], tolerance: float,
+              lengths: bool = False) -> list[Column]:
+    """What differs between two values of one path, as columns of arrays of :data:`_FOUND`; None: the
+    side has nothing there.  The walk follows the schemas when the plan is built, like :func:`_walk`.
+    ``lengths``: only of lists inside; those of a list whose own length differs are still told."""
+    def kind(v: _Value | None) -> str | None:
+        return v and {T.StructType: "struct", T.ArrayType: "list"}.get(type(v[1]), "leaf")
+
+    if e and a and kind(e) != kind(a):  # no path of the one is a path of the other
+        return _compared(e, None, path, root, skip, tolerance, lengths) + _compared(None, a, path, root, skip, tolerance, lengths)
+    if lengths and not (e and a):
+        return []
+    what, none = kind(e) or kind(a), F.array().cast(f"array<{_FOUND}>")
+    if what == "struct":
+        def member(v: _Value | None, name: str) -> _Value | None:
+            return (v[0][name], v[1][name].dataType) if v and name in v[1].names else None
+
+        names = dict.fromkeys(n for v in (e, a) if v for n in v[1].names if n not in skip)
+        parts = [_compared(member(e, n), member(a, n), F.lit(n) if root else F.concat(path, F.lit(f".{n}")), False, skip, tolerance,
+                           lengths) for n in names]
+        return [c for part in parts for c in part]
+    if what == "leaf":
+        if lengths:
+            return []
+        el, al = (_leaf(path, *v) if v else None for v in (e, a))
+        if e and a:
+            return [F.when(_differs(el, al, tolerance), F.array(_found(path, "value", el["text"], al["text"], el["num"], al["num"]))).otherwise(none)]
+        if e:
+            return [F.array(_found(path, "missing", el["text"], None, el["num"]))]
+        return [F.array(_found(path, "unexpected", None, al["text"], None, al["num"]))]
+
+    def elements(pairs: Column, both: bool, of_e: bool, of_a: bool, only: bool = False) -> Column:
+        def rows(x: Column, i: Column) -> Column:
+            at = F.concat(path, F.lit("["), i.cast("string"), F.lit("]"))
+            sides = ((x["e"] if both else x, e[1].elementType) if of_e else None, (x["a"] if both else x, a[1].elementType) if of_a else None)
+            parts = _compared(*sides, at, False, skip, tolerance, only)
+            found = F.concat(*parts) if parts else none
+            if both and tolerance > 0 and e[1].elementType == a[1].elementType and _comparable(e[1].elementType):
+                return F.when(x["e"].eqNullSafe(x["a"]), none).otherwise(found)
+            return found
+        return F.coalesce(F.flatten(F.transform(pairs, rows)), none)
+
+    if not (e and a):
+        return [elements((e or a)[0], False, bool(e), bool(a))]
+    n, m = F.size(e[0]), F.size(a[0])
+    length = F.array(_found(path, "length", n.cast("string"), m.cast("string")))
+    pairs = F.zip_with(e[0], a[0], lambda x, y: F.struct(x.alias("e"), y.alias("a")))
+    inside = elements(F.slice(pairs, 1, F.least(n, m)), True, True, True, True)
+    differ = F.when(n != m, F.concat(length, inside))
+    if lengths:
+        return [differ.when(n == m, inside).otherwise(none)]
+    return [F.when(e[0].isNull(), elements(a[0], False, False, True)).when(a[0].isNull(), elements(e[0], False, True, False))
+             .otherwise(differ.otherwise(elements(pairs, True, True, True)))]
+
+
 def deep_diff(expected: DataFrame, actual: DataFrame, key: str = "doc", doc_col: str = "doc",
               skip: set[str] | None = None, tolerance: float = 0.01) -> DataFrame:
     """Path-wise comparison of two document sets paired by ``key``.
@@ -213,8 +298,41 @@ def deep_diff(expected: DataFrame, actual: DataFrame, key: str = "doc", doc_col:
     elements are then not compared), numbers of the same type compared with
     ``tolerance``, NaN equal to NaN, everything else by text.  A document on one
     side only is one row of kind ``missing_document`` or ``unexpected_document``.
+
+    The two documents of a key meet in one full outer join and are compared within the row, so a
+    document moves once and only what differs becomes rows.  Keys that a side has more than once are
+    compared by their leaves (:func:`_by_leaves`), as are schemas with names that look like paths.
+    The inputs are read twice, for their keys and for their documents.
     """
     skip = skip or set()
+    columns = [key, "path", "kind", "expected", "actual", "expected_num", "actual_num"]
+    types = [df.schema[doc_col].dataType for df in (expected, actual)]
+    some = True
+    if all(map(_comparable, types)):
+        several = [store(df.where(F.col(key).isNotNull()).groupBy(key).count().where("count > 1").select(key)) for df in (expected, actual)]
+        some = not all(df.isEmpty() for df in several)
+        several = several[0].unionByName(several[1]).distinct()
+    if some:
+        if not all(map(_comparable, types)):
+            several = expected.select(key).where(F.col(key).isNotNull()).distinct()
+        own = [df.join(several, key, "left_semi") for df in (expected, actual)]
+        expected, actual = (df.join(several, key, "left_anti") for df in (expected, actual))
+    e, a = (df.select(key, F.col(doc_col).alias(f"_{x}"), F.lit(True).alias(f"_has_{x}")) for df, x in ((expected, "e"), (actual, "a")))
+    both = e.join(a, key, "full_outer")
+
+    def alone(kind: str) -> Column:
+        return F.array(_found(F.lit(""), kind))
+
+    parts = _compared((F.col("_e"), types[0]), (F.col("_a"), types[1]), F.lit(""), True, skip, tolerance)
+    rows = F.when(F.col("_has_a").isNull(), alone("missing_document")).when(F.col("_has_e").isNull(), alone("unexpected_document")).otherwise(
+        F.concat(F.array().cast(f"array<{_FOUND}>"), *parts))
+    found = both.select(key, F.explode(rows).alias("_f")).select(key, "_f.*").select(columns)
+    return found.unionByName(_by_leaves(*own, key, doc_col, skip, tolerance)) if some else found
+
+
+def _by_leaves(expected: DataFrame, actual: DataFrame, key: str, doc_col: str, skip: set[str], tolerance: float) -> DataFrame:
+    """:func:`deep_diff` by a join of leaves: each leaf of a key and path meets each of the other side,
+    and a list whose length differs in any two documents of a key is not compared in any."""
     alone = []
     for here, there, kind in ((expected, actual, "missing_document"), (actual, expected, "unexpected_document")):
         alone.append(here.select(key).join(there.select(key), key, "left_anti").select(
@@ -234,13 +352,8 @@ def deep_diff(expected: DataFrame, actual: DataFrame, key: str = "doc", doc_col:
     j = (e_rows.alias("e").join(a_rows.alias("a"), [key, "path"], "full_outer")
                .join(bad_lists, (F.col(key) == F.col("_bk"))
                      & F.array_contains(F.coalesce("e.within", "a.within"), F.col("_lp")), "left_anti"))
-    same_num = (F.col("e.type") == F.col("a.type")) & F.col("e.type").isin("int", "float")
-    both_nan = (F.col("e.type") == "float") & (F.col("a.type") == "float") & F.isnan("e.num") & F.isnan("a.num")
-    both_num = F.col("e.type").isin("int", "float") & F.col("a.type").isin("int", "float")
-    value_bad = (F.when(both_nan, F.lit(False))
-                  .when(same_num, F.abs(F.col("a.num") - F.col("e.num")) >= tolerance)
-                  .when(both_num, F.col("a.num") != F.col("e.num"))
-                  .otherwise((F.col("e.type") != F.col("a.type")) | ~F.col("e.text").eqNullSafe(F.col("a.text"))))
+    leaves = [F.struct(*[F.col(f"{x}.{c}").alias(c) for c in ("type", "text", "num")]) for x in "ea"]
+    value_bad = _differs(*leaves, tolerance)
     kind = (F.when(F.col("a.type").isNull(), F.lit("missing")).when(F.col("e.type").isNull(), F.lit("unexpected"))
              .when(value_bad, F.lit("value")))
     vals = j.select(key, "path", kind.alias("kind"), F.col("e.text").alias("expected"), F.col("a.text").alias("actual"),

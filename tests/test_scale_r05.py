@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 
 from ledgerline.functions import transforms as TF
 from ledgerline.sources import fixedwidth as FW
+from ledgerline.sources import jsondocs as J
 from ledgerline.sources import xml as XML
 
 
@@ -30,3 +31,18 @@ def test_lines_are_counted_without_making_documents(spark):
     assert sorted(map(tuple, found.select("i", "line_element", "n_lines").collect())) == sorted(
         (i, tag, n or 0) for i, tag, n in map(tuple, walked.collect()))
     assert "_walked" not in plan(found)
+
+
+def test_documents_are_compared_within_the_row(spark):
+    kind = "k string, doc struct<a: double, ls: array<struct<x: int, ys: array<int>>>>"
+    e = spark.createDataFrame([("one", (1.0, [(1, [1, 2]), (2, None)])), ("cut", (1.0, [(1, [1])])), ("gone", (1.0, []))], kind)
+    a = spark.createDataFrame([("one", (1.0, [(1, [1, 3]), (2, [5])])), ("cut", (1.5, [(1, [1, 2]), (2, [3])])), ("new", (1.0, []))], kind)
+    found = J.deep_diff(e, a, key="k")
+    want = {("one", "ls[0].ys[1]", "value", None, 2.0, 3.0), ("one", "ls[1].ys[0]", "unexpected", None, None, 5.0),
+            ("cut", "a", "value", None, 1.0, 1.5), ("cut", "ls", "length", "1", None, None), ("cut", "ls[0].ys", "length", "1", None, None),
+            ("gone", "", "missing_document", None, None, None), ("new", "", "unexpected_document", None, None, None)}
+    assert {(r.k, r.path, r.kind, r.expected, r.expected_num, r.actual_num) for r in found.collect()} == want
+    assert plan(found).count("Join") == 1  # of documents; leaves are not joined
+    # a key that comes twice is compared leaf by leaf: each value meets each, a list that differs once is in no other row
+    twice = J.deep_diff(e.unionByName(e.where("k = 'one'")), a, key="k").collect()
+    assert sorted((r.path, r.kind) for r in twice if r.k == "one") == [("ls[0].ys[1]", "value")] * 2 + [("ls[1].ys[0]", "unexpected")]
