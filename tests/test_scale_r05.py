@@ -3,8 +3,12 @@
 from pyspark.sql import functions as F
 
 from ledgerline.functions import transforms as TF
+from ledgerline.operators import reconcile as RC
+from ledgerline.plans import invoices as I
+from ledgerline.plans import x12docs as XD
 from ledgerline.sources import fixedwidth as FW
 from ledgerline.sources import jsondocs as J
+from ledgerline.sources import x12 as X12
 from ledgerline.sources import xml as XML
 
 
@@ -46,3 +50,35 @@ def test_documents_are_compared_within_the_row(spark):
     # a key that comes twice is compared leaf by leaf: each value meets each, a list that differs once is in no other row
     twice = J.deep_diff(e.unionByName(e.where("k = 'one'")), a, key="k").collect()
     assert sorted((r.path, r.kind) for r in twice if r.k == "one") == [("ls[0].ys[1]", "value")] * 2 + [("ls[1].ys[0]", "unexpected")]
+
+
+def _interchange(name, *transactions):
+    isa = "ISA*00*" + " " * 10 + "*00*" + " " * 10 + "*ZZ*" + "S".ljust(15) + "*ZZ*" + "R".ljust(15) + "*250101*0000*U*00401*000000001*0*P*>~"
+    assert len(isa) == 106
+    return name, isa + "".join(f"ST*810*1~{'~'.join(t)}~SE*9*1~" for t in transactions) + "IEA*1*1~"
+
+
+def test_whole_transactions_give_the_diffs_of_their_segments(spark):
+    src = [_interchange("s1", ["BIG*1*7", "IT1*1*5", "IT1*1*6", "N1*BY*A"], ["BIG*1*8", "TDS*5"], ["TDS*1"]),
+           _interchange("s2", ["BIG*1*9", "IT1*1*5"])]
+    tgt = [_interchange("t1", ["BIG*1*INV-8", "TDS*6", "TDS*7"]), _interchange("t2", ["BIG*1*INV-7", "IT1*1*5", "IT1*1*9", "N1*BY*B"]),
+           _interchange("t3", ["BIG*1*10"])]
+    quals = {"N1": "N101", "IT1": "IT101"}
+    sides = [spark.createDataFrame(rows, "doc_id string, content string") for rows in (src, tgt)]
+    whole, parsed = ([f(side)[0] for side in sides] for f in (X12.whole_transactions, X12.parse_transactions))
+    assert sorted(map(tuple, X12.segments_of(whole[0]).select(parsed[0].columns).collect())) == sorted(map(tuple, parsed[0].collect()))
+    pairs = RC.pair_documents(*[RC.match_values_x12(t, XD.MATCH_KEY) for t in parsed])
+    want, got = (sorted(map(tuple, RC.diff_x12(spark, pairs, *t, XD.x12_rules(), quals).collect()), key=repr) for t in (parsed, whole))
+    assert got == want and {r[0] for r in want} == {"7#1", "8#1"} and any("Extra segment" in r[6] for r in want)
+    assert plan(RC.placed(pairs.localCheckpoint(), *whole)).count("Join") == 1  # targets with their pairs; the sides are not joined
+
+
+def test_documents_of_no_pair_are_dropped_where_sides_meet(spark):
+    schema = "doc_id string, tx_index int, section string, occ int, fields array<struct<field: string, value: string>>"
+    src = spark.createDataFrame([(d, 0, "line", 0, [("a", d)]) for d in ("s", "alone", "none")], schema)
+    tgt = spark.createDataFrame([("t", 0, "line", 0, [("a", "1")]), ("t", 0, "line", 1, [("a", "2")]), ("other", 0, "line", 0, [("a", "3")])], schema)
+    pairs = spark.createDataFrame([("p#1", "p", 1, "s", 0, "t", 0), ("q#1", "q", 1, "alone", 0, None, None)],
+                                  "pair_id string, match_value string, occ int, source_file string, source_tx int, target_file string, target_tx int")
+    for side in (src, RC.flat_packed(src)):
+        rows = RC.diff_flat(spark, pairs, side, tgt, I.profile_rules(1)).collect()
+        assert sorted((r.pair_id, r.segment, r.field, r.target_value) for r in rows) == [("p#1", "line_0", "a", "1"), ("p#1", "line_1", "", "{'a': '2'}")]
