@@ -2,9 +2,11 @@
 
 from pyspark.sql import functions as F
 
+from ledgerline import carry
 from ledgerline.functions import transforms as TF
 from ledgerline.operators import reconcile as RC
 from ledgerline.plans import invoices as I
+from ledgerline.plans import queries_x12 as QX
 from ledgerline.plans import x12docs as XD
 from ledgerline.sources import fixedwidth as FW
 from ledgerline.sources import jsondocs as J
@@ -82,3 +84,11 @@ def test_documents_of_no_pair_are_dropped_where_sides_meet(spark):
     for side in (src, RC.flat_packed(src)):
         rows = RC.diff_flat(spark, pairs, side, tgt, I.profile_rules(1)).collect()
         assert sorted((r.pair_id, r.segment, r.field, r.target_value) for r in rows) == [("p#1", "line_0", "a", "1"), ("p#1", "line_1", "", "{'a': '2'}")]
+
+
+def test_large_files_move_only_elements_that_are_read(spark, sf, monkeypatch):
+    stored, keep = [], carry.store
+    monkeypatch.setattr(carry, "store", lambda df: stored.append(out := keep(df)) or out)
+    QX.x12_large_transactions(spark, sf)
+    named = stored[0].where("elements is not null").select("segment").distinct().collect()
+    assert [r.segment for r in named] == ["BIG"]
